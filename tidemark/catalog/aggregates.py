@@ -191,7 +191,7 @@ def correlations(spark, d):
 
 @query("top_correlations", oracle(f"""
     SELECT column_a, column_b, correlation, sign, CAST(rank AS INTEGER) AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY sign ORDER BY abs(correlation) DESC, column_a, column_b) AS rank
+      SELECT *, row_number() OVER (PARTITION BY sign ORDER BY round(abs(correlation), 12) DESC, column_a, column_b) AS rank
       FROM (SELECT *, CASE WHEN correlation > 0 THEN 'positive' ELSE 'negative' END AS sign
             FROM ({CORRELATIONS}) WHERE correlation <> 0)) WHERE rank <= 5""", "correlation", 6))
 def top_correlations(spark, d):

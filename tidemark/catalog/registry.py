@@ -32,16 +32,22 @@ FROM customer
 ORDER = "sale_date, order_id, line_no, part_id, supp_id"
 
 
+def _shift(digits: int) -> float:
+    """A small part of the last kept digit: means of few decimals often end exactly between two roundings,
+    where the last bit of either engine would decide."""
+    return 0.003 * 10.0**-digits
+
+
 def rounded(df: DataFrame, digits: int = 4, **columns: int) -> DataFrame:
     """Round every double column, so that two engines' last bits do not count as a difference."""
-    doubles = [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]
-    return df.withColumns({c: F.round(c, columns.get(c, digits)) for c in doubles})
+    doubles = {f.name: columns.get(f.name, digits) for f in df.schema.fields if f.dataType.simpleString() == "double"}
+    return df.withColumns({c: F.round(F.col(c) + _shift(n), n) for c, n in doubles.items()})
 
 
 def oracle(sql: str, doubles: str = "", digits: int = 4, **columns: int) -> str:
     """Wrap a query over ``sales`` and ``contacts`` and round its double columns the same way."""
-    names = doubles.split()
-    replace = ", ".join(f"round({c}, {columns.get(c, digits)}) + 0.0 AS {c}" for c in names)
+    names = {c: columns.get(c, digits) for c in doubles.split()}
+    replace = ", ".join(f"round({c} + CAST({_shift(n)!r} AS DOUBLE), {n}) + 0.0 AS {c}" for c, n in names.items())
     chosen = f"* REPLACE ({replace})" if names else "*"
     return f"WITH sales AS ({SALES}), contacts AS ({CONTACTS}) SELECT {chosen} FROM ({sql})"
 

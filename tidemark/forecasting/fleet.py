@@ -52,24 +52,34 @@ def smooth(y, alpha, beta, gamma, season=SEASON):
     return sse, level, trend, seasonal, std
 
 
+# Candidate smoothing weights: dense near zero, where a day-to-day update should change little.
+WEIGHTS = np.array([0.0, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
+
+
 def fit_holt_winters(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float]:
     season = SEASON if len(y) >= 2 * SEASON else max(2, len(y) // 2)
-    steps = np.arange(0.1, 0.91, 0.1)
     if len(y) < 2 * season:
         # Too short for a season: trend only.
-        alpha, beta = _grid(steps, steps)
-        padded = np.zeros_like(alpha)
-        sse, level, trend, _, std = smooth(y, alpha, beta, padded, 1)
+        season, axes = 1, [WEIGHTS, WEIGHTS, np.zeros(1)]
+    else:
+        axes = [WEIGHTS] * 3
+    for _ in range(2):
+        grid = _grid(*axes)
+        sse, level, trend, seasonal, std = smooth(y, *grid, season)
         best = int(np.argmin(sse))
-        return level[best] + trend[best] * np.arange(1, horizon + 1), float(std[best])
-    alpha, beta, gamma = _grid(steps, steps, steps)
-    sse, level, trend, seasonal, std = smooth(y, alpha, beta, gamma, season)
-    best = int(np.argmin(sse))
+        # Second round: halfway to the neighbours of the best weights.
+        axes = [_between(a, g[best]) for a, g in zip(axes, grid)]
     ahead = np.arange(1, horizon + 1)
     season_ahead = seasonal[(len(y) + ahead - 1) % season, best]
     return level[best] + trend[best] * ahead + season_ahead, float(std[best])
 
 
+def _between(axis: np.ndarray, value: float) -> np.ndarray:
+    i = int(np.searchsorted(axis, value))
+    near = axis[max(0, i - 1) : i + 2]
+    return np.unique(np.concatenate([near, (near[1:] + near[:-1]) / 2]))
+
+
 # ---- ARIMA by conditional sum of squares ------------------------------------------------------------
 
 def css(w: np.ndarray, ar: list[tuple[int, np.ndarray]], ma: list[tuple[int, np.ndarray]]):

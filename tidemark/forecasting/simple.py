@@ -15,7 +15,7 @@ DAMPING = 0.98
 RECENT = 30
 
 
-def _last_days(series: DataFrame, n: int) -> DataFrame:
+def last_days(series: DataFrame, n: int) -> DataFrame:
     """The last ``n`` days of every series, ``back`` = 1 for the last one; cut before the shuffle."""
     newest = Window.partitionBy("series_key").orderBy(F.col("ds").desc())
     return series.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= n)
@@ -31,7 +31,7 @@ def _extend(params: DataFrame, model: str, yhat: Column, horizon: int) -> DataFr
 
 def forecast_naive(series: DataFrame, horizon: int = 30) -> DataFrame:
     """The last value; band from the last 30 days."""
-    params = _last_days(series, RECENT).groupBy("series_key").agg(
+    params = last_days(series, RECENT).groupBy("series_key").agg(
         F.max("ds").alias("last_ds"), F.max_by("y", "ds").alias("last"), F.stddev_pop("y").alias("std")
     )
     return _extend(params, "naive", F.col("last"), horizon)
@@ -63,7 +63,7 @@ def forecast_linear(series: DataFrame, horizon: int = 30, clip: bool = True) ->
 
 def forecast_smart_ma(series: DataFrame, horizon: int = 30) -> DataFrame:
     """Weighted moving averages of 7, 14 and 30 days plus a damped slope of the last 14."""
-    recent = _last_days(series, max(MA_WEIGHTS))
+    recent = last_days(series, max(MA_WEIGHTS))
     means = [F.avg(F.when(F.col("back") <= k, F.col("y"))).alias(f"ma_{k}") for k in MA_WEIGHTS]
     slope = F.when(F.col("back") <= SLOPE_DAYS, F.col("y"))
     params = recent.groupBy("series_key").agg(

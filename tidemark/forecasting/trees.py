@@ -19,28 +19,31 @@ from tidemark.forecasting.series import (
     future_dates,
     future_features,
 )
-from tidemark.forecasting.simple import FORECAST
+from tidemark.forecasting.simple import FORECAST, RECENT, last_days
 from tidemark.functions.dates import calendar_columns
 from tidemark.functions.numeric import as_double
 from tidemark.operators.cleaning import binary_flag, drop_incomplete
 from tidemark.spec import PROMO_YES
 
 SEED = 42
-# MLlib keeps statistics per category and bin, so a large fleet is indexed as a plain number instead.
-MAX_SERIES_BINS = 256
+BINS = 64
+STATS_MB = 1024
+ROWS_PER_TASK = 1000
+# MLlib keeps statistics per category and bin: with more series than bins the index is an ordinary number.
+MAX_CATEGORIES = BINS
 
 
 def forest(trees: int = 200, depth: int = 8, **kw) -> RandomForestRegressor:
     return RandomForestRegressor(
         featuresCol="features", labelCol="y", numTrees=trees, maxDepth=depth, seed=SEED,
-        featureSubsetStrategy="all", maxBins=MAX_SERIES_BINS, **kw
+        featureSubsetStrategy="all", maxBins=BINS, maxMemoryInMB=STATS_MB, **kw
     )
 
 
 def boosted(rounds: int = 250, depth: int = 6, rate: float = 0.05) -> GBTRegressor:
     return GBTRegressor(
         featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED,
-        subsamplingRate=0.9, featureSubsetStrategy="0.9", maxBins=MAX_SERIES_BINS, checkpointInterval=25,
+        subsamplingRate=0.9, featureSubsetStrategy="0.9", maxBins=BINS, maxMemoryInMB=STATS_MB, checkpointInterval=25,
     )
 
 
@@ -48,9 +51,33 @@ def _assemble(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
 
 
-def _indexer(series: DataFrame):
+def _index(series: DataFrame):
+    """A function that adds the number of the series as feature ``series``.
+
+    Few series become a categorical feature. A larger fleet exceeds the bins of a tree and would put every
+    key into the driver, so its keys are hashed to a number.
+    """
+    few = series.select("series_key").distinct().limit(MAX_CATEGORIES).count() < MAX_CATEGORIES
+    if not few:
+        return lambda df: df.withColumn("series", F.pmod(F.xxhash64("series_key"), F.lit(1 << 20)).cast("double"))
     indexer = StringIndexer(inputCol="series_key", outputCol="series", stringOrderType="alphabetAsc")
-    return indexer.setHandleInvalid("keep").fit(series.select("series_key"))
+    return indexer.setHandleInvalid("keep").fit(series.select("series_key")).transform
+
+
+def _spread(ready: DataFrame) -> DataFrame:
+    """Training rows kept for the many passes of MLlib; few rows in few files are spread over the cores.
+
+    A large table has enough partitions of its own and is not shuffled.
+    """
+    ready = ready.persist()
+    cores = ready.sparkSession.sparkContext.defaultParallelism
+    worth = ready.count() // ROWS_PER_TASK
+    if worth > cores * 1000:
+        return ready
+    spread = ready.repartition(max(1, min(cores, worth))).persist()
+    spread.count()
+    ready.unpersist()
+    return spread
 
 
 def _train_flag(features: DataFrame, train: float) -> DataFrame:
@@ -60,15 +87,15 @@ def _train_flag(features: DataFrame, train: float) -> DataFrame:
 
 def _fit_and_predict(series: DataFrame, estimator, train: float, leaky: bool):
     """Model trained on the first part of every series, with its predictions on the rest."""
-    index = _indexer(series)
-    assemble = _assemble([*FEATURES, "series"])
     rows = _train_flag(build_features(series, leaky), train)
-    ready = assemble.transform(index.transform(rows)).select("series_key", "ds", "y", "time", "train", "features")
-    ready = ready.persist()
+    index = _index(series)
+    assemble = _assemble([*FEATURES, "series"])
+    ready = assemble.transform(index(rows)).select("series_key", "ds", "y", "train", "features")
+    past = _spread(ready.where("train").select("y", "features"))
     try:
-        model = estimator.fit(ready.where("train"))
+        model = estimator.fit(past)
     finally:
-        ready.unpersist()
+        past.unpersist()
     tests = model.transform(ready.where(~F.col("train")))
     return model, index, assemble, rows, tests
 
@@ -76,7 +103,7 @@ def _fit_and_predict(series: DataFrame, estimator, train: float, leaky: bool):
 def _tree_forecast(series, horizon, name, estimator, train, leaky, deviation):
     check_horizon(horizon)
     model, index, assemble, rows, tests = _fit_and_predict(series, estimator, train, leaky)
-    ahead = model.transform(assemble.transform(index.transform(future_features(rows, horizon))))
+    ahead = model.transform(assemble.transform(index(future_features(rows, horizon))))
     spread = deviation(series, tests)
     out = ahead.withColumns({"yhat": F.greatest("prediction", F.lit(0.0)), "model": F.lit(name)})
     return confidence_band(out.join(spread, "series_key", "left")).select(*FORECAST)
@@ -87,9 +114,7 @@ def _test_residuals(series: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def _recent_spread(series: DataFrame, tests: DataFrame) -> DataFrame:
-    from tidemark.forecasting.simple import RECENT, _last_days
-
-    return _last_days(series, RECENT).groupBy("series_key").agg(F.stddev_samp("y").alias("std"))
+    return last_days(series, RECENT).groupBy("series_key").agg(F.stddev_samp("y").alias("std"))
 
 
 def forecast_random_forest(
@@ -121,19 +146,26 @@ def backtest_trees(series: DataFrame, models: list[str], train: float = 0.8, lea
     return out
 
 
-def forecast_calendar_forest(series: DataFrame, horizon: int = 30, trees: int = 100, depth: int = 20) -> DataFrame:
-    """Forest on weekday, month and year only; expects daily totals with missing days as zero."""
+def forecast_calendar_forest(series: DataFrame, horizon: int = 30, trees: int = 100, depth: int = 12) -> DataFrame:
+    """Forest on weekday, month and year only; expects daily totals with missing days as zero.
+
+    Three calendar features are told apart completely within about a dozen splits.
+    """
     check_horizon(horizon)
     names = ["weekday", "month", "year"]
 
     def with_calendar(df):
         return df.withColumns({k: v for k, v in calendar_columns("ds").items() if k in names})
 
-    index = _indexer(series)
+    index = _index(series)
     assemble = _assemble([*names, "series"])
-    model = forest(trees, depth).fit(assemble.transform(index.transform(with_calendar(series))))
+    past = _spread(assemble.transform(index(with_calendar(series))).select("y", "features"))
+    try:
+        model = forest(trees, depth).fit(past)
+    finally:
+        past.unpersist()
     ahead = with_calendar(future_dates(series, horizon))
-    out = model.transform(assemble.transform(index.transform(ahead)))
+    out = model.transform(assemble.transform(index(ahead)))
     return out.select("series_key", F.lit("calendar_forest").alias("model"), "ds", F.col("prediction").alias("yhat"))
 
 
@@ -153,7 +185,11 @@ def driver_regression(
     ready = _assemble(drivers).transform(
         rows.select(as_double(target).alias("y"), *[as_double(c).alias(c) for c in drivers], (draw < test).alias("test"))
     ).select("y", "features", "test")
-    model = forest(trees, depth).fit(ready.where(~F.col("test")))
+    past = _spread(ready.where(~F.col("test")).select("y", "features"))
+    try:
+        model = forest(trees, depth).fit(past)
+    finally:
+        past.unpersist()
     spark = df.sparkSession
     importances = spark.createDataFrame(
         [(d, float(v)) for d, v in zip(drivers, model.featureImportances.toArray())], "driver string, importance double"

@@ -109,13 +109,13 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def top_correlations(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
-    """The ``k`` strongest positive and negative pairs."""
+    """The ``k`` strongest positive and negative pairs; equal to 12 digits counts as a tie, settled by name."""
     columns = columns or numeric_columns(df)
     pairs = [*combinations(columns, 2)]
     r = _pair_rows(df, pairs).where(F.col("correlation").isNotNull() & (F.col("correlation") != 0))
     signed = r.withColumn("sign", F.when(F.col("correlation") > 0, "positive").otherwise("negative"))
     # One row per pair of columns reaches this window.
-    order = Window.partitionBy("sign").orderBy(F.abs("correlation").desc(), "column_a", "column_b")
+    order = Window.partitionBy("sign").orderBy(F.round(F.abs("correlation"), 12).desc(), "column_a", "column_b")
     return signed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
