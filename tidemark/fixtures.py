@@ -21,8 +21,15 @@ ORDERS_SPEC = SalesSpec("o_orderdate", "o_totalprice", "o_orderstatus", ("o_orde
 EVENTS_SPEC = SalesSpec("ts", "value", "event_type", ("event_id",))
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table; its schema is read from the footer once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:

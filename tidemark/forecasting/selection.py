@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.forecasting.fleet import FITS, backtest_fleet, forecast_fleet
 from tidemark.forecasting.simple import SIMPLE_MODELS, backtest_simple
 from tidemark.forecasting.trees import backtest_trees, forecast_boosted_trees, forecast_random_forest
+from tidemark.plans.stages import reusable
 
 TREE_MODELS = {"random_forest": forecast_random_forest, "boosted_trees": forecast_boosted_trees}
 # Models that need no training over the whole fleet; the tree models can be added by name.
@@ -60,7 +61,8 @@ def forecast_auto(series: DataFrame, horizon: int = 30, models: list[str] | None
     Every series is fitted only by the model that won it.
     """
     models = models or DEFAULT_CANDIDATES
-    scores = backtest(series, models, **sizes)
+    series = reusable(series, "series")
+    scores = reusable(backtest(series, models, **sizes), "scores")
     choice = choose_model(scores, models)
     won = series.join(choice.select("series_key", F.col("model").alias("_won")), "series_key")
     parts = [forecast(won.where(F.col("_won") == m).drop("_won"), m, horizon) for m in models if m not in TREE_MODELS]

@@ -23,6 +23,7 @@ from tidemark.forecasting.simple import FORECAST, RECENT, last_days
 from tidemark.functions.dates import calendar_columns
 from tidemark.functions.numeric import as_double
 from tidemark.operators.cleaning import binary_flag, drop_incomplete
+from tidemark.plans.stages import reusable
 from tidemark.spec import PROMO_YES
 
 SEED = 42
@@ -87,8 +88,8 @@ def _train_flag(features: DataFrame, train: float) -> DataFrame:
 
 def _fit_and_predict(series: DataFrame, estimator, train: float, leaky: bool):
     """Model trained on the first part of every series, with its predictions on the rest."""
-    rows = _train_flag(build_features(series, leaky), train)
-    index = _index(series)
+    rows = reusable(_train_flag(build_features(series, leaky), train), "features")
+    index = _index(rows)
     assemble = _assemble([*FEATURES, "series"])
     ready = assemble.transform(index(rows)).select("series_key", "ds", "y", "train", "features")
     past = _spread(ready.where("train").select("y", "features"))
@@ -157,6 +158,7 @@ def forecast_calendar_forest(series: DataFrame, horizon: int = 30, trees: int =
     def with_calendar(df):
         return df.withColumns({k: v for k, v in calendar_columns("ds").items() if k in names})
 
+    series = reusable(series, "series")
     index = _index(series)
     assemble = _assemble([*names, "series"])
     past = _spread(assemble.transform(index(with_calendar(series))).select("y", "features"))

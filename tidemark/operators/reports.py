@@ -11,6 +11,7 @@ from tidemark.forecasting.scoring import MODEL, forecast_insights, forecast_summ
 from tidemark.operators.aggregates import growth_mean, kpi_summary, top_bottom_categories
 from tidemark.operators.filters import filter_sales
 from tidemark.operators.profiles import monthly_profile
+from tidemark.plans.stages import reusable
 from tidemark.spec import SalesSpec
 
 REPORT = ["section_no", "section", "position", "label", "detail", "value"]
@@ -30,7 +31,7 @@ def _lines(one: DataFrame, number: int, section: str, values: list[str], keys: l
 
 def general_report(df: DataFrame, spec: SalesSpec, start=None, end=None, k: int = 5, **kw) -> DataFrame:
     """Summary, best and worst categories, best month, star and weak category of a period."""
-    period = filter_sales(df, spec, start, end)
+    period = reusable(filter_sales(df, spec, start, end).select(*spec.columns), "report")
     summary = _lines(kpi_summary(period, spec), 1, "summary", ["entries", "total", "mean", "median", "std"])
     growth = growth_mean(period, spec, **kw).select("growth")
     parts = [summary, _lines(growth, 1, "summary", ["growth"]).withColumn("position", F.lit(6))]
@@ -59,6 +60,7 @@ def general_report(df: DataFrame, spec: SalesSpec, start=None, end=None, k: int
 
 def forecast_report(forecast: DataFrame, series: DataFrame) -> DataFrame:
     """Statistics of every forecast, its history and one line per coming day."""
+    series, forecast = reusable(series, "series"), reusable(forecast, "forecast")
     stats = forecast_summary(forecast, series).join(forecast_insights(forecast), MODEL)
     numbers = _lines(stats, 1, "statistics", ["mean", "max", "min", "total", "trend", "volatility"], MODEL)
     past = series.groupBy("series_key").agg(F.avg("y").alias("hist_mean"), F.count("y").alias("points"))

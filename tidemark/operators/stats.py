@@ -11,6 +11,7 @@ from tidemark.functions.numeric import as_double, pearson
 from tidemark.operators.aggregates import with_key
 from tidemark.plans.lookups import lookup_join
 from tidemark.plans.quantiles import quantiles
+from tidemark.plans.stages import reusable
 from tidemark.spec import numeric_columns
 
 WIDE_TABLE = 50
@@ -19,6 +20,7 @@ WIDE_TABLE = 50
 def describe_columns(df: DataFrame, columns: list[str] | None = None, approx: bool = False, **kw) -> DataFrame:
     """Count, mean, std, min, quartiles and max, one row per column."""
     columns = columns or numeric_columns(df)
+    df = reusable(df.select(*columns), "columns")
     measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     one = df.agg(*[f(as_double(c)).alias(f"{m}_{i}") for i, c in enumerate(columns) for m, f in measures.items()])
     rows = [
@@ -51,7 +53,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 def box_stats(df: DataFrame, column: str, by: str, approx: bool = False, **kw) -> DataFrame:
     """Quartiles, whiskers within 1.5 IQR, mean, deviation and outlier count per category."""
-    df = with_key(df.select(by, as_double(column).alias("x")), by, "x")
+    df = reusable(with_key(df.select(by, as_double(column).alias("x")), by, "x"), "box")
     quart = quantiles(df, ["x"], [0.25, 0.5, 0.75], by=[by], approx=approx, **kw).select(
         by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )

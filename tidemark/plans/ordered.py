@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.stages import is_plain_scan, stored
+from tidemark.plans.stages import reusable
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 8192
+WORTH_A_BUCKET = 50_000
 SAMPLE_PER_BUCKET = 16
 BUCKET = "_bucket"
 
@@ -82,11 +83,12 @@ def bucketize(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> Bucketed:
     """Attach range buckets over ``(keys, order)``; counts the rows once to choose how many."""
-    total = df.select(*keys, *order).count()
-    buckets = min(MAX_BUCKETS, math.ceil(total / rows_per_bucket))
-    if buckets > 1 and not is_plain_scan(df):
-        df = stored(df, "ordered")
+    df = reusable(df, "ordered")
     key_columns = df.select(*keys, *order)
+    total = key_columns.count()
+    # Enough buckets to bound their size, and one per core where that still leaves long ones.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    buckets = min(MAX_BUCKETS, max(math.ceil(total / rows_per_bucket), min(cores, total // WORTH_A_BUCKET)))
     cuts = _bounds(key_columns, buckets, total) if buckets > 1 else []
     if not cuts:
         return Bucketed(df.withColumn(BUCKET, F.lit(0)), keys, order, 1, None)

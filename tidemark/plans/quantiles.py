@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.lookups import lookup_join
 from tidemark.plans.ordered import ROWS_PER_BUCKET, running_total
+from tidemark.plans.stages import stored
 
-# Below this many rows the built-in aggregate holds any group in memory without risk.
-IN_MEMORY_ROWS = 2_000_000
+# Up to this many distinct values a window may sort any group in one task.
+ONE_TASK_ROWS = 2_000_000
 
 
 def quantiles(
@@ -18,14 +19,14 @@ def quantiles(
     probs: list[float],
     by: list[str] = (),
     approx: bool = False,
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    one_task_rows: int = ONE_TASK_ROWS,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """One row per group and column: ``(*by, column, n, q0, q1, ...)`` for ``probs`` in order.
 
-    ``percentile`` keeps every distinct value of a group in one task, so it only runs on tables that were
-    counted to be small. Larger ones count equal values map-side, rank them with a bucketed running total
-    and keep the two values around each quantile.
+    Equal values are counted map-side and the counts stored, so the source is read once. The counts are
+    ranked by a running total and the two values around each quantile kept. A plain window per group ranks
+    few counts; a running total over range buckets ranks many, so that no group has to fit one task.
     """
     by = list(by)
     values = F.array(
@@ -33,18 +34,22 @@ def quantiles(
     )
     long = df.select(*by, F.inline(values)).where(F.col("x").isNotNull())
     group = [*by, "column"]
-    p = F.array(*[F.lit(float(q)) for q in probs])
     names = [f"q{i}" for i in range(len(probs))]
 
-    if approx or df.count() <= in_memory_rows:
-        function = F.percentile_approx("x", p, F.lit(10_000)) if approx else F.percentile("x", p)
-        out = long.groupBy(*group).agg(F.count("x").alias("n"), function.alias("_q"))
-        return out.select(*group, "n", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    if approx:
+        sketch = F.percentile_approx("x", F.array(*[F.lit(float(q)) for q in probs]), F.lit(10_000))
+        out = long.groupBy(*group).agg(F.count("x").alias("n"), sketch.alias("_q"))
+        return out.select(*group, "n", *[F.get("_q", F.lit(i)).alias(q) for i, q in enumerate(names)])
 
-    counted = long.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("c"))
-    ranked = running_total(counted, group, ["x"], F.col("c"), "upto", rows_per_bucket=rows_per_bucket)
-    sizes = long.groupBy(*group).agg(F.count("x").alias("n"))
-    ranked = lookup_join(ranked, sizes, group)
+    counted = stored(long.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("c")), "counts")
+    if counted.count() <= one_task_rows:
+        w = Window.partitionBy(*group)
+        upto = F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = counted.withColumns({"upto": upto, "n": F.sum("c").over(w)})
+    else:
+        ranked = running_total(counted, group, ["x"], F.col("c"), "upto", rows_per_bucket=rows_per_bucket)
+        sizes = counted.groupBy(*group).agg(F.sum("c").alias("n"))
+        ranked = lookup_join(ranked, sizes, group)
     position = {n: F.lit(float(q)) * (F.col("n") - 1) for n, q in zip(names, probs)}
     first, last = F.col("upto") - F.col("c"), F.col("upto")
 

@@ -16,6 +16,14 @@ def is_plain_scan(df: DataFrame) -> bool:
     return not any(name in plan for name in COSTLY)
 
 
+def reusable(df: DataFrame, name: str) -> DataFrame:
+    """For inputs that are read several times: a plain scan as it is, anything else stored once.
+
+    Project to the needed columns first.
+    """
+    return df if is_plain_scan(df) else stored(df, name)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
