@@ -57,7 +57,8 @@ def lag_feature(spark, d):
       FROM (SELECT *, CASE WHEN order_id % 9 <> 0 THEN CAST(amount AS DOUBLE) END AS x FROM sales)))""", "pct_change", 6))
 def pct_change(spark, d):
     # Some values are taken out, so that the fill is exercised.
-    holes = fx.sales(spark, d).withColumn("amount", F.when(F.col("order_id") % 9 != 0, F.col("amount")))
+    kept = F.when(F.col("order_id") % 9 != 0, F.col("amount")).alias("amount")
+    holes = fx.sales(spark, d).select(*fx.SPEC.order, "product", kept)
     out = win.pct_change(holes, fx.SPEC, ["product"])
     return rounded(out.select(*fx.SPEC.order, "product", "pct_change", "zero_base"), 6)
 

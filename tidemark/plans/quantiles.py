@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.lookups import lookup_join
 from tidemark.plans.ordered import ROWS_PER_BUCKET, running_total
-from tidemark.plans.stages import stored
+from tidemark.plans.stages import reusable, stored
 
-# Up to this many distinct values a window may sort any group in one task.
+# Up to this many rows a window may sort any group in one task.
 ONE_TASK_ROWS = 2_000_000
 
 
@@ -24,11 +27,12 @@ def quantiles(
 ) -> DataFrame:
     """One row per group and column: ``(*by, column, n, q0, q1, ...)`` for ``probs`` in order.
 
-    Equal values are counted map-side and the counts stored, so the source is read once. The counts are
-    ranked by a running total and the two values around each quantile kept. A plain window per group ranks
-    few counts; a running total over range buckets ranks many, so that no group has to fit one task.
+    Equal values are counted map-side, the counts ranked by a running total, and the two values around each
+    quantile kept. On a table of few rows a plain window per group does the ranking; on a longer one the
+    counts are stored and ranked over range buckets, so that no group has to fit one task.
     """
     by = list(by)
+    df = reusable(df.select(*by, *columns), "quantiles")
     values = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]
     )
@@ -41,12 +45,13 @@ def quantiles(
         out = long.groupBy(*group).agg(F.count("x").alias("n"), sketch.alias("_q"))
         return out.select(*group, "n", *[F.get("_q", F.lit(i)).alias(q) for i, q in enumerate(names)])
 
-    counted = stored(long.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("c")), "counts")
-    if counted.count() <= one_task_rows:
+    counted = long.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("c"))
+    if df.count() <= one_task_rows:
         w = Window.partitionBy(*group)
         upto = F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
         ranked = counted.withColumns({"upto": upto, "n": F.sum("c").over(w)})
     else:
+        counted = stored(counted, "counts")
         ranked = running_total(counted, group, ["x"], F.col("c"), "upto", rows_per_bucket=rows_per_bucket)
         sizes = counted.groupBy(*group).agg(F.sum("c").alias("n"))
         ranked = lookup_join(ranked, sizes, group)
@@ -56,11 +61,7 @@ def quantiles(
     def holds(rank):
         return (first <= rank) & (rank < last)
 
-    near = ranked.where(
-        F.exists(
-            F.array(*[f(position[n]) for n in names for f in (F.floor, F.ceil)]), lambda rank: holds(rank)
-        )
-    )
+    near = ranked.where(reduce(or_, [holds(f(position[n])) for n in names for f in (F.floor, F.ceil)]))
     ends = near.groupBy(*group, "n").agg(
         *[F.max(F.when(holds(F.floor(position[n])), F.col("x"))).alias(f"{n}_lo") for n in names],
         *[F.max(F.when(holds(F.ceil(position[n])), F.col("x"))).alias(f"{n}_hi") for n in names],
