@@ -23,7 +23,9 @@ SERIAL_MEDIAN = 10000
 def text_to_timestamp(c: Column) -> Column:
     text = F.trim(c)
     tries = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in DATE_PATTERNS]
-    return F.coalesce(*tries, text.try_cast("timestamp_ntz"))
+    # Longer ISO forms, such as fractions of a second; the cast alone would read a bare number as a year.
+    iso = F.when(text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ]"), text.try_cast("timestamp_ntz"))
+    return F.coalesce(*tries, iso)
 
 
 def serial_to_timestamp(c: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql.types import StructType
 SEPARATORS = [";", ",", "\t", "|"]
 DELIMITED = {"csv", "txt", "tsv"}
 SPREADSHEETS = {"xls", "xlsx"}
-BAD_BYTE = "�"
 
 
 def _separator(lines: list[str]) -> str:
@@ -40,7 +39,7 @@ def load_delimited(
     """
     text = spark.read.text(path)
     if encoding is None:
-        bad = text.where(F.contains("value", F.lit(BAD_BYTE)))
+        bad = text.where(~F.is_valid_utf8("value"))
         encoding = "UTF-8" if bad.isEmpty() else "ISO-8859-1"
     sep = sep or _separator([r[0] for r in text.limit(20).collect()])
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
