@@ -14,7 +14,9 @@ from tidemark.functions.numeric import as_double
 from tidemark.operators.aggregates import daily_totals, with_key
 from tidemark.operators.cleaning import coerce_numeric, prepare
 from tidemark.operators.windows import rolling_mean
+from tidemark.plans.lookups import lookup_join
 from tidemark.plans.ordered import ROWS_PER_BUCKET, row_index
+from tidemark.plans.stages import reusable
 from tidemark.spec import SalesSpec
 
 # Least history, origin of the positional calendar, width of the intervals, features.
@@ -79,7 +81,13 @@ def _is_text(df: DataFrame, column: str) -> bool:
 
 def prepare_series(df: DataFrame, spec: SalesSpec, by: list[str] = (), min_points: int = MIN_POINTS, **kw) -> DataFrame:
     """Daily series with at least ``min_points`` points; see ``rejected_series`` for the others."""
-    counted = all_series(df, spec, by, **kw).withColumn("_n", F.count(F.lit(1)).over(whole_series()))
+    rows = all_series(df, spec, by, **kw)
+    if kw.get("mode") == "positional":
+        # These series have as many points as the table has rows, so no group is gathered to count them.
+        rows = reusable(rows, "positional")
+        long = rows.groupBy("series_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points)
+        return lookup_join(rows, long.select("series_key"), ["series_key"], "left_semi")
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(whole_series()))
     return counted.where(F.col("_n") >= min_points).drop("_n")
 
 

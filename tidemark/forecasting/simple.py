@@ -40,13 +40,12 @@ def forecast_naive(series: DataFrame, horizon: int = 30) -> DataFrame:
 def forecast_linear(series: DataFrame, horizon: int = 30, clip: bool = True) -> DataFrame:
     """Least-squares line over the days; band from its residuals.
 
-    The residual deviation follows from r2, so the series is read once.
+    The residual deviation follows from r2 and the days are counted from a fixed origin, so that one
+    aggregate with map-side sums is all it takes.
     """
-    x = F.datediff("ds", "first_ds").cast("double")
-    first = F.min("ds").over(Window.partitionBy("series_key"))
-    params = series.withColumn("first_ds", first).groupBy("series_key").agg(
+    x = F.unix_date("ds").cast("double")
+    params = series.groupBy("series_key").agg(
         F.max("ds").alias("last_ds"),
-        F.count("y").alias("n"),
         F.regr_slope("y", x).alias("slope"),
         F.regr_intercept("y", x).alias("intercept"),
         F.regr_r2("y", x).alias("r2"),
@@ -54,7 +53,7 @@ def forecast_linear(series: DataFrame, horizon: int = 30, clip: bool = True) ->
     )
     unexplained = F.greatest(F.lit(0.0), 1 - F.coalesce("r2", F.lit(1.0)))
     params = params.withColumn("std", F.sqrt(F.col("var") * unexplained))
-    line = F.col("intercept") + F.col("slope") * (F.col("n") + F.col("_step"))
+    line = F.col("intercept") + F.col("slope") * F.unix_date("ds")
     if clip:
         return _extend(params, "linear", line, horizon)
     days = params.select("*", *steps_ahead(F.col("last_ds"), horizon)).withColumn("yhat", line)

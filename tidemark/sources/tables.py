@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Separators tried in this order, and file endings by reader.
+# Separators tried in this order, and file endings that are refused.
 SEPARATORS = [";", ",", "\t", "|"]
-DELIMITED = {"csv", "txt", "tsv"}
 SPREADSHEETS = {"xls", "xlsx"}
 
 
