@@ -47,14 +47,15 @@ def quantiles(
 
     counted = long.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("c"))
     if df.count() <= one_task_rows:
-        w = Window.partitionBy(*group)
-        upto = F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-        ranked = counted.withColumns({"upto": upto, "n": F.sum("c").over(w)})
+        # Only a running sum: a window over the whole group would buffer it.
+        upto = F.sum("c").over(Window.partitionBy(*group).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = counted.withColumn("upto", upto)
+        sizes = long.groupBy(*group).agg(F.count("x").alias("n"))
     else:
         counted = stored(counted, "counts")
         ranked = running_total(counted, group, ["x"], F.col("c"), "upto", rows_per_bucket=rows_per_bucket)
         sizes = counted.groupBy(*group).agg(F.sum("c").alias("n"))
-        ranked = lookup_join(ranked, sizes, group)
+    ranked = lookup_join(ranked, sizes, group)
     position = {n: F.lit(float(q)) * (F.col("n") - 1) for n, q in zip(names, probs)}
     first, last = F.col("upto") - F.col("c"), F.col("upto")
 
