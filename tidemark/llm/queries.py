@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, mixing, sentencepiece_bpe, url_filter
+from tidemark.llm import jaccard_join, licenses, mixing, pivots, sentencepiece_bpe, topk, url_filter
 from tidemark.llm.common import stored, table
 
 QUERIES: dict = {}
@@ -58,6 +58,35 @@ def url_filter_query(spark, sf_dir):
     return url_filter.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query(
+    "op2_ngram_jaccard",
+    r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * k >= 85 * (s.n + t.n - k)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, w.y FROM reached r JOIN ways w ON r.other = w.x)
+SELECT r.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+""",
+)
+def ngram_jaccard_query(spark, sf_dir):
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), percent=85, words=4)
+
+
 @query("op3_license_scan")
 def license_scan_query(spark, sf_dir):
     found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -73,6 +102,46 @@ def license_scan_query(spark, sf_dir):
     )
 
 
+@query(
+    "op4_exact_topk",
+    """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM rows q JOIN rows c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+)
+def exact_topk_query(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query(
+    "op6_embedding_neardup",
+    """
+WITH RECURSIVE rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM rows a JOIN rows b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.9),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+reached(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.y FROM reached r JOIN links l ON r.other = l.x),
+roots AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id)
+SELECT r.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, r.vec_id = component_id AS kept
+FROM roots r LEFT JOIN counts ON x = r.vec_id
+""",
+)
+def embedding_neardup_query(spark, sf_dir):
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query(
     "op8_source_mixing",
     r"""
