@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +89,28 @@ def document_runs(offsets: np.ndarray, limit: int):
         end = min(max(end, start + 1), len(offsets) - 1)
         yield start, end
         start = end
+
+
+def whole_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Cut sorted batches so that no group of ``keys`` is split; a batch's last group waits for the next batch."""
+    waiting: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        group = pdf[keys].to_numpy()
+        first = waiting[0][keys].to_numpy()[0] if waiting else group[0]
+        if (group[-1] == first).all():
+            waiting.append(pdf)
+            continue
+        cut = int(np.flatnonzero((group != group[-1]).any(1))[-1]) + 1
+        yield pd.concat([*waiting, pdf.iloc[:cut]], ignore_index=True)
+        waiting = [pdf.iloc[cut:]]
+    if waiting:
+        yield pd.concat(waiting, ignore_index=True)
+
+
+def group_starts(pdf: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """First row and size of every group of sorted rows."""
+    group = pdf[keys].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)]))
+    return starts, np.diff([*starts, len(group)])

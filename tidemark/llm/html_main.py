@@ -27,10 +27,10 @@ from tidemark.llm.common import widened
 
 SAMPLE = 300  # pages to train on: those with the smallest hashes of their ids
 SAMPLE_CHARS = 100_000  # longer pages are not trained on
-PATH, WORDS, MEASURES = 160, 32, 8
+PATH, WORDS, MEASURES = 256, 32, 8
 INPUT = PATH + WORDS + MEASURES
-HIDDEN = 12
-ROUNDS = 8
+HIDDEN = 16
+ROUNDS = 12
 BATCH = 32
 RATE = 0.01
 DEPTH = 16
@@ -41,6 +41,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small"
     " span strike strong sub sup time tt u var wbr".split()
 )
+# Elements that never hold main text, checked after labelling.
+NEVER = frozenset("nav aside form footer menu dialog button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_CONTENT = frozenset("script style noscript template svg math textarea select iframe object canvas title audio video".split())
 # A start tag closes an open element of the same group.
@@ -307,6 +309,8 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], seed: int = 3, rounds: int
         for s in starts:
             batch = pages[s : s + BATCH]
             x, mask = _padded([p[0] for p in batch])
+            # Often without their words, so that layout alone must do.
+            x[:, :, PATH : PATH + WORDS] *= rng.random((*mask.shape, 1)) < 0.5
             y, _ = _padded([p[1][:, None].astype(np.float32) for p in batch])
             step += 1
             rate = RATE * (1 - n / rounds * 0.8)
@@ -399,7 +403,7 @@ def lesson(texts: list[str], others: list[str], rng: np.random.Generator) -> tup
 _SIDE_WORDS = frozenset("ad ads advert nav menu header footer sidebar comment comments cookie notice banner form".split())
 
 
-def lessons(pages: list[str], seed: int = 5, layouts: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+def lessons(pages: list[str], seed: int = 5, layouts: int = 6) -> list[tuple[np.ndarray, np.ndarray]]:
     """Training data of marked-up pages as they are, and of their texts in other layouts."""
     rng, out, read = np.random.default_rng(seed), [], []
     side_places = {_hashed(w, PATH) for w in _SIDE_WORDS} - {_hashed("<" + n, PATH) for n in ("html", "body", "article", "main", "p", "h1", "div", "li", "ul", "section")}
@@ -409,7 +413,7 @@ def lessons(pages: list[str], seed: int = 5, layouts: int = 4) -> list[tuple[np.
             bool(MAIN & b.names) and not ASIDE & b.names and not any(b.path[p] for p in side_places) for b in found
         ], bool)
         if main.any():
-            out.append((vectors(found), main))
+            out += [(vectors(found), main)] * 2
             read.append(([b.text for b, m in zip(found, main) if m], [b.text for b in found]))
     others = [t for _, texts in read for t in texts] or ["Home", "Contact", "All rights reserved"]
     own = [texts for texts, _ in read] or [["A first paragraph.", "And a second one, somewhat longer."]]
@@ -430,6 +434,10 @@ def train_labeller(pages: DataFrame, page_id: str = "page_id", page: str = "html
     return train(lessons([h for _, h in sample]))
 
 
+def main_text(blocks: list[Block], chances: np.ndarray) -> str:
+    return "\n".join(b.text for b, p in zip(blocks, chances) if p >= 0.5 and NEVER.isdisjoint(b.names))
+
+
 def extract_main_text(pages: DataFrame, net: Labeller, page: str = "html", text: str = "text") -> DataFrame:
     """Add ``text``: the blocks labelled as main text, white space collapsed, joined by line ends.
 
@@ -447,7 +455,7 @@ def extract_main_text(pages: DataFrame, net: Labeller, page: str = "html", text:
                 part = batch.slice(start, 1000)
                 blocks = [blocks_of(h) for h in part.column(len(rest)).to_pylist()]
                 chances = label_pages(shared.value, [vectors(b) for b in blocks])
-                texts = ["\n".join(b.text for b, p in zip(bs, ps) if p >= 0.5) for bs, ps in zip(blocks, chances)]
+                texts = [main_text(bs, ps) for bs, ps in zip(blocks, chances)]
                 columns = [part.column(i) for i in range(len(rest))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*rest, text])
 

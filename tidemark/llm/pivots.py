@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import group_starts, stored, whole_groups
 from tidemark.llm.components import connected_components
 
 PIVOTS = 1000  # most reference points
@@ -164,30 +164,14 @@ def _verify(met: DataFrame, pivots: dict[int, np.ndarray], least: float) -> Data
     """``(h1, links, a, b)``: links to be added up, or (with no links) a pair of linked ids, from sorted lists."""
     shared = met.sparkSession.sparkContext.broadcast(pivots)
 
-    def lists_of(batches):
-        """Whole lists: the last one of a batch waits for the next batch."""
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            group = pdf[["key", "i", "j"]].to_numpy()
-            last = np.flatnonzero((group != group[-1]).any(1))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield pdf.iloc[:cut]
-            rest = pdf.iloc[cut:]
-        if rest is not None and len(rest):
-            yield rest
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in lists_of(b for b in batches if len(b)):
+        for pdf in whole_groups(batches, ["key", "i", "j"]):
             for dim, part in pdf.groupby("dim", sort=False):
                 units = _unit(list(part["vector"]))
                 near = nearest(units, shared.value[int(dim)])
                 reps, weight, keys, ids = (part[c].to_numpy() for c in ("rep", "n", "key", "h1"))
                 block, i, j = (part[c].to_numpy() for c in ("block", "i", "j"))
-                new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-                starts = np.flatnonzero(new)
-                sizes = np.diff([*starts, len(keys)])
+                starts, sizes = group_starts(part, ["key", "i", "j"])
                 tally = _Tally()
                 for size in np.unique(sizes[sizes <= SMALL]):
                     a, b = np.triu_indices(size, 1)

@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join, licenses, mixing, pivots, sentencepiece_bpe, topk, url_filter
+from tidemark.llm import (
+    html_main,
+    jaccard_join,
+    licenses,
+    masked_lm,
+    mixing,
+    pivots,
+    quality,
+    sentencepiece_bpe,
+    topk,
+    url_filter,
+)
 from tidemark.llm.common import stored, table
 
 QUERIES: dict = {}
@@ -120,6 +131,13 @@ def exact_topk_query(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@query("op5_html_main_text")
+def html_main_text_query(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_main.extract_main_text(pages, html_main.train_labeller(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query(
     "op6_embedding_neardup",
     """
@@ -142,6 +160,22 @@ def embedding_neardup_query(spark, sf_dir):
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def quality_model(spark, sf_dir, docs):
+    """Trained with trusted positives outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~quality.in_fold(F.col("doc_id")))
+    return quality.train_quality(docs.select(F.col("doc_id").alias("id"), "text"), labels.select(F.col("doc_id").alias("id")))
+
+
+@query("op7_quality_classifier")
+def quality_query(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality_model(spark, sf_dir, docs))
+    return scored.select(
+        "doc_id", F.coalesce(quality.in_fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query(
     "op8_source_mixing",
     r"""
@@ -183,3 +217,8 @@ def sentencepiece_query(spark, sf_dir):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_masked_lm")
+def masked_lm_query(spark, sf_dir):
+    return masked_lm.score_documents(table(spark, sf_dir, "documents"))
