@@ -36,6 +36,11 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def matching(big: DataFrame, keys: DataFrame, key: str, how: str = "left_semi", most: int = 200_000) -> DataFrame:
+    """Semi or anti join with a stored table of distinct long keys: broadcast if these are at most ``most``."""
+    return big.join(F.broadcast(keys) if keys.count() <= most else keys, key, how)
+
+
 def ship(spark: SparkSession, data: bytes, name: str) -> str:
     """Put ``data`` into the shared folder and let every executor fetch it; returns the name for ``SparkFiles.get``.
 
