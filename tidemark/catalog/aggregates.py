@@ -34,6 +34,56 @@ def growth(spark, d):
     return rounded(agg.growth_mean(fx.sales(spark, d), fx.SPEC))
 
 
+@query("growth_mean_buckets", oracle(f"SELECT {GROWTH} FROM ({GLOBAL_CHANGES})", "growth"))
+def growth_buckets(spark, d):
+    """The same over many range buckets, as on a long table."""
+    return rounded(agg.growth_mean(fx.sales(spark, d), fx.SPEC, rows_per_bucket=1500))
+
+
+# NaN is a missing value: SQL over NULL must give the same.
+HOLES = f"FROM (SELECT * REPLACE (CASE WHEN order_id % 7 <> 0 THEN {D} END AS amount) FROM sales)"
+
+
+def _holes(spark, d):
+    amount = F.when(F.col("order_id") % 7 == 0, float("nan")).otherwise(F.col("amount").cast("double"))
+    return fx.sales(spark, d).withColumn("amount", amount)
+
+
+@query("kpi_summary_nan", oracle(f"""
+    SELECT {TOTAL} AS total, {MEAN} AS mean, count(DISTINCT product) AS categories, count(*) AS entries,
+           stddev_samp({D}) AS std, quantile_cont({D}, 0.5) AS median {HOLES}""", "total mean std median"))
+def kpis_nan(spark, d):
+    return rounded(agg.kpi_summary(_holes(spark, d), fx.SPEC))
+
+
+@query("describe_columns_nan", oracle(f"""
+    SELECT 'amount' AS "column", count(amount) AS count, avg(amount) AS mean, stddev_samp(amount) AS std, min(amount) AS min,
+      max(amount) AS max, quantile_cont(amount, 0.25) AS p25, quantile_cont(amount, 0.5) AS p50, quantile_cont(amount, 0.75) AS p75
+    {HOLES}""", "mean std min max p25 p50 p75"))
+def describe_nan(spark, d):
+    return rounded(stats.describe_columns(_holes(spark, d), ["amount"]))
+
+
+@query("histogram_nan", oracle(f"""
+    WITH v AS (SELECT amount AS x {HOLES}), m AS (SELECT min(x) AS a, max(x) AS b FROM v),
+    c AS (SELECT CAST(least(floor((x - a) / ((b - a) / 20)), 19) AS INTEGER) AS bin, count(*) AS n FROM v CROSS JOIN m WHERE x IS NOT NULL GROUP BY 1)
+    SELECT CAST(g AS INTEGER) AS bin, a + g * ((b - a) / 20) AS lower, a + (g + 1) * ((b - a) / 20) AS upper, coalesce(n, 0) AS frequency
+    FROM m CROSS JOIN generate_series(0, 19) t(g) LEFT JOIN c ON c.bin = g""", "lower upper"))
+def histogram_nan(spark, d):
+    return rounded(stats.histogram(_holes(spark, d), "amount", 20))
+
+
+@query("box_stats_nan", oracle(f"""
+    WITH h AS (SELECT product, amount AS x {HOLES}),
+    q AS (SELECT product, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3 FROM h GROUP BY 1),
+    j AS (SELECT q.*, x, x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM h JOIN q USING (product) WHERE x IS NOT NULL)
+    SELECT product, q1, median, q3, min(x) FILTER (inside) AS whisker_low, max(x) FILTER (inside) AS whisker_high,
+           avg(x) AS mean, stddev_samp(x) AS std, count(*) FILTER (NOT inside) AS outliers
+    FROM j GROUP BY 1, 2, 3, 4""", "q1 median q3 whisker_low whisker_high mean std"))
+def box_nan(spark, d):
+    return rounded(stats.box_stats(_holes(spark, d), "amount", "product"))
+
+
 @query("daily_totals", oracle(f"""
     WITH t AS (SELECT product, sale_date AS date, {TOTAL} AS value FROM sales GROUP BY 1, 2),
     c AS (SELECT product, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM t GROUP BY 1)
@@ -156,6 +206,14 @@ def describe(spark, d):
     return rounded(stats.describe_columns(fx.sales(spark, d), NUMBERS))
 
 
+@query("describe_columns_buckets", oracle(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(x) AS count, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min, max(x) AS max,
+        quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75
+        FROM (SELECT CAST({c} AS DOUBLE) AS x FROM sales)""" for c in NUMBERS), "mean std min max p25 p50 p75"))
+def describe_buckets(spark, d):
+    return rounded(stats.describe_columns(fx.sales(spark, d), NUMBERS, one_task_rows=1, rows_per_bucket=3000))
+
+
 @query("histogram", oracle(f"""
     WITH v AS (SELECT {D} AS x FROM sales), m AS (SELECT min(x) AS a, max(x) AS b FROM v),
     c AS (SELECT CAST(least(floor((x - a) / ((b - a) / 50)), 49) AS INTEGER) AS bin, count(*) AS n FROM v CROSS JOIN m GROUP BY 1)
@@ -177,6 +235,17 @@ def box(spark, d):
     return rounded(stats.box_stats(fx.sales(spark, d), "amount", "product"))
 
 
+@query("box_stats_buckets", oracle(f"""
+    WITH q AS (SELECT product, quantile_cont({D}, 0.25) AS q1, quantile_cont({D}, 0.5) AS median, quantile_cont({D}, 0.75) AS q3
+               FROM sales GROUP BY 1),
+    j AS (SELECT q.*, {D} AS x, {D} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM sales JOIN q USING (product))
+    SELECT product, q1, median, q3, min(x) FILTER (inside) AS whisker_low, max(x) FILTER (inside) AS whisker_high,
+           avg(x) AS mean, stddev_samp(x) AS std, count(*) FILTER (NOT inside) AS outliers
+    FROM j GROUP BY 1, 2, 3, 4""", "q1 median q3 whisker_low whisker_high mean std"))
+def box_buckets(spark, d):
+    return rounded(stats.box_stats(fx.sales(spark, d), "amount", "product", one_task_rows=1, rows_per_bucket=3000))
+
+
 CORRELATIONS = " UNION ALL ".join(
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS correlation FROM sales"
     for a, b in combinations(NUMBERS, 2))
@@ -258,7 +327,12 @@ def verdict(spark, d):
     return rounded(agg.growth_verdict(fx.sales(spark, d), fx.SPEC))
 
 
-@query("user_lookup", oracle("""
+@query("user_lookup", oracle("SELECT * FROM contacts WHERE email = 'client101@shop.ma'"))
+def one_user(spark, d):
+    return agg.user_lookup(fx.contacts(spark, d), "client101@shop.ma").select("contact_id", "c_name", "email", "phone")
+
+
+@query("users_known", oracle("""
     SELECT c.* FROM contacts c WHERE email IN (SELECT DISTINCT concat('client', CAST(o_custkey AS VARCHAR), '@shop.ma') FROM orders
       WHERE o_orderstatus = 'F')"""))
 def lookup(spark, d):

@@ -65,6 +65,58 @@ def prepare(spark, d):
     return rounded(series.prepare_series(fx.sales(spark, d), fx.SPEC, ["region", "product"], fill="zero"))
 
 
+POSITIONAL = """
+    WITH p AS (SELECT product AS series_key, CAST(DATE '2024-01-01' + CAST(row_number() OVER (PARTITION BY product
+                 ORDER BY sale_date, order_id, line_no, part_id, supp_id) - 1 AS INTEGER) AS DATE) AS ds, CAST(amount AS DOUBLE) AS y FROM sales)"""
+
+
+@query("prepare_series_positional", oracle(POSITIONAL + " SELECT * FROM p", "y"))
+def positional(spark, d):
+    return rounded(series.prepare_series(fx.sales(spark, d), fx.SPEC, ["product"], mode="positional"))
+
+
+@query("forecast_linear_positional", oracle(POSITIONAL + """,
+    line AS (SELECT series_key, max(ds) AS last_ds, regr_slope(y, ds - DATE '1970-01-01') AS b,
+                    regr_intercept(y, ds - DATE '1970-01-01') AS a, sqrt(var_pop(y) * (1 - regr_r2(y, ds - DATE '1970-01-01'))) AS std
+             FROM p GROUP BY 1),
+    f AS (SELECT series_key, 'linear' AS model, CAST(last_ds + CAST(t.g AS INTEGER) AS DATE) AS ds,
+                 greatest(a + b * (last_ds - DATE '1970-01-01' + t.g), 0) AS yhat, std FROM line CROSS JOIN generate_series(1, 30) t(g))
+    SELECT series_key, model, ds, yhat, greatest(yhat - 1.96 * std, 0) AS lo, yhat + 1.96 * std AS hi FROM f""", "yhat lo hi"))
+def linear_positional(spark, d):
+    rows = series.prepare_series(fx.sales(spark, d), fx.SPEC, ["product"], mode="positional")
+    return rounded(simple.forecast_linear(rows, H))
+
+
+@query("rejected_series", oracle("""
+    WITH t AS (SELECT DISTINCT concat(region, '|', CAST(part_id AS VARCHAR)) AS k, sale_date AS d FROM sales),
+    n AS (SELECT k AS series_key, CAST(max(d) - min(d) + 1 AS BIGINT) AS n FROM t GROUP BY 1)
+    SELECT *, 'fewer than 14 points' AS reason FROM n WHERE n < 14"""))
+def rejected(spark, d):
+    return series.rejected_series(fx.sales(spark, d), fx.SPEC, ["region", "part_id"])
+
+
+@query("prepare_series_keys", oracle("""
+    WITH t AS (SELECT CASE WHEN line_no % 2 = 0 THEN concat(region, '\\|x|', 'y') ELSE concat(region, '|', 'x\\|y') END AS k,
+                      sale_date AS d, CAST(sum(amount) AS DOUBLE) AS v FROM sales GROUP BY 1, 2),
+    c AS (SELECT k, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS ds FROM t GROUP BY 1)
+    SELECT c.k AS series_key, ds, coalesce(v, 0) AS y FROM c LEFT JOIN t ON t.k = c.k AND t.d = c.ds""", "y"))
+def separators_in_keys(spark, d):
+    """Key parts that hold the separator stay apart."""
+    even = F.col("line_no") % 2 == 0
+    sales = fx.sales(spark, d).withColumns({
+        "a": F.when(even, F.concat("region", F.lit("|x"))).otherwise(F.col("region")), "b": F.when(even, F.lit("y")).otherwise(F.lit("x|y"))})
+    return rounded(series.prepare_series(sales, fx.SPEC, ["a", "b"], fill="zero"))
+
+
+@query("prepare_series_nan", oracle("""
+    WITH t AS (SELECT product AS k, sale_date AS d, CAST(sum(amount) AS DOUBLE) AS v FROM sales WHERE order_id % 7 <> 0 GROUP BY 1, 2),
+    c AS (SELECT k, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS ds FROM t GROUP BY 1)
+    SELECT c.k AS series_key, ds, coalesce(v, 0) AS y FROM c LEFT JOIN t ON t.k = c.k AND t.d = c.ds""", "y"))
+def prepare_nan(spark, d):
+    amount = F.when(F.col("order_id") % 7 == 0, float("nan")).otherwise(F.col("amount").cast("double"))
+    return rounded(series.prepare_series(fx.sales(spark, d).withColumn("amount", amount), fx.SPEC, ["product"], fill="zero"))
+
+
 @query("future_dates", oracle(S + """
     SELECT series_key, CAST(step AS INTEGER) AS _step, CAST(max(ds) + CAST(step + 1 AS INTEGER) AS DATE) AS ds
     FROM s CROSS JOIN h GROUP BY series_key, step"""))
@@ -149,8 +201,7 @@ def random_forest(spark, d):
 
 @query("forecast_boosted_trees")
 def boosted_trees(spark, d):
-    # Boosting adds one tree after the other; 40 rounds instead of the default 250 keep this check short.
-    return rounded(trees.forecast_boosted_trees(_series(spark, d), H, rounds=40))
+    return rounded(trees.forecast_boosted_trees(_series(spark, d), H))
 
 
 @query("forecast_arima")

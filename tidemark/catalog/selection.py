@@ -80,6 +80,11 @@ def latest(spark, d):
     return rounded(out.withColumn("last_amount", F.col("last_amount").cast("double")))
 
 
+@query("series_points_raw", oracle("SELECT sale_date, product, quantity, stock FROM sales", "quantity stock"))
+def raw_points(spark, d):
+    return rounded(filters.series_points(fx.sales(spark, d), fx.SPEC, ["quantity", "stock"])).select("sale_date", "product", "quantity", "stock")
+
+
 @query("series_points", oracle("""
     SELECT CAST(date_trunc('week', sale_date) AS DATE) AS date, product, CAST(sum(amount) AS DOUBLE) AS amount, sum(stock) AS stock
     FROM sales GROUP BY 1, 2""", "amount stock"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
 from tidemark.catalog.registry import oracle, query, rounded
-from tidemark.functions.dates import calendar_features, parse_dates
+from tidemark.functions.dates import calendar_features, parse_dates, unreadable_dates
 from tidemark.functions.numeric import total
 from tidemark.functions.validation import valid_email, valid_phone, validity_counts
 from tidemark.operators import cleaning
@@ -42,6 +42,22 @@ def load_delimited(spark, d):
     return _by_product(tables.load_delimited(spark, path))
 
 
+@query("load_delimited_cases", """
+    SELECT concat('say "', o_orderpriority, '"; first', chr(10), 'second, é') AS note, count(*) AS n,
+           count(CASE WHEN o_orderkey % 10 <> 3 THEN 1 END) AS priced,
+           round(sum(CASE WHEN o_orderkey % 10 <> 3 THEN o_totalprice END) + CAST(3e-05 AS DOUBLE), 2) + 0.0 AS total
+    FROM orders GROUP BY 1""")
+def load_delimited_cases(spark, d):
+    """Quotes, separators and line breaks in quotes, words for missing values, letters beyond ASCII."""
+    note = F.concat(F.lit('say "'), "o_orderpriority", F.lit('"; first\nsecond, é'))
+    price = F.when(F.col("o_orderkey") % 10 == 3, F.element_at(F.array(*map(F.lit, ["NA", "n/a", "nan", "NULL"])),
+                   (F.col("o_orderkey") % 4 + 1).cast("int"))).otherwise(F.col("o_totalprice").cast("string"))
+    out = fx.table(spark, d, "orders").select("o_orderkey", note.alias("note"), price.alias("price"))
+    read = tables.load_delimited(spark, sinks.export(out, scratch_path(spark, "cases"), "csv"))
+    return rounded(read.groupBy("note").agg(
+        F.count(F.lit(1)).alias("n"), F.count("price").alias("priced"), F.sum("price").alias("total")), 2)
+
+
 @query("load_parquet", oracle(BY_STATUS, "total", 2))
 def load_parquet(spark, d):
     return _by_status(tables.load_table(spark, f"{d}/orders.parquet"))
@@ -79,7 +95,7 @@ _PROFILE = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus",
         count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count FROM orders"""
     for i, (c, t) in enumerate(_PROFILE))))
 def table_profile(spark, d):
-    return tables.table_profile(fx.table(spark, d, "orders"))
+    return tables.table_profile(fx.table(spark, d, "orders"), distinct="exact")
 
 
 @query("numeric_columns", oracle(" UNION ALL ".join(
@@ -157,6 +173,27 @@ def _text_dates(spark, d):
     return fx.table(spark, d, "orders").select("o_orderkey", "o_totalprice", text.alias("order_date"))
 
 
+@query("parse_dates_forms", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 8 THEN NULL WHEN o_orderkey % 9 = 7
+             THEN CAST(o_orderdate AS DATE) + INTERVAL 15 HOUR + INTERVAL 5 MINUTE ELSE CAST(o_orderdate AS DATE) END::TIMESTAMP AS day
+    FROM orders""")
+def date_forms(spark, d):
+    """Two-digit years, month names, compact and 12-hour forms."""
+    day, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 9
+    text = F.when(key == 8, F.lit("32/13/2024"))
+    shapes = ["dd/MM/yy", "d-MM-yy", "dd-MMM-yyyy", "MMM d, yyyy", "yyyyMMdd", "d MMMM yyyy", "dd.MM.yy", "dd/MM/yyyy '3:05 PM'"]
+    for i, shape in enumerate(shapes):
+        text = text.when(key == i, F.date_format(day, shape))
+    return parse_dates(fx.table(spark, d, "orders").select("o_orderkey", text.alias("day")), "day")
+
+
+@query("unreadable_dates", """
+    SELECT 'order_date' AS "column", count(*) AS entries, 0::BIGINT AS missing, count(CASE WHEN o_orderkey % 6 = 5 THEN 1 END) AS unreadable
+    FROM orders""")
+def unreadable(spark, d):
+    return unreadable_dates(_text_dates(spark, d), "order_date")
+
+
 DATED = "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE date_trunc('day', o_orderdate) END AS order_date FROM orders"
 
 

@@ -35,6 +35,15 @@ def moving_average_rows(spark, d):
     return rounded(win.moving_average_rows(fx.table(spark, d, "orders"), fx.ORDERS_SPEC).select("o_orderkey", "ma_7", "ma_30"))
 
 
+@query("moving_average_rows_buckets", oracle(f"""
+    SELECT o_orderkey, {_strict('o_totalprice', 7, 'o_orderdate, o_orderkey')},
+           {_strict('o_totalprice', 30, 'o_orderdate, o_orderkey')} FROM orders""", "ma_7 ma_30"))
+def moving_average_rows_buckets(spark, d):
+    """The same over many range buckets, as on a long table."""
+    out = win.moving_average_rows(fx.table(spark, d, "orders"), fx.ORDERS_SPEC, rows_per_bucket=400)
+    return rounded(out.select("o_orderkey", "ma_7", "ma_30"))
+
+
 @query("moving_average_partial", oracle("SELECT product, date, value, " + ", ".join(
     f"avg(value) {_frame(n, 'date', 'PARTITION BY product')} AS ma_{n}" for n in (7, 14, 30)) + f" FROM ({DAILY_BY})",
     "value ma_7 ma_14 ma_30"))

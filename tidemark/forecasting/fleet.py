@@ -223,10 +223,8 @@ def _decomposable(y, horizon, pdf):
         return fit_decomposable(y, horizon, start)
     drivers = pdf[names].to_numpy(float)
     past = drivers[: len(y)]
-    # Coming driver values are unknown: on a back-test the observed ones are used, otherwise those of a week ago.
-    ahead = drivers[len(y) : len(y) + horizon]
-    if len(ahead) < horizon:
-        ahead = past[[len(past) - SEASON + i % SEASON for i in range(horizon)]]
+    # Coming driver values are unknown, on a back-test too: those of a week ago stand in.
+    ahead = past[[len(past) - SEASON + i % SEASON for i in range(horizon)]]
     return fit_decomposable(y, horizon, start, past, ahead)
 
 

@@ -13,9 +13,7 @@ from tidemark.forecasting.trees import backtest_trees, forecast_boosted_trees, f
 from tidemark.plans.stages import reusable
 
 TREE_MODELS = {"random_forest": forecast_random_forest, "boosted_trees": forecast_boosted_trees}
-# Models that need no training over the whole fleet; the tree models can be added by name.
-DEFAULT_CANDIDATES = ["naive", "linear", "smart_ma", "holt_winters"]
-ALL_CANDIDATES = ["naive", "linear", "random_forest", "boosted_trees", "sarima", "decomposable"]
+DEFAULT_CANDIDATES = ["naive", "linear", "random_forest", "boosted_trees", "sarima", "decomposable"]
 
 
 def _known(models: list[str]) -> None:
@@ -38,12 +36,19 @@ def backtest(series: DataFrame, models: list[str] | None = None, train: float =
     return reduce(DataFrame.unionByName, parts)
 
 
-def forecast(series: DataFrame, model: str, horizon: int = 30) -> DataFrame:
-    """Forecast with one model by name."""
+def forecast(series: DataFrame, model: str, horizon: int = 30, spread: DataFrame | None = None, **sizes) -> DataFrame:
+    """Forecast with one model by name, fitted on the full history.
+
+    A tree model's band comes from ``spread(series_key, std)``, since no days are left to test it on.
+    """
     _known([model])
     if model in FITS:
         return forecast_fleet(series, model, horizon)
-    return {**SIMPLE_MODELS, **TREE_MODELS}[model](series, horizon)
+    if model in TREE_MODELS:
+        size = {"random_forest": "trees", "boosted_trees": "rounds"}[model]
+        given = {size: sizes[size]} if size in sizes else {}
+        return TREE_MODELS[model](series, horizon, train=1.0, spread=spread, **given)
+    return SIMPLE_MODELS[model](series, horizon)
 
 
 def choose_model(scores: DataFrame, models: list[str]) -> DataFrame:
@@ -64,10 +69,12 @@ def forecast_auto(series: DataFrame, horizon: int = 30, models: list[str] | None
     series = reusable(series, "series")
     scores = reusable(backtest(series, models, **sizes), "scores")
     choice = choose_model(scores, models)
-    won = series.join(choice.select("series_key", F.col("model").alias("_won")), "series_key")
+    choice = reusable(choice, "choice")
+    won = reusable(series.join(choice.select("series_key", F.col("model").alias("_won")), "series_key"), "won")
     parts = [forecast(won.where(F.col("_won") == m).drop("_won"), m, horizon) for m in models if m not in TREE_MODELS]
     for m in [m for m in models if m in TREE_MODELS]:
         # A pooled model learns from all series; its forecast is kept where it won.
         mine = choice.where(F.col("model") == m).select("series_key")
-        parts.append(forecast(series, m, horizon).join(mine, "series_key", "left_semi"))
+        spread = choice.select("series_key", F.col("rmse").alias("std"))
+        parts.append(forecast(series, m, horizon, spread, **sizes).join(mine, "series_key", "left_semi"))
     return reduce(DataFrame.unionByName, parts), choice, scores

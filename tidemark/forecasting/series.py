@@ -38,7 +38,9 @@ def by_day():
 def _keyed(df: DataFrame, by: list[str]) -> DataFrame:
     if not by:
         return df.withColumn("series_key", F.lit(WHOLE))
-    key = F.col(by[0]).cast("string") if len(by) == 1 else F.concat_ws("|", *by)
+    # Separators inside the parts are escaped, so different keys give different series.
+    parts = [F.regexp_replace(F.col(c).cast("string"), r"([\\|])", r"\\$1") for c in by]
+    key = F.col(by[0]).cast("string") if len(by) == 1 else F.concat_ws("|", *parts)
     return with_key(df, *by).withColumn("series_key", key)
 
 
@@ -64,7 +66,7 @@ def all_series(
     """Every series, long enough or not."""
     by = list(by)
     rows = prepare(coerce_numeric(df, spec.target_col) if _is_text(df, spec.target_col) else df, spec)
-    rows = _keyed(rows.where(F.col(spec.target_col).isNotNull()), by)
+    rows = _keyed(rows.where(as_double(spec.target_col).isNotNull()), by)
     if mode == "positional":
         # Row number instead of date: each row of the series is taken as one day.
         indexed = row_index(rows, ["series_key"], spec.order, "_idx", rows_per_bucket=rows_per_bucket)

@@ -1,12 +1,12 @@
 """Tree ensembles of MLlib, trained on all series at once.
 
 One pooled model replaces one model per series: MLlib distributes the rows of every tree level over the
-cluster, and the series enters as an indexed categorical feature.
+cluster, and the series enters as its level, spread and slope over the training days.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +29,13 @@ from tidemark.spec import PROMO_YES
 SEED = 42
 BINS = 64
 STATS_MB = 1024
-ROWS_PER_TASK = 1000
-# MLlib keeps statistics per category and bin: with more series than bins the index is an ordinary number.
-MAX_CATEGORIES = BINS
+# Training rows are dealt to this many tasks by a hash of their keys, so that bagging draws the same rows on any
+# cluster; raise it with the number of rows.
+TASKS = 16
+# MLlib's limit: trees grow until a leaf cannot be split.
+FULL_DEPTH = 30
+# The series enters as what is known of it, which works alike for one series and for millions.
+SERIES_FEATURES = ["series_mean", "series_dev", "series_trend"]
 
 
 def forest(trees: int = 200, depth: int = 8, **kw) -> RandomForestRegressor:
@@ -52,33 +56,19 @@ def _assemble(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
 
 
-def _index(series: DataFrame):
-    """A function that adds the number of the series as feature ``series``.
-
-    Few series become a categorical feature. A larger fleet exceeds the bins of a tree and would put every
-    key into the driver, so its keys are hashed to a number.
-    """
-    few = series.select("series_key").distinct().limit(MAX_CATEGORIES).count() < MAX_CATEGORIES
-    if not few:
-        return lambda df: df.withColumn("series", F.pmod(F.xxhash64("series_key"), F.lit(1 << 20)).cast("double"))
-    indexer = StringIndexer(inputCol="series_key", outputCol="series", stringOrderType="alphabetAsc")
-    return indexer.setHandleInvalid("keep").fit(series.select("series_key")).transform
-
+def _describe_series(past: DataFrame) -> DataFrame:
+    """Level, spread and slope of every series over its training days, in one grouped aggregate."""
+    day = F.unix_date("ds").cast("double")
+    return past.groupBy("series_key").agg(
+        F.avg("y").alias("series_mean"), F.stddev_pop("y").alias("series_dev"),
+        F.coalesce(F.regr_slope("y", day), F.lit(0.0)).alias("series_trend"),
+    )
 
-def _spread(ready: DataFrame) -> DataFrame:
-    """Training rows kept for the many passes of MLlib; few rows in few files are spread over the cores.
 
-    A large table has enough partitions of its own and is not shuffled.
-    """
-    ready = ready.persist()
-    cores = ready.sparkSession.sparkContext.defaultParallelism
-    worth = ready.count() // ROWS_PER_TASK
-    if worth > cores * 1000:
-        return ready
-    spread = ready.repartition(max(1, min(cores, worth))).persist()
-    spread.count()
-    ready.unpersist()
-    return spread
+def _spread(ready: DataFrame, keys: list[str], tasks: int = TASKS) -> DataFrame:
+    """Training rows kept for the many passes of MLlib, dealt by a hash of ``keys`` and sorted within tasks."""
+    dealt = ready.repartition(tasks, *keys).sortWithinPartitions(*keys).select("y", "features")
+    return dealt.persist()
 
 
 def _train_flag(features: DataFrame, train: float) -> DataFrame:
@@ -86,26 +76,26 @@ def _train_flag(features: DataFrame, train: float) -> DataFrame:
     return features.join(last, "series_key").withColumn("train", F.col("time") < F.floor(F.col("_n") * F.lit(train)))
 
 
-def _fit_and_predict(series: DataFrame, estimator, train: float, leaky: bool):
+def _fit_and_predict(series: DataFrame, estimator, train: float, leaky: bool, tasks: int = TASKS):
     """Model trained on the first part of every series, with its predictions on the rest."""
     rows = reusable(_train_flag(build_features(series, leaky), train), "features")
-    index = _index(rows)
-    assemble = _assemble([*FEATURES, "series"])
-    ready = assemble.transform(index(rows)).select("series_key", "ds", "y", "train", "features")
-    past = _spread(ready.where("train").select("y", "features"))
+    known = reusable(_describe_series(rows.where("train")), "series")
+    assemble = _assemble([*FEATURES, *SERIES_FEATURES])
+    ready = assemble.transform(rows.join(known, "series_key")).select("series_key", "ds", "y", "train", "features")
+    past = _spread(ready.where("train"), ["series_key", "ds"], tasks)
     try:
         model = estimator.fit(past)
     finally:
         past.unpersist()
     tests = model.transform(ready.where(~F.col("train")))
-    return model, index, assemble, rows, tests
+    return model, known, assemble, rows, tests
 
 
-def _tree_forecast(series, horizon, name, estimator, train, leaky, deviation):
+def _tree_forecast(series, horizon, name, estimator, train, leaky, deviation, spread=None, tasks=TASKS):
     check_horizon(horizon)
-    model, index, assemble, rows, tests = _fit_and_predict(series, estimator, train, leaky)
-    ahead = model.transform(assemble.transform(index(future_features(rows, horizon))))
-    spread = deviation(series, tests)
+    model, known, assemble, rows, tests = _fit_and_predict(series, estimator, train, leaky, tasks)
+    ahead = model.transform(assemble.transform(future_features(rows, horizon).join(known, "series_key")))
+    spread = deviation(series, tests) if spread is None else spread
     out = ahead.withColumns({"yhat": F.greatest("prediction", F.lit(0.0)), "model": F.lit(name)})
     return confidence_band(out.join(spread, "series_key", "left")).select(*FORECAST)
 
@@ -119,18 +109,19 @@ def _recent_spread(series: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def forecast_random_forest(
-    series: DataFrame, horizon: int = 30, trees: int = 200, depth: int = 8, train: float = 0.8, leaky: bool = True
+    series: DataFrame, horizon: int = 30, trees: int = 200, depth: int = 8, train: float = 0.8, leaky: bool = True,
+    spread: DataFrame | None = None, tasks: int = TASKS,
 ) -> DataFrame:
-    """Random forest on the nine features; band from the residuals on the test part."""
-    return _tree_forecast(series, horizon, "random_forest", forest(trees, depth), train, leaky, _test_residuals)
+    """Random forest on the nine features; band from the residuals on the test part, or ``spread(series_key, std)``."""
+    return _tree_forecast(series, horizon, "random_forest", forest(trees, depth), train, leaky, _test_residuals, spread, tasks)
 
 
 def forecast_boosted_trees(
     series: DataFrame, horizon: int = 30, rounds: int = 250, depth: int = 6, rate: float = 0.05,
-    train: float = 0.8, leaky: bool = True,
+    train: float = 0.8, leaky: bool = True, spread: DataFrame | None = None, tasks: int = TASKS,
 ) -> DataFrame:
-    """Gradient boosted trees on the nine features; band from the last 30 days."""
-    return _tree_forecast(series, horizon, "boosted_trees", boosted(rounds, depth, rate), train, leaky, _recent_spread)
+    """Gradient boosted trees on the nine features; band from the last 30 days, or ``spread(series_key, std)``."""
+    return _tree_forecast(series, horizon, "boosted_trees", boosted(rounds, depth, rate), train, leaky, _recent_spread, spread, tasks)
 
 
 def backtest_trees(series: DataFrame, models: list[str], train: float = 0.8, leaky: bool = True, **sizes) -> DataFrame:
@@ -147,11 +138,8 @@ def backtest_trees(series: DataFrame, models: list[str], train: float = 0.8, lea
     return out
 
 
-def forecast_calendar_forest(series: DataFrame, horizon: int = 30, trees: int = 100, depth: int = 12) -> DataFrame:
-    """Forest on weekday, month and year only; expects daily totals with missing days as zero.
-
-    Three calendar features are told apart completely within about a dozen splits.
-    """
+def forecast_calendar_forest(series: DataFrame, horizon: int = 30, trees: int = 100, depth: int = FULL_DEPTH) -> DataFrame:
+    """Forest on weekday, month and year only; expects daily totals with missing days as zero."""
     check_horizon(horizon)
     names = ["weekday", "month", "year"]
 
@@ -159,21 +147,21 @@ def forecast_calendar_forest(series: DataFrame, horizon: int = 30, trees: int =
         return df.withColumns({k: v for k, v in calendar_columns("ds").items() if k in names})
 
     series = reusable(series, "series")
-    index = _index(series)
-    assemble = _assemble([*names, "series"])
-    past = _spread(assemble.transform(index(with_calendar(series))).select("y", "features"))
+    known = reusable(_describe_series(series), "series")
+    assemble = _assemble([*names, *SERIES_FEATURES])
+    past = _spread(assemble.transform(with_calendar(series).join(known, "series_key")), ["series_key", "ds"])
     try:
         model = forest(trees, depth).fit(past)
     finally:
         past.unpersist()
-    ahead = with_calendar(future_dates(series, horizon))
-    out = model.transform(assemble.transform(index(ahead)))
+    ahead = with_calendar(future_dates(series, horizon)).join(known, "series_key")
+    out = model.transform(assemble.transform(ahead))
     return out.select("series_key", F.lit("calendar_forest").alias("model"), "ds", F.col("prediction").alias("yhat"))
 
 
 def driver_regression(
     df: DataFrame, target: str, price: str, promo: str, stock: str, marketing: str, holiday: str,
-    row_key: list[str], trees: int = 100, depth: int = 8, test: float = 0.2,
+    row_key: list[str], trees: int = 100, depth: int = FULL_DEPTH, test: float = 0.2,
 ):
     """Sales explained by price, promotion, stock, marketing budget and holiday.
 
@@ -184,10 +172,14 @@ def driver_regression(
     rows = drop_incomplete(df.select(target, *drivers, *[c for c in row_key if c not in drivers]))
     rows = binary_flag(binary_flag(rows, promo, PROMO_YES), holiday, "Yes")
     draw = F.pmod(F.xxhash64(F.lit(SEED), *row_key), F.lit(1_000_000)) / 1_000_000
+    keys = [f"_key{i}" for i in range(len(row_key))]
     ready = _assemble(drivers).transform(
-        rows.select(as_double(target).alias("y"), *[as_double(c).alias(c) for c in drivers], (draw < test).alias("test"))
-    ).select("y", "features", "test")
-    past = _spread(ready.where(~F.col("test")).select("y", "features"))
+        rows.select(
+            as_double(target).alias("y"), *[as_double(c).alias(c) for c in drivers], (draw < test).alias("test"),
+            *[F.col(c).alias(k) for c, k in zip(row_key, keys)],
+        )
+    ).select("y", "features", "test", *keys)
+    past = _spread(ready.where(~F.col("test")), keys)
     try:
         model = forest(trees, depth).fit(past)
     finally:

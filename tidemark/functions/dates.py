@@ -13,8 +13,17 @@ DATE_PATTERNS = [
     "d/M/yyyy[ H:m[:s]]",
     "d-M-yyyy[ H:m[:s]]",
     "d.M.yyyy[ H:m[:s]]",
+    "d/M/yyyy h:m[:s] a",
     "d MMM yyyy",
+    "d-MMM-yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "yyyyMMdd",
 ]
+# Two-digit years; from 69 on they belong to the last century.
+SHORT_YEARS = ["d/M/yy", "d-M-yy", "d.M.yy"]
+CENTURY_FROM = 2069
 # Spreadsheet serial dates count days from this origin; they are told apart by a large median.
 SERIAL_ORIGIN = "1899-12-30"
 SERIAL_MEDIAN = 10000
@@ -25,7 +34,9 @@ def text_to_timestamp(c: Column) -> Column:
     tries = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in DATE_PATTERNS]
     # Longer ISO forms, such as fractions of a second; the cast alone would read a bare number as a year.
     iso = F.when(text.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ]"), text.try_cast("timestamp_ntz"))
-    return F.coalesce(*tries, iso)
+    short = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in SHORT_YEARS]
+    short = [F.when(F.year(s) >= CENTURY_FROM, F.add_months(s.cast("date"), -1200).cast("timestamp_ntz")).otherwise(s) for s in short]
+    return F.coalesce(*tries, iso, *short)
 
 
 def serial_to_timestamp(c: Column) -> Column:
@@ -68,6 +79,17 @@ def parse_dates(df: DataFrame, column: str, into: str | None = None) -> DataFram
     return df.withColumn(into or column, parsed)
 
 
+def unreadable_dates(df: DataFrame, column: str) -> DataFrame:
+    """``(column, entries, missing, unreadable)``: how many values :func:`parse_dates` turns into NULL."""
+    raw = F.col("_raw")
+    parsed = parse_dates(df.withColumn("_raw", F.col(column)), column)
+    return parsed.select(
+        F.lit(column).alias("column"), raw.isNull().alias("_none"), (raw.isNotNull() & F.col(column).isNull()).alias("_bad")
+    ).groupBy("column").agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if("_none").alias("missing"), F.count_if("_bad").alias("unreadable")
+    )
+
+
 def day_of(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("date")
 

@@ -10,18 +10,24 @@ def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def present(c: str | Column) -> Column:
+    """The value, with NaN as missing."""
+    return F.when(~F.isnan(col_of(c).cast("double")), col_of(c))
+
+
 def as_double(c: str | Column) -> Column:
-    return col_of(c).cast("double")
+    """As double, with NaN as missing."""
+    return F.nullif(col_of(c).cast("double"), F.lit(float("nan")))
 
 
 def total(c: str | Column) -> Column:
     """Sum as double, 0 when there is nothing to add. Decimals are added exactly before the cast."""
-    return F.coalesce(F.sum(col_of(c)).cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(present(c)).cast("double"), F.lit(0.0))
 
 
 def mean(c: str | Column) -> Column:
     """Mean as double; for decimals the sum is exact, so the result does not depend on the row order."""
-    return F.try_divide(F.sum(col_of(c)).cast("double"), F.count(col_of(c)).cast("double"))
+    return F.try_divide(F.sum(present(c)).cast("double"), F.count(present(c)).cast("double"))
 
 
 def percent_of(part: Column, whole: Column) -> Column:

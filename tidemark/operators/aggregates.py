@@ -265,4 +265,4 @@ def user_lookup(df: DataFrame, email: str, column: str = "email") -> DataFrame:
 
 def users_known(df: DataFrame, emails: DataFrame, column: str = "email") -> DataFrame:
     """Batch form: the records whose address occurs in ``emails``."""
-    return df.join(emails.select(column), column, "left_semi")
+    return df.join(emails.select(column).distinct(), column, "left_semi")

@@ -89,11 +89,11 @@ def latest_value(df: DataFrame, spec: SalesSpec, column: str, by: list[str] = ()
     return df.groupBy(*by).agg(F.max_by(column, F.struct(*spec.order)).alias(f"last_{column}"))
 
 
-def series_points(df: DataFrame, spec: SalesSpec, columns: list[str], rollup: str | None = "day") -> DataFrame:
+def series_points(df: DataFrame, spec: SalesSpec, columns: list[str], rollup: str | None = None) -> DataFrame:
     """Points ``(date, category, columns...)`` for line and scatter charts.
 
-    ``rollup`` day, week, month or year adds the values per step, since a chart cannot show raw rows at
-    scale; ``None`` keeps every row.
+    Every row by default; ``rollup`` day, week, month or year adds the values per step, for charts of large tables
+    (add amounts that way, not levels such as stock).
     """
     keys = [spec.cat_col] if spec.cat_col else []
     if rollup is None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +12,6 @@ from tidemark.plans.quantiles import quantiles
 from tidemark.plans.stages import reusable
 from tidemark.spec import numeric_columns
 
-WIDE_TABLE = 50
-
 
 def describe_columns(df: DataFrame, columns: list[str] | None = None, approx: bool = False, **kw) -> DataFrame:
     """Count, mean, std, min, quartiles and max, one row per column."""
@@ -34,21 +30,21 @@ def describe_columns(df: DataFrame, columns: list[str] | None = None, approx: bo
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """Rows per equal-width bin between the extremes, empty bins included; the last bin is closed."""
-    x = as_double(column)
-    low, high = df.agg(F.min(x), F.max(x)).first()
-    if low is None:
-        return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, frequency bigint")
-    width = (high - low) / bins if high > low else 1.0
-    slot = F.least(F.floor((x - low) / width), F.lit(bins - 1)).cast("int")
-    counted = df.where(x.isNotNull()).groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("frequency"))
-    edges = df.sparkSession.range(bins).select(
-        F.col("id").cast("int").alias("bin"),
-        (F.lit(low) + F.col("id") * width).alias("lower"),
-        (F.lit(low) + (F.col("id") + 1) * width).alias("upper"),
+    """Rows per equal-width bin between the extremes, empty bins included; the last bin is closed.
+
+    No job runs before the result is asked for. Without values there are no bins.
+    """
+    values = df.select(as_double(column).alias("x")).where(F.col("x").isNotNull())
+    width = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / bins).otherwise(1.0)
+    range_ = values.agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low IS NOT NULL").withColumn("width", width)
+    # One row, so the joins are broadcasts.
+    slot = F.least(F.floor((F.col("x") - F.col("low")) / F.col("width")), F.lit(bins - 1)).cast("int")
+    counted = values.join(F.broadcast(range_)).groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("frequency"))
+    edges = range_.select("low", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
+        "bin", (F.col("low") + F.col("bin") * F.col("width")).alias("lower"),
+        (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("upper"),
     )
-    out = edges.join(counted, "bin", "left")
-    return out.withColumn("frequency", F.coalesce("frequency", F.lit(0).cast("bigint")))
+    return edges.join(counted, "bin", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0).cast("bigint")))
 
 
 def box_stats(df: DataFrame, column: str, by: str, approx: bool = False, **kw) -> DataFrame:
@@ -69,52 +65,37 @@ def box_stats(df: DataFrame, column: str, by: str, approx: bool = False, **kw) -
     )
 
 
-def _pair_rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    one = df.agg(*[pearson(a, b).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r_{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return one.select(F.inline(F.array(*rows)))
+def _pair_rows(df: DataFrame, columns: list[str], diagonal: bool = False) -> DataFrame:
+    """Correlation of every pair of columns, in one scan and one plan for any number of columns.
 
+    A row becomes one ``(i, j, x, y)`` per pair; the grouped aggregate meets them map-side, so one row per pair and
+    task is shuffled.
+    """
+    k, own = len(columns), 0 if diagonal else 1
+    values = df.select(F.array(*[as_double(c) for c in columns]).alias("v"))
+    pairs = F.expr(f"""flatten(transform(sequence(0, {k - 1}), i -> transform(
+        filter(sequence(0, {k - 1}), j -> j >= i + {own}), j -> struct(i AS i, j AS j, v[i] AS x, v[j] AS y))))""")
+    grouped = values.select(F.inline(pairs)).groupBy("i", "j").agg(pearson("x", "y").alias("correlation"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return grouped.select(F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), "correlation")
 
-def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of columns, both directions and the diagonal, in long form.
 
-    All pairs are computed in one pass. Tables with many columns keep the same pass per block of pairs,
-    since a single aggregate over thousands of pairs would not compile.
-    """
+def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Pearson correlation of every pair of columns, both directions and the diagonal, in long form."""
     columns = columns or numeric_columns(df)
-    pairs = [*combinations(columns, 2)]
-    block = WIDE_TABLE * (WIDE_TABLE - 1) // 2
-    upper = None
-    for i in range(0, len(pairs), block):
-        part = _pair_rows(df, pairs[i : i + block])
-        upper = part if upper is None else upper.unionByName(part)
-    itself = F.inline(
-        F.array(*[
-            F.struct(F.lit(c).alias("column_a"), F.lit(c).alias("column_b"), F.col(f"v{i}").alias("correlation"))
-            for i, c in enumerate(columns)
-        ])
-    )
-    spread = [F.when(F.stddev_pop(as_double(c)) > 0, 1.0).alias(f"v{i}") for i, c in enumerate(columns)]
-    diagonal = df.agg(*spread).select(itself)
-    if upper is None:
-        return diagonal
-    both = F.inline(
-        F.array(
-            F.struct("column_a", "column_b", "correlation"),
-            F.struct(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), F.col("correlation")),
-        )
-    )
-    return upper.select(both).unionByName(diagonal)
+    upper = _pair_rows(df, columns, diagonal=True)
+    same = F.col("column_a") == F.col("column_b")
+    # A column's correlation with itself is 1 to the last bit, or missing.
+    value = F.when(same & F.col("correlation").isNotNull(), 1.0).otherwise(F.col("correlation")).alias("correlation")
+    there = F.struct("column_a", "column_b", value)
+    back = F.struct(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"), value)
+    return upper.select(F.inline(F.when(same, F.array(there)).otherwise(F.array(there, back))))
 
 
 def top_correlations(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
     """The ``k`` strongest positive and negative pairs; equal to 12 digits counts as a tie, settled by name."""
     columns = columns or numeric_columns(df)
-    pairs = [*combinations(columns, 2)]
-    r = _pair_rows(df, pairs).where(F.col("correlation").isNotNull() & (F.col("correlation") != 0))
+    r = _pair_rows(df, columns).where(F.col("correlation").isNotNull() & (F.col("correlation") != 0))
     signed = r.withColumn("sign", F.when(F.col("correlation") > 0, "positive").otherwise("negative"))
     # One row per pair of columns reaches this window.
     order = Window.partitionBy("sign").orderBy(F.round(F.abs("correlation"), 12).desc(), "column_a", "column_b")

@@ -3,30 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 20_000
-SALTS = 32
 
-
-def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys``; ``how`` is inner, left, left_semi or left_anti.
 
-    Fetches at most ``max_rows + 1`` rows of ``small``. When that is all of it, the rows are broadcast
-    (and not computed again); otherwise both sides shuffle on ``keys`` plus a salt, so that one key with
-    a large share of ``big`` is spread over ``salts`` tasks.
+    One plain equi-join for every size: adaptive execution broadcasts the small side once its size is known to be
+    below ``spark.sql.autoBroadcastJoinThreshold``, and otherwise splits a key with a large share of ``big`` over
+    several tasks.
     """
-    head = small.limit(max_rows + 1).collect()
-    if len(head) <= max_rows:
-        local = big.sparkSession.createDataFrame(head, small.schema)
-        return big.join(F.broadcast(local), keys, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return big.join(small, keys, how)

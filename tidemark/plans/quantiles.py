@@ -36,7 +36,8 @@ def quantiles(
     values = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns]
     )
-    long = df.select(*by, F.inline(values)).where(F.col("x").isNotNull())
+    # NaN is a missing value.
+    long = df.select(*by, F.inline(values)).where(F.col("x").isNotNull() & ~F.isnan("x"))
     group = [*by, "column"]
     names = [f"q{i}" for i in range(len(probs))]
 

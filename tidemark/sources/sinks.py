@@ -10,7 +10,8 @@ def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexist
     """Write as CSV with header, JSON lines with ISO dates, parquet, or one text column as plain text."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        # Quotes are doubled, as spreadsheets and other readers expect.
+        writer.option("header", True).option("escape", '"').csv(path)
     elif fmt == "json":
         writer.json(path)
     elif fmt == "parquet":

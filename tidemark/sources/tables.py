@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.functions.numeric import present
+
 # Separators tried in this order, and file endings that are refused.
 SEPARATORS = [";", ",", "\t", "|"]
 SPREADSHEETS = {"xls", "xlsx"}
+# Words that stand for a missing value.
+MISSING_WORDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]
 
 
 def _separator(lines: list[str]) -> str:
@@ -30,21 +37,59 @@ def load_delimited(
     sep: str | None = None,
     encoding: str | None = None,
     schema: StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Delimited text with a header line.
+    """Delimited text with a header line, as spreadsheets and other tools write it.
 
-    The separator comes from the header. The encoding is UTF-8 unless some byte of the text is not, which
-    takes a pass over the text; name ``encoding`` and ``schema`` to read large inputs only once.
+    Fields may be quoted, with doubled quotes and line breaks inside; the usual words for a missing value give
+    NULL; blanks around values are dropped. The separator comes from the header. One pass over the text finds the
+    column types (whole numbers, numbers, truth values, text) and whether all of it is UTF-8; otherwise it is read
+    as Latin-1. Name ``encoding`` and ``schema`` to leave that pass out, and turn ``multi_line`` off for large
+    files without quoted line breaks, so that they can be split.
     """
-    text = spark.read.text(path)
-    if encoding is None:
-        bad = text.where(~F.is_valid_utf8("value"))
-        encoding = "UTF-8" if bad.isEmpty() else "ISO-8859-1"
-    sep = sep or _separator([r[0] for r in text.limit(20).collect()])
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-    reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+    sep = sep or _separator([r[0] for r in spark.read.text(path).limit(20).collect()])
+    reader = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=multi_line)
+    # Latin-1 keeps every byte as one character, so the bytes can be looked at again.
+    raw = reader.option("encoding", encoding or "ISO-8859-1").csv(path)
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+
+    def value(c: Column) -> Column:
+        text = F.trim(c)
+        return F.when(~text.isin(MISSING_WORDS), text)
+
+    def utf8(c: Column) -> Column:
+        return F.encode(c, "ISO-8859-1").cast("string")
+
+    found = None
+    if schema is None or encoding is None:
+        measures = []
+        for i, c in enumerate(raw.columns):
+            v = value(F.col(f"`{c}`"))
+            measures += [
+                F.count(v).alias(f"n{i}"), F.count(v.try_cast("bigint")).alias(f"bigint{i}"), F.count(v.try_cast("double")).alias(f"double{i}"),
+                F.count_if(F.lower(v).isin("true", "false")).alias(f"boolean{i}"),
+                F.count_if(~F.is_valid_utf8(utf8(F.col(f"`{c}`")))).alias(f"bad{i}"),
+            ]
+        found = raw.agg(*measures).first()
+    recode = encoding is None and not any(found[f"bad{i}"] for i in range(len(raw.columns)))
+    columns = []
+    for i, c in enumerate(raw.columns):
+        text = value(utf8(F.col(f"`{c}`")) if recode else F.col(f"`{c}`"))
+        if schema is not None:
+            kind, name = schema.fields[i].dataType.simpleString(), schema.fields[i].name
+        else:
+            kinds = [k for k in ("bigint", "double", "boolean") if found[f"n{i}"] and found[f"{k}{i}"] == found[f"n{i}"]]
+            kind, name = kinds[0] if kinds else "string", _recoded(c) if recode else c
+        columns.append((text if kind == "string" else text.try_cast(kind)).alias(name))
+    return raw.select(*columns)
+
+
+def _recoded(name: str) -> str:
+    try:
+        return name.encode("latin-1").decode("utf-8")
+    except UnicodeDecodeError:
+        return name
 
 
 def clean_names(df: DataFrame) -> DataFrame:
@@ -70,36 +115,32 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, **options
     return clean_names(df)
 
 
-def table_profile(df: DataFrame, approx: bool = False) -> DataFrame:
-    """One row per column: position, type, rows, nulls and distinct values of the table, in one scan."""
-    kinds = {f.name: (i, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)}
-    if approx:
-        one = df.agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.count(F.col(c)).alias(f"n_{i}") for c, (i, _) in kinds.items()],
-            *[F.approx_count_distinct(F.col(c)).alias(f"d_{i}") for c, (i, _) in kinds.items()],
+def table_profile(df: DataFrame, distinct: str | None = None) -> DataFrame:
+    """One row per column: position, type, rows and nulls (NaN included), in one scan without a shuffle of cells.
+
+    ``distinct`` adds the number of distinct values: ``"exact"`` (every distinct value of every column is shuffled)
+    or ``"approx"``.
+    """
+    if distinct not in (None, "exact", "approx"):
+        raise ValueError(f"unknown way to count distinct values {distinct!r}")
+    count = {"exact": lambda c: F.count_distinct(c), "approx": F.approx_count_distinct}.get(distinct)
+    fields = list(enumerate(df.schema.fields))
+    real = {f.name for _, f in fields if f.dataType.simpleString() in ("float", "double")}
+    value = {f.name: present(f"`{f.name}`") if f.name in real else F.col(f"`{f.name}`") for _, f in fields}
+    one = df.agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count(value[f.name]).alias(f"n_{i}") for i, f in fields],
+        *([count(value[f.name]).alias(f"d_{i}") for i, f in fields] if count else []),
+    )
+    rows = [
+        F.struct(
+            F.lit(f.name).alias("column"), F.lit(i).alias("position"), F.lit(f.dataType.simpleString()).alias("type"),
+            F.col("_n").alias("row_count"), (F.col("_n") - F.col(f"n_{i}")).alias("null_count"),
+            *([F.col(f"d_{i}").alias("distinct_count")] if count else []),
         )
-        rows = [
-            F.struct(
-                F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(kind).alias("type"),
-                F.col("_n").alias("row_count"), (F.col("_n") - F.col(f"n_{i}")).alias("null_count"),
-                F.col(f"d_{i}").alias("distinct_count"),
-            )
-            for c, (i, kind) in kinds.items()
-        ]
-        return one.select(F.inline(F.array(*rows)))
-    cells = [
-        F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(kind).alias("type"),
-                 F.col(c).cast("string").alias("v"))
-        for c, (i, kind) in kinds.items()
+        for i, f in fields
     ]
-    # Equal values meet in the map-side count, so a value that fills a third of a column costs one row per task.
-    counted = df.select(F.inline(F.array(*cells))).groupBy("column", "position", "type", "v").agg(F.count(F.lit(1)).alias("c"))
-    return counted.groupBy("column", "position", "type").agg(
-        F.sum("c").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0).cast("bigint")).alias("null_count"),
-        F.count("v").alias("distinct_count"),
-    )
+    return one.select(F.inline(F.array(*rows)))
 
 
 def column_names(df: DataFrame) -> list[str]:
