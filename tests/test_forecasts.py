@@ -62,7 +62,7 @@ def test_fixed_smoothing_and_vector_recursion_equal_the_loop(two):
         assert out[key]["yhat"].to_numpy() == pytest.approx(np.maximum(expected, 0))
         assert out[key]["sse"].iloc[0] == pytest.approx(sse)
         grid = [np.array([0.5, v]) for v in (0.2, 0.1, 0.3)]
-        assert fleet.smooth(y, *grid)[0][1] == pytest.approx(sse)
+        assert fleet.smoothing_errors(y, *grid)[1] == pytest.approx(sse)
 
 
 def test_fixed_arima_and_vector_recursion_equal_the_loop(two):
@@ -72,35 +72,57 @@ def test_fixed_arima_and_vector_recursion_equal_the_loop(two):
         expected, sse = arima_loop(y, 0.4, -0.6, 10)
         assert out[key]["yhat"].to_numpy() == pytest.approx(np.maximum(expected, 0))
         assert out[key]["sse"].iloc[0] == pytest.approx(sse)
-        sums, errors = fleet.css(np.diff(y), [(1, np.array([0.1, 0.4]))], [(1, np.array([0.2, -0.6]))])
+        sums = fleet.squared_innovations(np.diff(y), [(1, np.array([0.1, 0.4]))], [(1, np.array([0.2, -0.6]))])
         assert sums[1] == pytest.approx(sse)
 
 
-def test_arima_recovers_its_parameters():
+def ahead_of(spark, y, model, days):
+    return fleet.forecast_fleet(frame(spark, a=y), model, days).orderBy("ds").toPandas()["yhat"].to_numpy()
+
+
+def test_arima_recovers_its_parameters(spark):
     rng = np.random.default_rng(1)
     e = rng.normal(0, 1, 4000)
     w = np.zeros(4000)
     for t in range(1, 4000):
         w[t] = 0.6 * w[t - 1] + e[t] - 0.3 * e[t - 1]
     y = 1000 + np.cumsum(w)
-    ahead, _ = fleet.fit_arima(y, 50)
     best, _ = arima_loop(y, 0.6, -0.3, 50)
-    assert ahead == pytest.approx(best, abs=0.3)
+    assert ahead_of(spark, y, "arima", 50) == pytest.approx(best, abs=0.5)
 
 
-def test_seasonal_difference_is_undone():
+def test_seasonal_difference_is_undone(spark):
     y = np.tile([1.0, 5.0, 2.0, 8.0, 3.0, 9.0, 4.0], 6) + 0.5 * np.arange(42)
     expected = np.tile([1.0, 5.0, 2.0, 8.0, 3.0, 9.0, 4.0], 2) + 0.5 * np.arange(42, 56)
-    assert fleet.fit_sarima(y, 14)[0] == pytest.approx(expected, abs=1e-6)
+    assert ahead_of(spark, y, "sarima", 14) == pytest.approx(expected, abs=1e-6)
 
 
-def test_lag_regression_and_decomposable_continue_a_clear_pattern():
+def test_lag_regression_and_decomposable_continue_a_clear_pattern(spark):
     t = np.arange(200)
     y = 10 + 2.0 * t + 5 * np.sin(2 * np.pi * t / 7)
     ahead = np.arange(200, 214)
     expected = 10 + 2.0 * ahead + 5 * np.sin(2 * np.pi * ahead / 7)
-    assert fleet.fit_decomposable(y, 14)[0] == pytest.approx(expected, rel=0.02)
-    assert fleet.fit_ar5(10 + 2.0 * t, 5)[0] == pytest.approx(10 + 2.0 * np.arange(200, 205))
+    assert ahead_of(spark, y, "decomposable", 14) == pytest.approx(expected, rel=0.02)
+    assert ahead_of(spark, 10 + 2.0 * t, "arima_510", 5) == pytest.approx(10 + 2.0 * np.arange(200, 205))
+
+
+def test_lag_regression_equals_least_squares(spark):
+    rng = np.random.default_rng(7)
+    y = 200 + np.cumsum(rng.normal(0, 3, 120))
+    w = np.diff(y)
+    lags = np.column_stack([w[5 - k : len(w) - k] for k in range(1, 6)])
+    phi, *_ = np.linalg.lstsq(lags, w[5:], rcond=None)
+    steps = list(w)
+    for _ in range(6):
+        steps.append(sum(c * steps[-k] for k, c in enumerate(phi, 1)))
+    assert ahead_of(spark, y, "arima_510", 6) == pytest.approx(y[-1] + np.cumsum(steps[-6:]))
+
+
+def test_series_that_are_too_long_are_listed_and_others_go_on(spark, monkeypatch):
+    monkeypatch.setattr(fleet, "MAX_POINTS", 30)
+    df = frame(spark, a=np.arange(40.0), b=np.arange(20.0))
+    assert [r["series_key"] for r in fleet.too_long(df).collect()] == ["a"]
+    assert {r["series_key"] for r in fleet.forecast_fleet(df, "arima", 3).collect()} == {"b"}
 
 
 @pytest.mark.parametrize("model", [*selection.SIMPLE_MODELS, *fleet.FITS])
@@ -147,14 +169,19 @@ def test_tie_takes_the_first_model(spark):
     assert selection.choose_model(scores, ["naive", "linear"]).first()["model"] == "naive"
 
 
-def test_a_failing_model_scores_infinity(spark, monkeypatch):
-    df = frame(spark, a=np.arange(20.0))
+def test_a_model_without_a_fit_scores_infinity(spark):
+    df = frame(spark, a=np.arange(10.0))
+    assert selection.backtest(df, ["sarima"]).first()["mae"] == float("inf")
 
-    def broken(y, h, pdf):
-        raise ValueError("no fit")
 
-    monkeypatch.setitem(fleet.FITS, "arima", broken)
-    assert selection.backtest(df, ["arima"]).first()["mae"] == float("inf")
+def test_tree_winner_learns_from_the_full_history(spark, monkeypatch):
+    seen = []
+    spread = trees._spread
+    monkeypatch.setattr(trees, "_spread", lambda ready, *a: seen.append(ready.count()) or spread(ready, *a))
+    df = frame(spark, a=np.arange(60.0) % 7)
+    ahead, choice, _ = selection.forecast_auto(df, 5, ["random_forest"], trees=3)
+    assert seen == [48, 60] and choice.first()["model"] == "random_forest"
+    assert all(r["lo"] <= r["yhat"] <= r["hi"] for r in ahead.collect())
 
 
 def test_features_with_and_without_leak(spark):

@@ -169,9 +169,32 @@ def smart_ma(spark, d):
     return rounded(simple.forecast_smart_ma(_series(spark, d), H))
 
 
-@query("forecast_holt_winters")
+def _grid(names, values):
+    rows = ", ".join("(" + ", ".join(f"CAST({float(v)!r} AS DOUBLE)" for v in g) + ")" for g in values)
+    return f"g({names}) AS (VALUES {rows})"
+
+
+@query("forecast_holt_winters", oracle(S + ", " + _grid("ga, gb, gc", fleet.SMOOTHING) + """,
+    st AS (SELECT series_key, avg(y) FILTER (i < 7) AS one, avg(y) FILTER (i >= 7 AND i < 14) AS two FROM s GROUP BY 1),
+    run AS (
+      SELECT series_key, ga, gb, gc, CAST(7 AS BIGINT) AS i, one AS level, (two - one) / 7 AS trend,
+             (SELECT list(y - one ORDER BY i) FROM s WHERE s.series_key = st.series_key AND s.i < 7) AS season,
+             CAST(0 AS DOUBLE) AS sse, CAST(0 AS DOUBLE) AS err
+      FROM st CROSS JOIN g
+      UNION ALL
+      SELECT series_key, ga, gb, gc, i, lv AS level, trend + gb * (lv - level - trend), list_append(season[2:], season[1] + gc * (y - lv - season[1])),
+             sse + e * e, err + e
+      FROM (SELECT r.series_key, ga, gb, gc, r.i + 1 AS i, r.level, r.trend, r.season, r.sse, r.err, s.y,
+                   s.y - r.level - r.trend - r.season[1] AS e, r.level + r.trend + ga * (s.y - r.level - r.trend - r.season[1]) AS lv
+            FROM run r JOIN s ON s.series_key = r.series_key AND s.i = r.i)),
+    fin AS (SELECT run.*, last_ds, line.n - 7 AS m FROM run JOIN line ON line.series_key = run.series_key AND run.i = line.n
+            QUALIFY row_number() OVER (PARTITION BY run.series_key ORDER BY sse, ga, gb, gc) = 1),
+    o AS (SELECT series_key, 'holt_winters' AS model, CAST(last_ds + CAST(step + 1 AS INTEGER) AS DATE) AS ds,
+           greatest(level + trend * (step + 1) + season[(step % 7) + 1], 0) AS yhat, 1.96 * sqrt(sse / m - pow(err / m, 2)) AS reach
+          FROM fin CROSS JOIN h)
+    SELECT series_key, model, ds, yhat, greatest(yhat - reach, 0) AS lo, yhat + reach AS hi FROM o""", BOUNDS, 2))
 def holt_winters(spark, d):
-    return rounded(fleet.forecast_fleet(_series(spark, d), "holt_winters", H))
+    return rounded(fleet.forecast_fleet(_series(spark, d), "holt_winters", H), 2)
 
 
 # The season array is rotated: its first entry belongs to the current day.
@@ -204,10 +227,28 @@ def boosted_trees(spark, d):
     return rounded(trees.forecast_boosted_trees(_series(spark, d), H))
 
 
-@query("forecast_arima")
+@query("forecast_arima", oracle(S + ", " + _grid("p, q", fleet.ARMA) + """,
+    run AS (
+      SELECT series_key, p, q, CAST(1 AS BIGINT) AS i, y, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS sse
+      FROM s CROSS JOIN g WHERE s.i = 0
+      UNION ALL
+      SELECT r.series_key, p, q, r.i + 1, s.y, s.y - r.y, s.y - r.y - p * r.w - q * r.e,
+             r.sse + CASE WHEN r.i = 1 THEN 0 ELSE pow(s.y - r.y - p * r.w - q * r.e, 2) END
+      FROM run r JOIN s ON s.series_key = r.series_key AND s.i = r.i),
+    dev AS (SELECT series_key, stddev_pop(y) AS std FROM s GROUP BY 1),
+    fin AS (SELECT run.*, last_ds, std FROM run JOIN line ON line.series_key = run.series_key AND run.i = line.n
+              JOIN dev ON dev.series_key = run.series_key
+            QUALIFY row_number() OVER (PARTITION BY run.series_key ORDER BY sse, p, q) = 1),
+    o AS (SELECT series_key, 'arima' AS model, CAST(last_ds + CAST(step + 1 AS INTEGER) AS DATE) AS ds,
+           greatest(y + (p * w + q * e) * (1 - pow(p, step + 1)) / (1 - p), 0) AS yhat, 1.96 * std AS reach FROM fin CROSS JOIN h)
+    SELECT series_key, model, ds, yhat, greatest(yhat - reach, 0) AS lo, yhat + reach AS hi FROM o""", BOUNDS, 2))
 def arima(spark, d):
-    daily = _series(spark, d)
-    return rounded(fleet.forecast_fleet(daily, "arima", H).unionByName(fleet.forecast_fleet(daily, "arima_510", H)))
+    return rounded(fleet.forecast_fleet(_series(spark, d), "arima", H), 2)
+
+
+@query("forecast_arima_510")
+def arima_510(spark, d):
+    return rounded(fleet.forecast_fleet(_series(spark, d), "arima_510", H))
 
 
 @query("forecast_arima_fixed", oracle(S + """,

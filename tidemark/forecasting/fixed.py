@@ -1,69 +1,29 @@
-"""The recursions of the fleet models for given parameters, as Spark SQL folds over an ordered array.
-
-Useful to score or continue models whose parameters are known, without Python workers.
-"""
+"""The recursions for given parameters, to score or continue models whose parameters are known."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.forecasting.fleet import SEASON
-from tidemark.forecasting.series import check_horizon, steps_ahead
-
-HW_STATE = "struct<i:int,level:double,trend:double,season:array<double>,sse:double>"
+from tidemark.forecasting.fleet import SMOOTHING_PATH, arma_fold, arma_path, ordered_values, smoothing_fold
+from tidemark.forecasting.series import check_horizon
 
 
-def _ordered_values(series: DataFrame) -> DataFrame:
-    """Values of every series in date order; a series is bounded by its calendar."""
-    points = F.array_sort(F.collect_list(F.struct("ds", "y")))
-    return series.groupBy("series_key").agg(points.alias("_points"), F.max("ds").alias("last_ds")).select(
-        "series_key", "last_ds", F.col("_points.y").alias("ys")
+def _continued(series: DataFrame, fold: str, path: str, horizon: int) -> DataFrame:
+    check_horizon(horizon)
+    state = ordered_values(series).withColumns({"s": F.expr(fold), "h": F.lit(horizon)})
+    days = state.select("series_key", "last_ds", "s", F.posexplode(F.expr(path)).alias("_k", "_v"))
+    return days.select(
+        "series_key", F.date_add("last_ds", F.col("_k") + 1).alias("ds"), F.greatest("_v", F.lit(0.0)).alias("yhat"),
+        F.col("s.sse").alias("sse"),
     )
 
 
 def holt_winters_fixed(series: DataFrame, alpha: float, beta: float, gamma: float, horizon: int = 30) -> DataFrame:
     """Additive smoothing with given parameters: ``(series_key, ds, yhat, sse)``."""
-    check_horizon(horizon)
-    rows = _ordered_values(series)
-    start = f"""
-      named_struct('i', 0, 'level', aggregate(slice(ys, 1, {SEASON}), 0D, (a, v) -> a + v) / {SEASON},
-        'trend', (aggregate(slice(ys, {SEASON + 1}, {SEASON}), 0D, (a, v) -> a + v)
-                  - aggregate(slice(ys, 1, {SEASON}), 0D, (a, v) -> a + v)) / {SEASON * SEASON},
-        'season', transform(slice(ys, 1, {SEASON}),
-                            v -> v - aggregate(slice(ys, 1, {SEASON}), 0D, (a, u) -> a + u) / {SEASON}),
-        'sse', 0D)"""
-    # The season array is rotated: its head belongs to the current day. The new level is needed three times
-    # in the next state, so a one-element transform names it.
-    step = f"""
-      transform(array(v - s.level - s.trend - s.season[0]), e ->
-        transform(array(s.level + s.trend + {alpha}D * e), l -> named_struct('i', s.i + 1, 'level', l,
-          'trend', s.trend + {beta}D * (l - s.level - s.trend),
-          'season', concat(slice(s.season, 2, {SEASON - 1}),
-                           array(s.season[0] + {gamma}D * (v - l - s.season[0]))),
-          'sse', s.sse + e * e))[0])[0]"""
-    fold = f"aggregate(slice(ys, {SEASON + 1}, size(ys)), {start}, (s, v) -> {step})"
-    state = rows.select("series_key", "last_ds", F.expr(fold).alias("s"))
-    days = state.select("series_key", "s", *steps_ahead(F.col("last_ds"), horizon))
-    season = F.expr(f"s.season[_step % {SEASON}]")
-    yhat = F.col("s.level") + F.col("s.trend") * (F.col("_step") + 1) + season
-    return days.select("series_key", "ds", F.greatest(yhat, F.lit(0.0)).alias("yhat"), F.col("s.sse").alias("sse"))
+    return _continued(series, smoothing_fold(f"{alpha}D", f"{beta}D", f"{gamma}D"), SMOOTHING_PATH, horizon)
 
 
 def arima_fixed(series: DataFrame, phi: float, theta: float, horizon: int = 30) -> DataFrame:
     """ARIMA(1,1,1) with given coefficients: ``(series_key, ds, yhat, sse)``."""
-    check_horizon(horizon)
-    rows = _ordered_values(series)
-    start = "named_struct('y', ys[0], 'w', 0D, 'e', 0D, 'n', 0, 'sse', 0D)"
-    # The first innovation is the first difference itself and does not count into the error.
-    step = f"""
-      transform(array(v - s.y - {phi}D * s.w - {theta}D * s.e), e ->
-        named_struct('y', v, 'w', v - s.y, 'e', e, 'n', s.n + 1, 'sse', s.sse + if(s.n = 0, 0D, e * e)))[0]"""
-    fold = f"aggregate(slice(ys, 2, size(ys)), {start}, (s, v) -> {step})"
-    state = rows.select("series_key", "last_ds", F.expr(fold).alias("s"))
-    days = state.select("series_key", "s", *steps_ahead(F.col("last_ds"), horizon))
-    # Coming differences shrink by phi: their sum is geometric.
-    first = F.col("s.w") * phi + F.col("s.e") * theta
-    powers = (1 - F.pow(F.lit(float(phi)), F.col("_step") + 1)) / (1 - phi)
-    yhat = F.col("s.y") + first * powers
-    return days.select("series_key", "ds", F.greatest(yhat, F.lit(0.0)).alias("yhat"), F.col("s.sse").alias("sse"))
+    return _continued(series, arma_fold(f"{phi}D", f"{theta}D"), arma_path(f"{phi}D", f"{theta}D"), horizon)

@@ -1,186 +1,220 @@
-"""Recursive models fitted for every series in one job.
+"""Recursive models of every series in one job, as Spark SQL folds over each series' ordered values.
 
-``groupBy(series_key).applyInPandas`` hands each series (one row per day) to a task; inside, one recursion
-runs over all candidate parameters at once as a numpy vector, and the set with the least squared error wins.
+The candidate parameters of a model are a fixed grid. A small vectorised helper gives the squared error of all
+candidates at once; Spark keeps the best, folds the values with it into the last state and continues from there. The
+least-squares models add up their normal equations in Spark; only the small linear system of a series is solved
+in Python.
+
+A model's forecast of a series is an array, the *path*: a forecast turns it into days, a back-test compares it
+with the days that were left out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.forecasting.series import BAND, check_horizon
 
 SEASON = 7
-# A calendar of days stays far below this; only a positional series over raw rows can exceed it.
+# A calendar of days stays far below this; only a positional series over raw rows exceeds it. Such series get no
+# recursive forecast and are listed by ``too_long``; all others go on.
 MAX_POINTS = 20_000
-FORECAST_SCHEMA = "series_key string, model string, ds date, yhat double, lo double, hi double"
-SCORE_SCHEMA = "series_key string, model string, mae double, rmse double"
-
-
-def _grid(*axes: np.ndarray) -> list[np.ndarray]:
-    return [a.ravel() for a in np.meshgrid(*axes, indexing="ij")]
-
-
-# ---- exponential smoothing: additive trend, additive season -----------------------------------------
-
-def smoothing_start(y: np.ndarray, season: int) -> tuple[float, float, np.ndarray]:
-    """Level, trend and season from the first two seasons."""
-    one, two = y[:season].mean(), y[season : 2 * season].mean()
-    return one, (two - one) / season, y[:season] - one
-
-
-def smooth(y, alpha, beta, gamma, season=SEASON):
-    """Run the recursion for vectors of parameters: squared error, level, trend, season, last residuals."""
-    level0, trend0, season0 = smoothing_start(y, season)
-    size = len(alpha)
-    level, trend = np.full(size, level0), np.full(size, trend0)
-    seasonal = np.tile(season0[:, None], (1, size))
-    sse, resid = np.zeros(size), np.zeros(size)
-    for t in range(season, len(y)):
-        s = seasonal[t % season]
-        error = y[t] - (level + trend + s)
-        previous = level
-        level = level + trend + alpha * error
-        trend = trend + beta * (level - previous - trend)
-        seasonal[t % season] = s + gamma * (y[t] - level - s)
-        sse += error * error
-        resid += error
-    count = max(1, len(y) - season)
-    std = np.sqrt(np.maximum(sse / count - (resid / count) ** 2, 0.0))
-    return sse, level, trend, seasonal, std
-
-
-# Candidate smoothing weights: dense near zero, where a day-to-day update should change little.
-WEIGHTS = np.array([0.0, 0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9])
-
-
-def fit_holt_winters(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float]:
-    season = SEASON if len(y) >= 2 * SEASON else max(2, len(y) // 2)
-    if len(y) < 2 * season:
-        # Too short for a season: trend only.
-        season, axes = 1, [WEIGHTS, WEIGHTS, np.zeros(1)]
-    else:
-        axes = [WEIGHTS] * 3
-    for _ in range(2):
-        grid = _grid(*axes)
-        sse, level, trend, seasonal, std = smooth(y, *grid, season)
-        best = int(np.argmin(sse))
-        # Second round: halfway to the neighbours of the best weights.
-        axes = [_between(a, g[best]) for a, g in zip(axes, grid)]
-    ahead = np.arange(1, horizon + 1)
-    season_ahead = seasonal[(len(y) + ahead - 1) % season, best]
-    return level[best] + trend[best] * ahead + season_ahead, float(std[best])
-
-
-def _between(axis: np.ndarray, value: float) -> np.ndarray:
-    i = int(np.searchsorted(axis, value))
-    near = axis[max(0, i - 1) : i + 2]
-    return np.unique(np.concatenate([near, (near[1:] + near[:-1]) / 2]))
-
-
-# ---- ARIMA by conditional sum of squares ------------------------------------------------------------
-
-def css(w: np.ndarray, ar: list[tuple[int, np.ndarray]], ma: list[tuple[int, np.ndarray]]):
-    """Squared innovations of ``w`` for vectors of coefficients given as ``(lag, values)``; also the innovations."""
-    size = len((ar or ma)[0][1])
-    longest = max([lag for lag, _ in ar + ma])
-    errors = np.zeros((len(w), size))
+# Candidate parameters.
+SMOOTHING = list(product((0.02, 0.1, 0.25, 0.5, 0.8), (0.0, 0.01, 0.05, 0.2), (0.02, 0.1, 0.25, 0.5)))
+ARMA = [(round(0.1 * p, 1), round(0.1 * q, 1)) for p in range(-9, 10) for q in range(-9, 10)]
+SEASONAL = list(product((-0.6, -0.2, 0.2, 0.6), repeat=4))
+LAGS = 5
+
+
+def too_long(series: DataFrame) -> DataFrame:
+    """``(series_key, n, reason)`` of the series that the recursive models leave out."""
+    sizes = series.groupBy("series_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_POINTS)
+    return sizes.withColumn("reason", F.lit(f"more than {MAX_POINTS} points"))
+
+
+def ordered_values(series: DataFrame) -> DataFrame:
+    """``(series_key, last_ds, ys)``: values in date order, of series that are not too long."""
+    long = too_long(series).select("series_key")
+    points = F.array_sort(F.collect_list(F.struct("ds", "y")))
+    short = series.select("series_key", "ds", "y").join(long, "series_key", "left_anti")
+    return short.groupBy("series_key").agg(points.alias("_points"), F.max("ds").alias("last_ds")).select(
+        "series_key", "last_ds", F.col("_points.y").alias("ys")
+    )
+
+
+def _deviation(ys: Column) -> Column:
+    mean = F.aggregate(ys, F.lit(0.0), lambda a, v: a + v) / F.size(ys)
+    return F.sqrt(F.aggregate(ys, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(ys))
+
+
+def _values(series: DataFrame, horizon: int, train: float | None) -> DataFrame:
+    """``(series_key, last_ds, ys, h, std, actual)``; with ``train`` the values of the first part only."""
+    rows = ordered_values(series)
+    if train is None:
+        return rows.withColumns({"h": F.lit(horizon), "actual": F.array().cast("array<double>"), "std": _deviation(F.col("ys"))})
+    n = F.size("ys")
+    split = F.floor(n * F.lit(train)).cast("int")
+    parts = rows.withColumns({"h": n - split, "actual": F.slice("ys", split + 1, n - split), "ys": F.slice("ys", 1, split)})
+    return parts.where((F.size("ys") > 0) & (F.col("h") > 0)).withColumn("std", _deviation(F.col("ys")))
+
+
+def _best(rows: DataFrame, names: list[str], grid: list[tuple], errors, fold: str, path: str, std: str = "std") -> DataFrame:
+    """``path`` and ``std`` of the candidate ``p`` with the least squared error, the first of equals, from the last
+    state ``s`` that its fold leads to."""
+    candidates = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, g)]) for g in grid])
+
+    @F.pandas_udf("int")
+    def place(series: pd.Series) -> pd.Series:
+        return pd.Series([int(np.argmin(errors(np.asarray(y, float), *np.array(grid, float).T))) for y in series])
+
+    chosen = rows.withColumn("_place", place(F.col("ys"))).withColumn("p", F.explode(F.array(F.get(candidates, F.col("_place")))))
+    # The state gets its name inside a lambda: it is folded once, whatever uses it.
+    result = F.expr(f"inline(transform(array({fold}), s -> struct({path} AS path, {std} AS std)))")
+    return chosen.select("series_key", "last_ds", "actual", result)
+
+
+def squared_innovations(w, ar: list[tuple], ma: list[tuple]):
+    """For vectors of coefficients given as (lag, values): sum of squared innovations of ``w`` after the longest lag."""
+    longest = max(lag for lag, _ in ar + ma)
+    e = np.zeros((len(w), len(ar[0][1])))
     for t in range(len(w)):
-        e = np.full(size, w[t])
-        for lag, value in ar:
-            if t >= lag:
-                e -= value * w[t - lag]
-        for lag, value in ma:
-            if t >= lag:
-                e -= value * errors[t - lag]
-        errors[t] = e
-    usable = errors[longest:] if len(w) > longest else errors
-    return (usable**2).sum(axis=0), errors
-
-
-def _project(w, errors, ar, ma, horizon):
-    """Continue the stationary series ``horizon`` steps with future innovations at zero."""
-    w, errors = list(w), list(errors)
-    for _ in range(horizon):
-        t = len(w)
-        value = sum(c * w[t - lag] for lag, c in ar if t >= lag) + sum(c * errors[t - lag] for lag, c in ma if t >= lag)
-        w.append(value)
-        errors.append(0.0)
-    return np.array(w[-horizon:])
-
-
-def _integrate(tail: np.ndarray, lag: int, diffs: np.ndarray) -> np.ndarray:
-    """Undo ``(1 - B^lag)`` given the last values before the forecast."""
-    out = list(tail)
-    for d in diffs:
-        out.append(d + out[-lag])
-    return np.array(out[len(tail) :])
-
-
-def _refine(search, spans: int, coarse: np.ndarray, rounds: int):
-    """Grid search over ``spans`` coefficients in (-1, 1), then finer grids round the best point."""
-    best = search(_grid(*[coarse] * spans))
-    width = float(coarse[1] - coarse[0])
-    for _ in range(rounds):
-        width /= 4
-        axes = [np.clip(b + width * np.arange(-2, 3), -0.99, 0.99) for b in best]
-        best = search(_grid(*axes))
-    return best
-
-
-def fit_arima(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float]:
-    """Order (1,1,1) without constant."""
-    w = np.diff(y)
-
-    def search(points):
-        sse, _ = css(w, [(1, points[0])], [(1, points[1])])
-        i = int(np.nanargmin(sse))
-        return [p[i] for p in points]
-
-    phi, theta = _refine(search, 2, np.linspace(-0.95, 0.95, 20), 3)
-    _, errors = css(w, [(1, np.array([phi]))], [(1, np.array([theta]))])
-    ahead = _project(w, errors[:, 0], [(1, phi)], [(1, theta)], horizon)
-    return y[-1] + np.cumsum(ahead), float(y.std())
-
-
-def fit_ar5(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float]:
-    """Order (5,1,0): least squares on five lags of the differences."""
-    w = np.diff(y)
-    lags = np.column_stack([w[5 - k : len(w) - k] for k in range(1, 6)])
-    phi, *_ = np.linalg.lstsq(lags, w[5:], rcond=None)
-    ahead = _project(w, np.zeros(len(w)), [(k + 1, c) for k, c in enumerate(phi)], [], horizon)
-    return y[-1] + np.cumsum(ahead), float(y.std())
+        e[t] = w[t] - sum(c * w[t - k] for k, c in ar if t >= k) - sum(c * e[t - k] for k, c in ma if t >= k)
+    return (e[longest:] ** 2).sum(0)
 
 
-def _seasonal_terms(phi, theta, sphi, stheta):
-    """Expand the products of the ordinary and the weekly polynomial."""
-    ar = [(1, phi), (SEASON, sphi), (SEASON + 1, -phi * sphi)]
-    ma = [(1, theta), (SEASON, stheta), (SEASON + 1, theta * stheta)]
-    return ar, ma
+# ---- exponential smoothing: additive trend, additive season --------------------------------------
 
 
-def fit_sarima(y: np.ndarray, horizon: int) -> tuple[np.ndarray, float]:
-    """Order (1,1,1)(1,1,1,7); not seasonal below two weeks of data."""
-    if len(y) < 2 * SEASON:
-        return fit_arima(y, horizon)
-    daily = np.diff(y)
-    w = daily[SEASON:] - daily[:-SEASON]
+def smoothing_fold(alpha: str, beta: str, gamma: str) -> str:
+    """State after ``ys``. The season array is rotated: its head belongs to the current day."""
+    one = f"aggregate(slice(ys, 1, {SEASON}), 0D, (a, v) -> a + v) / {SEASON}"
+    two = f"aggregate(slice(ys, {SEASON + 1}, {SEASON}), 0D, (a, v) -> a + v) / {SEASON}"
+    start = f"""named_struct('level', {one}, 'trend', ({two} - {one}) / {SEASON},
+        'season', transform(slice(ys, 1, {SEASON}), v -> v - {one}), 'sse', 0D, 'err', 0D)"""
+    # The new level is needed three times in the next state, so a one-element transform names it.
+    step = f"""transform(array(v - s.level - s.trend - s.season[0]), e ->
+        transform(array(s.level + s.trend + {alpha} * e), l -> named_struct('level', l,
+          'trend', s.trend + {beta} * (l - s.level - s.trend),
+          'season', concat(slice(s.season, 2, {SEASON - 1}), array(s.season[0] + {gamma} * (v - l - s.season[0]))),
+          'sse', s.sse + e * e, 'err', s.err + e))[0])[0]"""
+    return f"aggregate(slice(ys, {SEASON + 1}, size(ys)), {start}, (s, v) -> {step})"
 
-    def search(points):
-        sse, _ = css(w, *_seasonal_terms(*points))
-        i = int(np.nanargmin(sse))
-        return [p[i] for p in points]
 
-    best = _refine(search, 4, np.linspace(-0.8, 0.8, 5), 2)
-    ar, ma = _seasonal_terms(*best)
-    _, errors = css(w, [(k, np.array([c])) for k, c in ar], [(k, np.array([c])) for k, c in ma])
-    ahead = _integrate(daily[-SEASON:], SEASON, _project(w, errors[:, 0], ar, ma, horizon))
-    return y[-1] + np.cumsum(ahead), float(y.std())
+SMOOTHING_PATH = f"transform(sequence(0, h - 1), k -> s.level + s.trend * (k + 1) + s.season[k % {SEASON}])"
 
 
-# ---- decomposable model: piecewise linear trend, weekly and yearly Fourier terms --------------------
+def smoothing_errors(y, alpha, beta, gamma):
+    """Squared error of vectors of weights; as :func:`smoothing_fold`."""
+    one, two = y[:SEASON].mean(), y[SEASON : 2 * SEASON].mean()
+    level, trend = np.full(len(alpha), one), np.full(len(alpha), (two - one) / SEASON)
+    season, sse = np.tile((y[:SEASON] - one)[:, None], len(alpha)), np.zeros(len(alpha))
+    for t in range(SEASON, len(y)):
+        now = season[t % SEASON]
+        e = y[t] - level - trend - now
+        new = level + trend + alpha * e
+        trend = trend + beta * (new - level - trend)
+        season[t % SEASON] = now + gamma * (y[t] - new - now)
+        level, sse = new, sse + e * e
+    return sse
+
+
+def _holt_winters(values: DataFrame) -> DataFrame:
+    rows = values.where(F.size("ys") >= 2 * SEASON).withColumn("m", F.size("ys") - SEASON)
+    fold = smoothing_fold("p.alpha", "p.beta", "p.gamma")
+    spread = "sqrt(greatest(s.sse / m - s.err / m * (s.err / m), 0D))"
+    return _best(rows, ["alpha", "beta", "gamma"], SMOOTHING, smoothing_errors, fold, SMOOTHING_PATH, spread)
+
+
+# ---- ARIMA by conditional sum of squares ---------------------------------------------------------
+
+
+def arma_fold(phi: str, theta: str) -> str:
+    """Order (1,1,1): the first innovation is the first difference and does not count into the error."""
+    start = "named_struct('y', ys[0], 'w', 0D, 'e', 0D, 'n', 0, 'sse', 0D)"
+    step = f"""transform(array(v - s.y - {phi} * s.w - {theta} * s.e), e ->
+        named_struct('y', v, 'w', v - s.y, 'e', e, 'n', s.n + 1, 'sse', s.sse + if(s.n = 0, 0D, e * e)))[0]"""
+    return f"aggregate(slice(ys, 2, size(ys)), {start}, (s, v) -> {step})"
+
+
+def arma_path(phi: str, theta: str) -> str:
+    """Coming differences shrink by phi: their sum is geometric."""
+    return f"transform(sequence(1, h), k -> s.y + ({phi} * s.w + {theta} * s.e) * (1 - pow({phi}, k)) / (1 - {phi}))"
+
+
+def _arima(values: DataFrame) -> DataFrame:
+    def errors(y, phi, theta):
+        return squared_innovations(np.diff(y), [(1, phi)], [(1, theta)])
+
+    rows = values.where(F.size("ys") >= 3)
+    return _best(rows, ["phi", "theta"], ARMA, errors, arma_fold("p.phi", "p.theta"), arma_path("p.phi", "p.theta"))
+
+
+def _arima_510(values: DataFrame) -> DataFrame:
+    """Order (5,1,0): least squares on five lags of the differences."""
+    steps = F.expr("transform(sequence(1, size(ys) - 1), t -> ys[t] - ys[t - 1])")
+    # As a generated column, the differences are computed once and not anew wherever a lambda uses them.
+    rows = values.where(F.size("ys") > 2 * LAGS + 1).withColumn("w", F.explode(F.array(steps)))
+    sums = [
+        f"aggregate(sequence({LAGS}, size(w) - 1), 0D, (a, t) -> a + w[t - {i}] * w[t - {j}])"
+        for i, j in [(i, j) for i in range(LAGS + 1) for j in range(i, LAGS + 1)]
+    ]
+
+    @F.pandas_udf("array<double>")
+    def solve(moments: pd.Series) -> pd.Series:
+        out = []
+        for m in moments:
+            full = np.zeros((LAGS + 1, LAGS + 1))
+            full[np.triu_indices(LAGS + 1)] = m
+            full += np.triu(full, 1).T
+            out.append(np.linalg.lstsq(full[1:, 1:], full[0, 1:], rcond=None)[0])
+        return pd.Series(out)
+
+    fitted = rows.withColumn("phi", solve(F.array(*[F.expr(x) for x in sums])))
+    ahead = " + ".join(f"phi[{k}] * s.last[{LAGS - 1 - k}]" for k in range(LAGS))
+    path = f"""aggregate(sequence(1, h), named_struct('y', ys[size(ys) - 1], 'last', slice(w, -{LAGS}, {LAGS}), 'out', cast(array() AS array<double>)),
+        (s, k) -> transform(array({ahead}), d -> named_struct('y', s.y + d, 'last', concat(slice(s.last, 2, {LAGS - 1}), array(d)),
+          'out', concat(s.out, array(s.y + d))))[0], s -> s.out)"""
+    return fitted.select("series_key", "last_ds", "actual", "std", F.expr(path).alias("path"))
+
+
+# Order (1,1,1)(1,1,1,7): the last eight differences and innovations, the newest last.
+_AR = "p.phi * s.w[7] + p.sphi * s.w[1] - p.phi * p.sphi * s.w[0]"
+_MA = "p.theta * s.e[7] + p.stheta * s.e[1] + p.theta * p.stheta * s.e[0]"
+
+
+def _sarima(values: DataFrame) -> DataFrame:
+    rows = values.where(F.size("ys") >= 2 * SEASON + 2).withColumn(
+        "w", F.expr(f"transform(sequence({SEASON + 1}, size(ys) - 1), t -> ys[t] - ys[t - 1] - ys[t - {SEASON}] + ys[t - {SEASON + 1}])")
+    )
+    zeros = f"array_repeat(0D, {SEASON + 1})"
+    fold = f"""aggregate(w, named_struct('w', {zeros}, 'e', {zeros}, 'n', 0, 'sse', 0D), (s, v) ->
+        transform(array(v - ({_AR}) - ({_MA})), e -> named_struct('w', concat(slice(s.w, 2, {SEASON}), array(v)),
+          'e', concat(slice(s.e, 2, {SEASON}), array(e)), 'n', s.n + 1, 'sse', s.sse + if(s.n <= {SEASON}, 0D, e * e)))[0])"""
+
+    def errors(y, phi, theta, sphi, stheta):
+        d = np.diff(y)
+        ar = [(1, phi), (SEASON, sphi), (SEASON + 1, -phi * sphi)]
+        ma = [(1, theta), (SEASON, stheta), (SEASON + 1, theta * stheta)]
+        return squared_innovations(d[SEASON:] - d[:-SEASON], ar, ma)
+
+    # Undo both differences: today's step is the forecast plus the step of a week ago.
+    path = f"""aggregate(sequence(1, h), named_struct('w', s.w, 'e', s.e, 'y', ys[size(ys) - 1],
+          'd', transform(sequence(size(ys) - {SEASON}, size(ys) - 1), t -> ys[t] - ys[t - 1]), 'out', cast(array() AS array<double>)),
+        (s, k) -> transform(array({_AR} + {_MA}), v -> named_struct('w', concat(slice(s.w, 2, {SEASON}), array(v)),
+          'e', concat(slice(s.e, 2, {SEASON}), array(0D)), 'y', s.y + s.d[0] + v, 'd', concat(slice(s.d, 2, {SEASON - 1}), array(s.d[0] + v)),
+          'out', concat(s.out, array(s.y + s.d[0] + v))))[0], s -> s.out)"""
+    return _best(rows, ["phi", "theta", "sphi", "stheta"], SEASONAL, errors, fold, path)
+
+
+FOLDS = {"holt_winters": _holt_winters, "arima": _arima, "arima_510": _arima_510, "sarima": _sarima}
+
+# ---- decomposable model: piecewise linear trend, weekly and yearly Fourier terms -----------------
 
 CHANGE_POINTS = 25
 CHANGE_RANGE = 0.8
@@ -188,96 +222,110 @@ WEEKLY_ORDER, YEARLY_ORDER = 3, 10
 CHANGE_PENALTY, SEASON_PENALTY = 20.0, 0.1
 
 
-def _design(t: np.ndarray, days: np.ndarray, knots: np.ndarray, yearly: bool) -> np.ndarray:
-    columns = [np.ones_like(t), t, *[np.maximum(t - k, 0.0) for k in knots]]
-    for period, order in ((7.0, WEEKLY_ORDER), (365.25, YEARLY_ORDER if yearly else 0)):
+def _design(drivers: list[str]) -> Column:
+    """The row of the design matrix of a day; needs ``idx``, ``m`` (training days), ``ds`` and the drivers."""
+    knots = f"least({CHANGE_POINTS}, greatest(1, cast(floor(m * {CHANGE_RANGE}) AS int) - 1))"
+    t = "idx / greatest(1, m - 1)"
+    waves = []
+    for period, order, on in ((7.0, WEEKLY_ORDER, "true"), (365.25, YEARLY_ORDER, "m >= 730")):
         for k in range(1, order + 1):
-            angle = 2 * np.pi * k * days / period
-            columns += [np.sin(angle), np.cos(angle)]
-    return np.column_stack(columns)
-
-
-def fit_decomposable(y: np.ndarray, horizon: int, start: int = 0, drivers=None, future=None) -> tuple[np.ndarray, float]:
-    """Ridge fit of trend, seasons and optional drivers; ``start`` is the day number of the first point."""
-    n, scale = len(y), max(1.0, float(np.abs(y).max()))
-    days = start + np.arange(n + horizon, dtype=float)
-    t = (days - start) / max(1, n - 1)
-    count = min(CHANGE_POINTS, max(1, int(n * CHANGE_RANGE) - 1))
-    knots = np.linspace(0, CHANGE_RANGE, count + 1)[1:]
-    x = _design(t, days, knots, yearly=n >= 2 * 365)
-    if drivers is not None:
-        x = np.column_stack([x, np.vstack([drivers, future])])
-    penalty = np.full(x.shape[1], SEASON_PENALTY)
-    penalty[:2] = 1e-9
-    penalty[2 : 2 + len(knots)] = CHANGE_PENALTY
-    past = x[:n]
-    beta = np.linalg.solve(past.T @ past + np.diag(penalty), past.T @ (y / scale))
-    fitted = x @ beta * scale
-    return fitted[n:], float((y - fitted[:n]).std())
-
-
-def _decomposable(y, horizon, pdf):
-    start = (pd.Timestamp(pdf["ds"].iloc[0]) - pd.Timestamp("1970-01-01")).days
-    names = [c for c in pdf.columns if c not in ("series_key", "ds", "y")]
-    if not names:
-        return fit_decomposable(y, horizon, start)
-    drivers = pdf[names].to_numpy(float)
-    past = drivers[: len(y)]
-    # Coming driver values are unknown, on a back-test too: those of a week ago stand in.
-    ahead = past[[len(past) - SEASON + i % SEASON for i in range(horizon)]]
-    return fit_decomposable(y, horizon, start, past, ahead)
-
-
-FITS = {
-    "holt_winters": lambda y, h, pdf: fit_holt_winters(y, h),
-    "arima": lambda y, h, pdf: fit_arima(y, h),
-    "arima_510": lambda y, h, pdf: fit_ar5(y, h),
-    "sarima": lambda y, h, pdf: fit_sarima(y, h),
-    "decomposable": _decomposable,
-}
-
-
-def _bounded(pdf: pd.DataFrame) -> pd.DataFrame:
-    if len(pdf) > MAX_POINTS:
-        raise ValueError(f"series {pdf['series_key'].iloc[0]!r} has {len(pdf)} points; aggregate it to days first")
-    return pdf.sort_values("ds", ignore_index=True)
+            angle = f"2 * pi() * {k} * unix_date(ds) / {period}D"
+            waves += [f"if({on}, sin({angle}), 0D)", f"if({on}, cos({angle}), 0D)"]
+    return F.expr(f"""concat(array(1D, {t}),
+        transform(sequence(1, {CHANGE_POINTS}), j -> if(j <= {knots}, greatest({t} - {CHANGE_RANGE} * j / {knots}, 0D), 0D)),
+        array({', '.join(waves + [f'cast(`{c}` AS double)' for c in drivers])}))""")
+
+
+def _decomposable(series: DataFrame, horizon: int, train: float | None) -> DataFrame:
+    """Ridge fit by grouped sums. Columns beside the key, day and value are drivers; for coming days, on a back-test
+    too, they repeat those of the week before."""
+    drivers = [c for c in series.columns if c not in ("series_key", "ds", "y")]
+    span = series.groupBy("series_key").agg(F.min("ds").alias("first"), F.max("ds").alias("last_ds"), F.count(F.lit(1)).alias("n"))
+    m = F.col("n") if train is None else F.floor(F.col("n") * F.lit(train))
+    span = span.withColumn("m", m.cast("int")).where("m >= 14")
+    rows = series.join(span, "series_key").withColumn("idx", F.datediff("ds", "first"))
+    past = rows.where("idx < m")
+    scale = past.groupBy("series_key").agg(F.greatest(F.lit(1.0), F.max(F.abs("y"))).alias("scale"))
+    x = F.concat(_design(drivers), F.array(F.col("y") / F.col("scale"))).alias("x")
+    size = 2 + CHANGE_POINTS + 2 * (WEEKLY_ORDER + YEARLY_ORDER) + len(drivers) + 1
+    pairs = F.expr(f"""inline(flatten(transform(sequence(0, {size - 1}), i -> transform(sequence(i, {size - 1}),
+        j -> struct(i AS i, j AS j, x[i] * x[j] AS v)))))""")
+    sums = past.join(scale, "series_key").select("series_key", x).select("series_key", pairs)
+    sums = sums.groupBy("series_key", "i", "j").agg(F.sum("v").alias("v"))
+    system = sums.groupBy("series_key").agg(F.array_sort(F.collect_list(F.struct("i", "j", "v"))).alias("system"))
+
+    @F.pandas_udf("struct<beta:array<double>,sse:double,err:double>")
+    def solve(systems: pd.Series) -> pd.DataFrame:
+        penalty = np.full(size - 1, SEASON_PENALTY)
+        penalty[:2], penalty[2 : 2 + CHANGE_POINTS] = 1e-9, CHANGE_PENALTY
+        out = []
+        for cells in systems:
+            full = np.zeros((size, size))
+            for c in cells:
+                full[c["i"], c["j"]] = full[c["j"], c["i"]] = c["v"]
+            xx, xy = full[:-1, :-1], full[:-1, -1]
+            beta = np.linalg.solve(xx + np.diag(penalty), xy)
+            out.append((beta, full[-1, -1] - 2 * beta @ xy + beta @ xx @ beta, xy[0] - xx[0] @ beta))
+        return pd.DataFrame(out, columns=["beta", "sse", "err"])
+
+    fits = system.select("series_key", solve("system").alias("f")).join(span, "series_key").join(scale, "series_key")
+    ahead = F.lit(horizon) if train is None else (F.col("n") - F.col("m")).cast("int")
+    days = fits.withColumn("_k", F.explode(F.sequence(F.lit(0), ahead - 1))).withColumns({
+        "idx": F.col("m") + F.col("_k"), "ds": F.date_add("first", (F.col("m") + F.col("_k")).cast("int")),
+    })
+    if drivers:
+        week = past.where(f"idx >= m - {SEASON}").select("series_key", (F.col("idx") - F.col("m") + SEASON).alias("_o"), *drivers)
+        days = days.withColumn("_o", F.col("_k") % SEASON).join(week, ["series_key", "_o"], "left").na.fill(0.0, drivers)
+    value = F.expr("aggregate(zip_with(x, f.beta, (a, b) -> a * b), 0D, (a, v) -> a + v) * scale")
+    points = days.withColumn("x", _design(drivers)).select("series_key", "_k", value.alias("v"))
+    paths = points.groupBy("series_key").agg(F.array_sort(F.collect_list(F.struct("_k", "v"))).alias("_p"))
+    spread = F.expr("sqrt(greatest(f.sse / m - f.err / m * (f.err / m), 0D)) * scale")
+    out = paths.join(fits, "series_key").select("series_key", "last_ds", F.col("_p.v").alias("path"), spread.alias("std"))
+    if train is None:
+        return out
+    rest = F.array_sort(F.collect_list(F.struct("idx", "y")))
+    actual = rows.where("idx >= m").groupBy("series_key").agg(rest.alias("_a"))
+    return out.join(actual, "series_key").withColumn("actual", F.col("_a.y"))
+
+
+FITS = [*FOLDS, "decomposable"]
+
+
+def paths(series: DataFrame, model: str, horizon: int, train: float | None = None) -> DataFrame:
+    """``(series_key, last_ds, std, path)`` and with ``train`` the left-out values ``actual``.
+
+    Series that are too short or too long for a model are not in the result.
+    """
+    if model == "decomposable":
+        return _decomposable(series, horizon, train)
+    return FOLDS[model](_values(series, horizon, train))
 
 
 def forecast_fleet(series: DataFrame, model: str, horizon: int = 30) -> DataFrame:
     """Fit ``model`` to every series and forecast ``horizon`` days."""
     check_horizon(horizon)
-    fit = FITS[model]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _bounded(pdf)
-        ahead, std = fit(pdf["y"].to_numpy(float), horizon, pdf)
-        yhat = np.maximum(ahead, 0.0)
-        days = pd.date_range(pdf["ds"].iloc[-1], periods=horizon + 1)[1:].date
-        band = BAND * std
-        return pd.DataFrame({
-            "series_key": pdf["series_key"].iloc[0], "model": model, "ds": days,
-            "yhat": yhat, "lo": np.maximum(yhat - band, 0.0), "hi": yhat + band,
-        })
-
-    return series.groupBy("series_key").applyInPandas(run, FORECAST_SCHEMA)
+    found = paths(series, model, horizon)
+    days = found.select("series_key", "last_ds", "std", F.posexplode("path").alias("_k", "_v"))
+    yhat, reach = F.greatest("_v", F.lit(0.0)), BAND * F.col("std")
+    return days.select(
+        "series_key", F.lit(model).alias("model"), F.date_add("last_ds", F.col("_k") + 1).alias("ds"), yhat.alias("yhat"),
+        F.greatest(yhat - reach, F.lit(0.0)).alias("lo"), (yhat + reach).alias("hi"),
+    )
 
 
 def backtest_fleet(series: DataFrame, models: list[str], train: float = 0.8) -> DataFrame:
-    """MAE and RMSE on the last 20 %; a model that fails on a series scores infinity there."""
-    fits = {m: FITS[m] for m in models}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _bounded(pdf)
-        y = pdf["y"].to_numpy(float)
-        split = int(len(y) * train)
-        rows = []
-        for model, fit in fits.items():
-            try:
-                error = y[split:] - fit(y[:split], len(y) - split, pdf)[0]
-                mae, rmse = float(np.abs(error).mean()), float(np.sqrt((error**2).mean()))
-            except (ValueError, IndexError, np.linalg.LinAlgError):
-                mae = rmse = float("inf")
-            rows.append((pdf["series_key"].iloc[0], model, mae, rmse))
-        return pd.DataFrame(rows, columns=["series_key", "model", "mae", "rmse"])
-
-    return series.groupBy("series_key").applyInPandas(run, SCORE_SCHEMA)
+    """MAE and RMSE on the last 20 %; a model without a fit for a series scores infinity there."""
+    errors = F.expr("zip_with(path, actual, (a, b) -> b - a)")
+    parts = []
+    for model in models:
+        e = paths(series, model, 0, train).withColumn("_e", errors)
+        parts.append(e.select(
+            "series_key", F.lit(model).alias("model"),
+            F.expr("aggregate(_e, 0D, (a, v) -> a + abs(v)) / size(_e)").alias("mae"),
+            F.expr("sqrt(aggregate(_e, 0D, (a, v) -> a + v * v) / size(_e))").alias("rmse"),
+        ))
+    scores = reduce(DataFrame.unionByName, parts)
+    everything = series.select("series_key").distinct().withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    scored = everything.join(scores, ["series_key", "model"], "left")
+    bad = float("inf")
+    return scored.select("series_key", "model", *[F.coalesce(F.nanvl(c, F.lit(bad)), F.lit(bad)).alias(c) for c in ("mae", "rmse")])
