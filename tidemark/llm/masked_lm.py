@@ -167,25 +167,40 @@ class Network:
                 w -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
 
+def _packed(grams: DataFrame) -> DataFrame:
+    """One row per shard with its windows and their counts, sorted; stored, so that rounds shuffle nothing."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("code")
+        return pd.DataFrame({
+            "shard": pdf["shard"].iloc[:1], "tokens": [int(pdf["n"].sum())],
+            "codes": [pdf["code"].to_numpy().astype(np.uint32).tobytes()], "counts": [pdf["n"].to_numpy().astype(np.int64).tobytes()],
+        })
+
+    sharded = grams.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(SHARDS)).cast("int"))
+    rows = sharded.groupBy("shard").applyInPandas(pack, "shard int, tokens long, codes binary, counts binary")
+    return stored(rows.repartition(SHARDS // 2, "shard"), "windows")
+
+
 def train_network(grams: DataFrame, rounds: int = ROUNDS) -> Network:
     """Train on ``grams(code, n)`` in shards; equal counts give equal networks however they are partitioned."""
     spark = grams.sparkSession
-    sharded = stored(grams.withColumn("shard", F.pmod(F.xxhash64("code"), F.lit(SHARDS)).cast("int")), "windows")
-    net = Network()
+    packed, net = _packed(grams), Network()
     for n in range(rounds):
         start = spark.sparkContext.broadcast(net.weights)
         rate = RATE * (1 - 0.8 * n / max(1, rounds - 1))
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("code")
-            own = Network()
-            own.weights = [w.copy() for w in start.value]  # noqa: B023
-            shard = int(pdf["shard"].iloc[0])
-            own.train(pdf["code"].to_numpy().astype(np.uint32), pdf["n"].to_numpy(float), rate, 1000 * n + shard)  # noqa: B023
-            flat = np.concatenate([w.ravel() for w in own.weights])
-            return pd.DataFrame({"shard": [shard], "tokens": [int(pdf["n"].sum())], "weights": [flat.tobytes()]})
-
-        found = sharded.groupBy("shard").applyInPandas(run, "shard int, tokens long, weights binary").collect()
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    own = Network()
+                    own.weights = [w.copy() for w in start.value]  # noqa: B023
+                    counts = np.frombuffer(r.counts, np.int64).astype(float)
+                    own.train(np.frombuffer(r.codes, np.uint32), counts, rate, 1000 * n + r.shard)  # noqa: B023
+                    flat = np.concatenate([w.ravel() for w in own.weights])
+                    yield pd.DataFrame({"shard": [r.shard], "tokens": [r.tokens], "weights": [flat.tobytes()]})
+
+        found = packed.mapInPandas(run, "shard int, tokens long, weights binary").collect()
         found.sort(key=lambda r: r["shard"])
         if not found:
             break
@@ -193,7 +208,7 @@ def train_network(grams: DataFrame, rounds: int = ROUNDS) -> Network:
         flat = sum(np.frombuffer(r["weights"], np.float32).astype(float) * (r["tokens"] / total) for r in found)
         ends = np.cumsum([w.size for w in net.weights])
         net.weights = [f.reshape(w.shape).astype(np.float32) for f, w in zip(np.split(flat, ends[:-1]), net.weights)]
-    drop(sharded)
+    drop(packed)
     return net
 
 
