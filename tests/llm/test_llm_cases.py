@@ -46,7 +46,7 @@ def test_urls(spark):
         ("notexample.com", "/en/", "com/", "allow"), ("ads.example.org", "/", None, "block"), ("b:", "//c/d", None, "allow"),
         ("www.example.com:80", "/en/", None, "allow"), ("é.com", "/É", "com/", "allow"),
     ]
-    want[6] = ("com", "", None, "allow")
+    want[6] = ("com", "/", "com/", "allow")
     assert [tuple(got[i][c] for c in ("host", "path", "rule", "verdict")) for i in range(len(urls))] == want
     assert url_filter.filter_urls(pages.limit(0), RULES).count() == 0
     assert url_filter.filter_urls(pages, []).where("rule IS NOT NULL").count() == 0
@@ -124,7 +124,7 @@ def test_licences(spark):
     found = [(r["doc_id"], r["n_words"], sorted((m["label"], m["start"]) for m in r["matches"])) for r in got]
     assert found == [
         (1, 0, []), (2, 0, []), (3, 7, [("mit", 0), ("mit", 2)]), (4, 5003, [("gpl", 5000)]),
-        (5, 7, [("apache", 3), ("apache-2.0", 3)]), (6, 7, []), (7, 17, [("mit-text", 0)]), (3, 2, [("mit", 0)]),
+        (5, 8, [("apache", 3), ("apache-2.0", 3)]), (6, 7, []), (7, 17, [("mit-text", 0)]), (3, 2, [("mit", 0)]),
     ]
     assert [r["score"] for r in got][:3] == [0.0, 0.0, 1.0]
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
@@ -151,7 +151,8 @@ def test_top_k(spark, monkeypatch, tile, fan):
 def test_top_k_of_huge_components(spark):
     rows = [(20, [1e12, -1e12]), (1, [1e12, 0.0]), (2, [2e12, 1.0]), (3, [1e300, 0.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20).collect()
-    assert [r["vec_id"] for r in got] == [3, 2, 1] and got[0]["score"] == 2**63 - 1
+    # All three exceed 64 bits: cut to the largest number, ties go to the smaller id.
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 2**63 - 1) for i in (1, 2, 3)]
 
 
 @pytest.mark.parametrize("block, small", [(512, 16), (8, 4)])
@@ -185,8 +186,17 @@ def test_html_blocks():
 
 
 def test_html_pages(spark):
-    lessons = html_main.lessons([], layouts=2)
-    net = html_main.train(lessons, rounds=6)
+    rng = random.Random(6)
+
+    def words(n):
+        return " ".join(rng.choice("river stone cloud paper garden letter winter".split()) for _ in range(n)).capitalize() + "."
+
+    sample = [
+        "<nav><ul>" + "".join(f"<li><a href='#'>{words(1)}</a>" for _ in range(4)) + f"</ul></nav><article><h1>{words(4)}</h1>"
+        + "".join(f"<p>{words(rng.randint(2, 30))}</p>" for _ in range(rng.randint(1, 8))) + f"</article><footer>{words(3)}</footer>"
+        for _ in range(60)
+    ]
+    net = html_main.train(html_main.lessons(sample))
     pages = ["<nav>Menu</nav><article><h1>Title</h1><p>First one.</p><form>Send</form></article>" * 2, None, "", "<footer>f</footer>"]
     df = spark.createDataFrame([(i, p, "old") for i, p in enumerate(pages)], "page_id long, html string, text string")
     got = [r["text"] for r in html_main.extract_main_text(df, net).orderBy("page_id").collect()]
@@ -242,7 +252,7 @@ def test_mix(spark):
         own = [r for r in got if r["source"] == source]
         total = sum(r["size"] or 0 for r in own)
         assert all(r["source_size"] == total for r in own)
-        assert sum(r["taken"] for r in own) == round(own[0]["target"]) <= 2 * total
+        assert sum(r["taken"] for r in own) == int(own[0]["target"] + 0.5) <= 2 * total
         assert all(r["taken"] <= 2 * (r["size"] or 0) for r in own)
     assert abs(sum({r["source"]: r["target"] for r in got}.values()) - 1.5 * sum(r["size"] or 0 for r in got)) < 1e-6
     again = mixing.plan_mix(sized.repartition(7), ["doc_id"]).collect()

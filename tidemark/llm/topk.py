@@ -26,7 +26,7 @@ def integers(vector: Column | str, scale: int = 64) -> Column:
     """floor(scale * x) of every component; null for vectors that are null or hold null or non-finite ones."""
     v = F.col(vector) if isinstance(vector, str) else vector
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    # As doubles: every such integer that a double holds is kept, however large.
+    # As doubles, for exact products of matrices; components beyond 64 bits become the largest or smallest number.
     return F.when(v.isNotNull() & ~odd, F.transform(v, lambda x: F.rint(F.floor(x.cast("double") * scale).cast("double"))))
 
 
