@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import widened
 
 SPACE = "▁"
-CACHED_WORDS = 500_000
-CACHED_PAIRS = 500_000
+CACHED_WORDS = 150_000
+CACHED_PAIRS = 250_000
 LONGEST_CACHED = 64
 
 
@@ -349,16 +349,20 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(shared.value)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text"))
-            for start in range(0, len(texts), 500):
-                found = [encoder.encode(t) for t in texts.slice(start, 500).to_pylist()]
-                sizes = np.cumsum([0, *map(len, found)])
-                values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
-                back = pa.array([encoder.decode(x) for x in found], pa.string())
-                rest = batch.slice(start, 500)
-                columns = [rest.column(i) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, lists, back], names=[*kept, ids, decoded])
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    rest = batch.slice(start, 500)
+                    found = [encoder.encode(t) for t in rest.column(len(kept)).to_pylist()]
+                    sizes = np.cumsum([0, *map(len, found)])
+                    values = pa.array(np.concatenate(found), pa.int32())
+                    lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
+                    back = pa.array([encoder.decode(x) for x in found], pa.string())
+                    columns = [rest.column(i) for i in range(len(kept))]
+                    yield pa.RecordBatch.from_arrays([*columns, lists, back], names=[*kept, ids, decoded])
+        finally:
+            # The worker process lives on; its later tasks may need the memory.
+            encoder.opening.clear()
+            encoder.inner.clear()
 
     return inner.mapInArrow(run, fields)
