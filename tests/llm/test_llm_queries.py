@@ -85,7 +85,7 @@ def test_scores_rank_shuffled_text_lower(spark, sf_dir):
 
     total = sum(counts.values())
     alone = sum(n * math.log(n / total) for n in counts.values()) / total
-    assert mean > alone + 0.2  # better than characters by themselves
+    assert mean > alone + 1  # much better than characters by themselves
 
 
 def test_pipeline_equals_brute_force(spark, sf_dir):
@@ -104,15 +104,15 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     assert single.columns == docs.columns
     assert {r["doc_id"] for r in single.collect()} == {i for i, n, c in jaccard_groups(rows, 80, 5) if c == i}
 
-    sizes = Counter()
+    sizes, largest = Counter(), Counter()
     for r in single.collect():
-        sizes[r["source"]] += len((r["text"] or "").encode().split())
-    mixed = stages["mixing sources to target weights"](spark, single, sf_dir).persist()
-    taken, largest = Counter(), Counter()
-    for r in mixed.collect():
         n = len((r["text"] or "").encode().split())
-        taken[r["source"]] += n
+        sizes[r["source"]] += n
         largest[r["source"]] = max(largest[r["source"]], n)
+    mixed = stages["mixing sources to target weights"](spark, single, sf_dir).persist()
+    taken = Counter()
+    for r in mixed.collect():
+        taken[r["source"]] += len((r["text"] or "").encode().split())
     weights = {s: (5, 2, 1)[n % 3] for n, s in enumerate(sorted(sizes))}
     target, open_, words = {}, set(sizes), 1.5 * sum(sizes.values())
     while True:
@@ -125,7 +125,8 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     target |= {s: level * weights[s] for s in open_}
     assert mixed.columns == docs.columns
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= largest[s] + 1
+        # Documents stay whole: a source misses its target by half a document at most.
+        assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1
 
     out = stages["SentencePiece encoding and decoding"](spark, mixed, sf_dir)
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))

@@ -28,6 +28,7 @@ SHARDS = 64
 EMBED, HIDDEN = 10, 40
 ROUNDS = 6
 BATCH = 512
+STEPS = 60  # least steps of a shard in a round: it goes over all its windows as often as that takes
 RATE = 0.01
 CHUNK = 4 << 20  # bytes of text counted or scored at once
 
@@ -156,10 +157,11 @@ class Network:
         return [de, x.T @ dh, dh.sum(0), h.T @ dz, dz.sum(0)]
 
     def train(self, codes: np.ndarray, counts: np.ndarray, rate: float, seed: int) -> None:
-        """One pass over all windows in random batches, with Adam."""
-        order = np.random.default_rng(seed).permutation(len(codes))
+        """Whole passes over all windows in random batches, with Adam, until STEPS are done."""
+        rng, passes = np.random.default_rng(seed), max(1, -(-STEPS * BATCH // max(1, len(codes))))
+        order = np.concatenate([rng.permutation(len(codes)) for _ in range(passes)])
         first, second = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights]
-        for step, a in enumerate(range(0, len(codes), BATCH), 1):
+        for step, a in enumerate(range(0, len(order), BATCH), 1):
             part = order[a : a + BATCH]
             for w, g, m, v in zip(self.weights, self.slopes(codes[part], counts[part]), first, second):
                 m += 0.1 * (g - m)
