@@ -31,7 +31,7 @@ BINS = 64
 STATS_MB = 1024
 # Training rows are dealt to this many tasks by a hash of their keys, so that bagging draws the same rows on any
 # cluster; raise it with the number of rows.
-TASKS = 16
+TASKS = 8
 # MLlib's limit: trees grow until a leaf cannot be split.
 FULL_DEPTH = 30
 # The series enters as what is known of it, which works alike for one series and for millions.
