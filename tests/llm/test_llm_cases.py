@@ -350,3 +350,37 @@ def test_network_slopes():
         slope = (up - loss()) / 2e-4
         w[at] += 1e-4
         assert abs(slope - g[at]) < 1e-5
+
+
+def test_every_character_has_a_probability_of_its_own(spark, monkeypatch):
+    texts = ["ab7c", "", "漢字é", "😀a"]
+    table = np.array([ord(c) for c in "abc"])
+    import pyarrow as pa
+
+    (points, begins), = masked_lm._stretches(pa.array(texts))
+    codes, starts = masked_lm.exact_windows(points, begins, table)
+    want = []
+    for t in texts:
+        split = [[2 + "abc".index(c)] if c in "abc" else [256 + b for b in c.encode()] for c in t]
+        for n, own in enumerate(split):
+            for k, token in enumerate(own):
+                before = [0, 0, *(x for c in split[:n] for x in c), *own[:k]][-2:]
+                behind = [*(x for c in split[n + 1 :] for x in c), 0, 0][:2]
+                code = 0
+                for x in [*before, *behind, token]:
+                    code = code * 512 + x
+                want.append(code)
+    assert codes.tolist() == want
+    assert np.diff(starts).tolist() == [sum(1 if c in "abc" else len(c.encode()) for c in t) for t in texts]
+
+    # More than 62 characters; digits are rare and random, so each of them is far from certain, split or not.
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(80)]
+    rows = [(i, "".join(rng.choice(letters) for _ in range(200))) for i in range(40)]
+    rows += [(100 + i, "".join(rng.choice("0123456789") for _ in range(60))) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (masked_lm.CHARACTERS, 40):
+        monkeypatch.setattr(masked_lm, "CHARACTERS", most)
+        got = {r["doc_id"]: r for r in masked_lm.score_documents(docs, rounds=3).collect()}
+        assert all(got[i]["n_tokens"] == len(t) for i, t in rows)
+        assert all(got[100 + i]["mean_log_prob"] < -1.5 for i in range(3))
