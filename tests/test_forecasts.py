@@ -221,3 +221,18 @@ def test_driver_regression_split_ignores_partitioning(spark):
         assert importances.orderBy(F.desc("importance")).first()["driver"] == "price"
         sizes.add(scores.where("test").first()["n"])
     assert len(sizes) == 1
+
+
+def test_registered_boosting_trains_all_rounds(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as entry_points
+
+    class Stop(Exception):
+        pass
+
+    def caught(series, horizon, name, estimator, *rest):
+        raise Stop(name, estimator.getMaxIter())
+
+    monkeypatch.setattr(trees, "_tree_forecast", caught)
+    with pytest.raises(Stop) as stop:
+        entry_points.queries()["forecast_boosted_trees"](spark, sf_dir)
+    assert stop.value.args == ("boosted_trees", 250)
