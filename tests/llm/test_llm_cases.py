@@ -384,3 +384,17 @@ def test_every_character_has_a_probability_of_its_own(spark, monkeypatch):
         got = {r["doc_id"]: r for r in masked_lm.score_documents(docs, rounds=3).collect()}
         assert all(got[i]["n_tokens"] == len(t) for i, t in rows)
         assert all(got[100 + i]["mean_log_prob"] < -1.5 for i in range(3))
+
+
+def test_groups_that_end_with_a_batch():
+    import pandas as pd
+
+    from tidemark.llm.common import whole_groups
+
+    rows = pd.DataFrame({"a": [1, 1, 2, 2, 2, 3], "b": [0, 0, 5, 5, 6, 6], "v": range(6)})
+    for cuts in ([2], [2, 4], [2, 2, 4, 5], [1, 2, 3, 4], [1, 2, 3, 4, 5], []):
+        batches = [rows.iloc[i:j] for i, j in zip([0, *cuts], [*cuts, 6])]
+        got = list(whole_groups(batches, ["a", "b"]))
+        assert pd.concat(got, ignore_index=True).equals(rows)
+        seen = [k for g in got for k in set(zip(g["a"], g["b"]))]
+        assert len(seen) == len(set(seen)) == 4 and all(len(g) for g in got)

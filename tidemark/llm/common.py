@@ -107,7 +107,8 @@ def whole_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[p
         if (group[-1] == first).all():
             waiting.append(pdf)
             continue
-        cut = int(np.flatnonzero((group != group[-1]).any(1))[-1]) + 1
+        # 0 where the group that waits has ended with its batch and this batch is one other group.
+        cut = int(np.flatnonzero(np.concatenate([[True], (group != group[-1]).any(1)]))[-1])
         yield pd.concat([*waiting, pdf.iloc[:cut]], ignore_index=True)
         waiting = [pdf.iloc[cut:]]
     if waiting:
