@@ -236,3 +236,32 @@ def test_registered_boosting_trains_all_rounds(spark, sf_dir, monkeypatch):
     with pytest.raises(Stop) as stop:
         entry_points.queries()["forecast_boosted_trees"](spark, sf_dir)
     assert stop.value.args == ("boosted_trees", 250)
+
+
+def test_seasonal_search_is_refined_up_to_its_reach():
+    rng = np.random.default_rng(4)
+    e = rng.normal(0, 1, 3000)
+    w = np.zeros(3000)
+    for t in range(8, 3000):
+        w[t] = e[t] + 0.9 * w[t - 1] - 0.95 * e[t - 7]
+    w = w[100:]
+
+    def errors(y, phi, theta, sphi, stheta):
+        ar = [(1, phi), (7, sphi), (8, -phi * sphi)]
+        return fleet.squared_innovations(y, ar, [(1, theta), (7, stheta), (8, theta * stheta)])
+
+    phi, theta, sphi, stheta = fleet.best_candidate(w, fleet.SEASONAL, errors, fleet.FINER, fleet.REACH)
+    assert phi == pytest.approx(0.9, abs=0.11) and stheta == pytest.approx(-0.95, abs=0.11)
+    assert theta == pytest.approx(0, abs=0.11) and sphi == pytest.approx(0, abs=0.11)
+
+
+def test_short_series_get_sarima_without_a_season(spark):
+    rng = np.random.default_rng(3)
+    ys = {f"n{n}": 50 + np.cumsum(rng.normal(0, 1, n)) for n in (14, 15, 16, 19)}
+    df = frame(spark, **ys)
+    ahead, plain = (collected(fleet.forecast_fleet(df, model, 4)) for model in ("sarima", "arima"))
+    assert set(ahead) == set(ys)
+    for key in ("n14", "n15"):
+        assert ahead[key]["yhat"].to_numpy() == pytest.approx(plain[key]["yhat"].to_numpy())
+    scores = {r["series_key"]: r["mae"] for r in selection.backtest(df, ["sarima"]).collect()}
+    assert all(np.isfinite(scores[key]) for key in ys)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.forecasting.series import BAND, check_horizon
+from tidemark.forecasting.series import BAND, MIN_POINTS, check_horizon
 
 SEASON = 7
 # A calendar of days stays far below this; only a positional series over raw rows exceeds it. Such series get no
@@ -28,7 +28,11 @@ MAX_POINTS = 20_000
 # Candidate parameters.
 SMOOTHING = list(product((0.02, 0.1, 0.25, 0.5, 0.8), (0.0, 0.01, 0.05, 0.2), (0.02, 0.1, 0.25, 0.5)))
 ARMA = [(round(0.1 * p, 1), round(0.1 * q, 1)) for p in range(-9, 10) for q in range(-9, 10)]
-SEASONAL = list(product((-0.6, -0.2, 0.2, 0.6), repeat=4))
+# The smallest coefficients first: they win where too few points tell candidates apart.
+SEASONAL = sorted(product((-0.8, -0.4, 0.0, 0.4, 0.8), repeat=4), key=lambda g: sum(map(abs, g)))
+# Around the best candidate of SEASONAL, then around the best of these: steps to all sides, up to REACH.
+FINER = [[tuple(step * v for v in g) for g in product((-1, 0, 1), repeat=4)] for step in (0.2, 0.1)]
+REACH = 0.99
 LAGS = 5
 
 
@@ -64,16 +68,28 @@ def _values(series: DataFrame, horizon: int, train: float | None) -> DataFrame:
     return parts.where((F.size("ys") > 0) & (F.col("h") > 0)).withColumn("std", _deviation(F.col("ys")))
 
 
-def _best(rows: DataFrame, names: list[str], grid: list[tuple], errors, fold: str, path: str, std: str = "std") -> DataFrame:
-    """``path`` and ``std`` of the candidate ``p`` with the least squared error, the first of equals, from the last
-    state ``s`` that its fold leads to."""
-    candidates = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, g)]) for g in grid])
+def best_candidate(y, grid: list[tuple], errors, finer: list = (), reach: float = 1.0) -> np.ndarray:
+    """The candidate of ``grid`` with the least squared error, the first of equals; then the best of each grid of steps
+    around it, the middle before others that are not better."""
+    tried = np.array(grid, float)
+    best = tried[np.argmin(errors(y, *tried.T))]
+    for steps in finer:
+        tried = np.clip(np.round(np.concatenate([best[None], best + np.array(steps, float)]), 9), -reach, reach)
+        best = tried[np.argmin(errors(y, *tried.T))]
+    return best
 
-    @F.pandas_udf("int")
-    def place(series: pd.Series) -> pd.Series:
-        return pd.Series([int(np.argmin(errors(np.asarray(y, float), *np.array(grid, float).T))) for y in series])
 
-    chosen = rows.withColumn("_place", place(F.col("ys"))).withColumn("p", F.explode(F.array(F.get(candidates, F.col("_place")))))
+def _best(
+    rows: DataFrame, names: list[str], grid: list[tuple], errors, fold: str, path: str, std: str = "std", finer: list = (), reach: float = 1.0,
+) -> DataFrame:
+    """``path`` and ``std`` of the candidate ``p`` with the least squared error, from the last state ``s`` that its fold
+    leads to."""
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def best(series: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_candidate(np.asarray(y, float), grid, errors, finer, reach) for y in series], columns=names)
+
+    chosen = rows.withColumn("p", F.explode(F.array(best(F.col("ys")))))
     # The state gets its name inside a lambda: it is folded once, whatever uses it.
     result = F.expr(f"inline(transform(array({fold}), s -> struct({path} AS path, {std} AS std)))")
     return chosen.select("series_key", "last_ds", "actual", result)
@@ -189,6 +205,8 @@ _MA = "p.theta * s.e[7] + p.stheta * s.e[1] + p.theta * p.stheta * s.e[0]"
 
 
 def _sarima(values: DataFrame) -> DataFrame:
+    """Order (1,1,1)(1,1,1,7); without a season where no two seasonal differences are left."""
+    short = (F.size("ys") < 2 * SEASON + 2) & (F.size("ys") + F.size("actual") >= MIN_POINTS)
     rows = values.where(F.size("ys") >= 2 * SEASON + 2).withColumn(
         "w", F.expr(f"transform(sequence({SEASON + 1}, size(ys) - 1), t -> ys[t] - ys[t - 1] - ys[t - {SEASON}] + ys[t - {SEASON + 1}])")
     )
@@ -209,7 +227,8 @@ def _sarima(values: DataFrame) -> DataFrame:
         (s, k) -> transform(array({_AR} + {_MA}), v -> named_struct('w', concat(slice(s.w, 2, {SEASON}), array(v)),
           'e', concat(slice(s.e, 2, {SEASON}), array(0D)), 'y', s.y + s.d[0] + v, 'd', concat(slice(s.d, 2, {SEASON - 1}), array(s.d[0] + v)),
           'out', concat(s.out, array(s.y + s.d[0] + v))))[0], s -> s.out)"""
-    return _best(rows, ["phi", "theta", "sphi", "stheta"], SEASONAL, errors, fold, path)
+    names = ["phi", "theta", "sphi", "stheta"]
+    return _best(rows, names, SEASONAL, errors, fold, path, finer=FINER, reach=REACH).unionByName(_arima(values.where(short)))
 
 
 FOLDS = {"holt_winters": _holt_winters, "arima": _arima, "arima_510": _arima_510, "sarima": _sarima}
