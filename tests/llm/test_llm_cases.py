@@ -398,3 +398,14 @@ def test_groups_that_end_with_a_batch():
         assert pd.concat(got, ignore_index=True).equals(rows)
         seen = [k for g in got for k in set(zip(g["a"], g["b"]))]
         assert len(seen) == len(set(seen)) == 4 and all(len(g) for g in got)
+
+
+def test_every_word_of_a_block_counts():
+    words = [f"w{i}" for i in range(40)]
+    one, two = html_main.vectors(html_main.blocks_of(f"<p>{' '.join(words)}<p>{' '.join([*words[:20], 'advert', *words[21:]])}"))
+    place = slice(html_main.PATH, html_main.PATH + html_main.WORDS)
+    change = (two - one)[place] * 40**0.5
+    assert html_main._hashed("advert", html_main.WORDS) != html_main._hashed("w20", html_main.WORDS)
+    assert change[html_main._hashed("advert", html_main.WORDS)] == pytest.approx(1, abs=1e-4)
+    assert change[html_main._hashed("w20", html_main.WORDS)] == pytest.approx(-1, abs=1e-4)
+    assert one[place].sum() == pytest.approx(40**0.5)

@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is read as the sequence of its text blocks. Every block has a vector of its tag path (names, classes, ids
-and roles of all open elements, hashed), a vector of its hashed words and some measures. A bidirectional LSTM
+and roles of all open elements, hashed), a vector of all its words, hashed, and some measures. A bidirectional LSTM
 reads the whole sequence both ways, so that every block is judged in the context of the document.
 
 The network is trained on a bounded sample of the given pages. Marked-up pages teach themselves: what stands in an
@@ -27,7 +27,7 @@ from tidemark.llm.common import widened
 
 SAMPLE = 300  # pages to train on: those with the smallest hashes of their ids
 SAMPLE_CHARS = 100_000  # longer pages are not trained on
-PATH, WORDS, MEASURES = 256, 32, 8
+PATH, WORDS, MEASURES = 256, 128, 8
 INPUT = PATH + WORDS + MEASURES
 HIDDEN = 16
 ROUNDS = 12
@@ -195,8 +195,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         words = b.text.lower().split()
         x = out[i]
         x[:PATH] = b.path
-        for w in words[:3] + words[-3:] if len(words) > 6 else words:
-            x[PATH + _hashed(w, WORDS)] += 0.5
+        x[PATH : PATH + WORDS] = np.bincount([_hashed(w, WORDS) for w in words], minlength=WORDS) / np.sqrt(len(words))
         x[PATH + WORDS :] = [
             np.log1p(len(b.text)) / 5, min(1.0, b.links / len(b.text)), np.log1p(len(words)) / 4,
             float(b.text[-1] in ".!?:;"), float(b.text[0].isupper()), i / len(blocks), float(i == 0), float("©" in b.text),
