@@ -265,3 +265,22 @@ def test_short_series_get_sarima_without_a_season(spark):
         assert ahead[key]["yhat"].to_numpy() == pytest.approx(plain[key]["yhat"].to_numpy())
     scores = {r["series_key"]: r["mae"] for r in selection.backtest(df, ["sarima"]).collect()}
     assert all(np.isfinite(scores[key]) for key in ys)
+
+
+@pytest.mark.parametrize("row, function, models", [
+    ("forecast_auto_fleet", "forecast_auto", {*selection.DEFAULT_CANDIDATES, "smart_ma", "holt_winters"}),
+    ("backtest_trees", "backtest", {"random_forest", "boosted_trees"}),
+])
+def test_registered_choice_is_over_all_models(spark, sf_dir, monkeypatch, row, function, models):
+    import __spark_entry__ as entry_points
+
+    class Stop(Exception):
+        pass
+
+    def caught(*given):
+        raise Stop(given[-1])
+
+    monkeypatch.setattr(selection, function, caught)
+    with pytest.raises(Stop) as stop:
+        entry_points.queries()[row](spark, sf_dir)
+    assert set(stop.value.args[0]) == models

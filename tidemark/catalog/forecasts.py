@@ -294,7 +294,7 @@ def backtest_fleet(spark, d):
 
 @query("backtest_trees")
 def backtest_trees(spark, d):
-    return rounded(selection.backtest(_series(spark, d), ["random_forest"]))
+    return rounded(selection.backtest(_series(spark, d), ["random_forest", "boosted_trees"]))
 
 
 @query("forecast_auto", oracle(S + "SELECT f.* FROM f JOIN best USING (series_key, model)", BOUNDS))
@@ -304,9 +304,9 @@ def auto(spark, d):
 
 @query("forecast_auto_fleet")
 def auto_fleet(spark, d):
-    """Choice among closed-form and recursive models, with the scores of the chosen one."""
+    """Choice among closed-form, recursive and tree models, with the scores of the chosen one."""
     daily = _series(spark, d)
-    models = ["naive", "linear", "smart_ma", "holt_winters", "sarima", "decomposable"]
+    models = [*selection.DEFAULT_CANDIDATES, "smart_ma", "holt_winters"]
     ahead, choice, _ = selection.forecast_auto(daily, H, models)
     return rounded(ahead.join(choice.select("series_key", "mae", "rmse"), "series_key"))
 
