@@ -409,3 +409,35 @@ def test_every_word_of_a_block_counts():
     assert change[html_main._hashed("advert", html_main.WORDS)] == pytest.approx(1, abs=1e-4)
     assert change[html_main._hashed("w20", html_main.WORDS)] == pytest.approx(-1, abs=1e-4)
     assert one[place].sum() == pytest.approx(40**0.5)
+
+
+def test_html_that_is_not_closed_and_formulas():
+    def read(page):
+        return [b.text for b in html_main.blocks_of(page)]
+
+    for name in "svg object canvas audio video select template noscript".split():
+        assert read(f"<p>a<{name}><p>b<p>c")[-2:] == ["b", "c"]
+        assert read(f"<p>a<{name}>x</{name}><p>b") == ["a", "b"]
+    assert read("<p>a<script><p>b") == read("<p>a<textarea><p>b") == ["a"]
+    assert read("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == ["If x=2 holds"]
+    assert read("<p>a<math><mi>x</mi><p>b") == ["ax", "b"]
+
+
+def test_html_page_in_one_form(spark):
+    rng = random.Random(6)
+
+    def words(n):
+        return " ".join(rng.choice("river stone cloud paper garden letter winter".split()) for _ in range(n)).capitalize() + "."
+
+    def page(texts):
+        return (
+            "<nav><ul>" + "".join(f"<li><a href='#'>{words(1)}</a>" for _ in range(4)) + f"</ul></nav><article><h1>{words(4)}</h1>"
+            + "".join(f"<p>{t}</p>" for t in texts) + f"</article><footer>{words(3)}</footer>"
+        )
+
+    net = html_main.train(html_main.lessons([page([words(rng.randint(2, 30)) for _ in range(rng.randint(1, 8))]) for _ in range(60)]))
+    texts = [words(20) for _ in range(5)]
+    pages = [f"<body><form method='post'>{page(texts)}</form></body>", page(texts) + "<form><p>Send</p></form>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    for r in html_main.extract_main_text(df, net).collect():
+        assert r["text"].split("\n")[1:] == texts

@@ -27,7 +27,7 @@ from tidemark.llm.common import widened
 
 SAMPLE = 300  # pages to train on: those with the smallest hashes of their ids
 SAMPLE_CHARS = 100_000  # longer pages are not trained on
-PATH, WORDS, MEASURES = 256, 128, 8
+PATH, WORDS, MEASURES = 256, 128, 10
 INPUT = PATH + WORDS + MEASURES
 HIDDEN = 16
 ROUNDS = 12
@@ -39,12 +39,18 @@ STEPS = 60_000  # blocks times pages that are labelled at once
 # Elements that do not end a block, elements without content, and elements whose content is no text of the page.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small"
-    " span strike strong sub sup time tt u var wbr".split()
+    " span strike strong sub sup time tt u var wbr"
+    " math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle"
+    " msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 # Elements that never hold main text, checked after labelling.
-NEVER = frozenset("nav aside form footer menu dialog button".split())
+NEVER = frozenset("nav aside footer menu dialog button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_CONTENT = frozenset("script style noscript template svg math textarea select iframe object canvas title audio video".split())
+HIDDEN_CONTENT = frozenset(
+    "script style noscript template svg textarea select iframe object canvas title audio video annotation annotation-xml".split()
+)
+# Of these, the ones that run to the page's end if nothing closes them; an unclosed one of the others hides nothing.
+RAW = frozenset("script style textarea title iframe".split())
 # A start tag closes an open element of the same group.
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
 CLOSES = {k: frozenset(v.split()) for k, v in CLOSES.items()}
@@ -167,9 +173,10 @@ def blocks_of(page: str | None) -> list[Block]:
         if name in HIDDEN_CONTENT:
             if not ends and not attributes.endswith("/"):
                 end = re.compile(f"</{re.escape(name)}[^>]*>?", re.I).search(page, at)
-                if not end:
+                if end:
+                    at = end.end()
+                elif name in RAW:
                     break
-                at = end.end()
             continue
         reader.flush()
         reader.in_link = False
@@ -189,8 +196,13 @@ def blocks_of(page: str | None) -> list[Block]:
 _P, _P_STAYS = frozenset(("p",)), frozenset(("td", "th", "li", "div", "article", "section"))
 
 
+def in_forms(blocks: list[Block]) -> float:
+    """Share of a page's text that stands in forms: small for a search box, large where a form holds the whole page."""
+    return sum(len(b.text) for b in blocks if "form" in b.names) / max(1, sum(len(b.text) for b in blocks))
+
+
 def vectors(blocks: list[Block]) -> np.ndarray:
-    out = np.zeros((len(blocks), INPUT), np.float32)
+    out, formed = np.zeros((len(blocks), INPUT), np.float32), in_forms(blocks)
     for i, b in enumerate(blocks):
         words = b.text.lower().split()
         x = out[i]
@@ -199,6 +211,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         x[PATH + WORDS :] = [
             np.log1p(len(b.text)) / 5, min(1.0, b.links / len(b.text)), np.log1p(len(words)) / 4,
             float(b.text[-1] in ".!?:;"), float(b.text[0].isupper()), i / len(blocks), float(i == 0), float("©" in b.text),
+            2 * formed * ("form" in b.names), 2 * (1 - formed) * ("form" in b.names),
         ]
     return out
 
@@ -355,7 +368,10 @@ SIDE_BOXES = (
     '<div class="related links">', '<section class="comments">', '<div id="comments">', '<div class="comment">', '<ol class="commentlist">',
     '<div class="user-comments replies">', '<div class="copyright">', '<div role="navigation">', '<div role="complementary">', '<div role="banner">',
 )
+# Around the whole page; some servers put every page into one form.
+WRAPS = (("", ""), ('<div class="wrapper page">', "</div>"), ("<form>", "</form>"), ('<form method="post"><div class="page">', "</div></form>"))
 INSIDE = tuple(n for n, box in enumerate(SIDE_BOXES) if "header" not in box)  # may also stand within the main box
+INSIDE += 4 * tuple(n for n, box in enumerate(SIDE_BOXES) if box.startswith("<form"))
 
 
 def _closing(box: str) -> str:
@@ -391,7 +407,7 @@ def lesson(texts: list[str], others: list[str], rng: np.random.Generator) -> tup
         body.append(f"<{tag}>{mark}{html.escape(t)}" + (f"</{tag}>" if rng.random() < 0.9 else ""))
         if rng.random() < 0.08:
             body.append(side(INSIDE))
-    wrap = ('<div class="wrapper page">', "</div>") if rng.random() < 0.4 else ("", "")
+    wrap = WRAPS[rng.choice(len(WRAPS), p=(0.45, 0.35, 0.1, 0.1))]
     found = blocks_of(f"<html><body>{wrap[0]}{before}{box}{''.join(body)}{_closing(box)}{after}{wrap[1]}</body></html>")
     labels = np.array([mark in b.text for b in found], bool)
     for b in found:
@@ -408,8 +424,10 @@ def lessons(pages: list[str], seed: int = 5, layouts: int = 6) -> list[tuple[np.
     side_places = {_hashed(w, PATH) for w in _SIDE_WORDS} - {_hashed("<" + n, PATH) for n in ("html", "body", "article", "main", "p", "h1", "div", "li", "ul", "section")}
     for page in pages:
         found = blocks_of(page)
+        # A form that holds most of the page says nothing about its blocks.
+        aside, places = (ASIDE - {"form"}, side_places - {_hashed("<form", PATH)}) if in_forms(found) > 0.5 else (ASIDE, side_places)
         main = np.array([
-            bool(MAIN & b.names) and not ASIDE & b.names and not any(b.path[p] for p in side_places) for b in found
+            bool(MAIN & b.names) and not aside & b.names and not any(b.path[p] for p in places) for b in found
         ], bool)
         if main.any():
             out += [(vectors(found), main)] * 2
