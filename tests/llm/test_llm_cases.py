@@ -441,3 +441,18 @@ def test_html_page_in_one_form(spark):
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
     for r in html_main.extract_main_text(df, net).collect():
         assert r["text"].split("\n")[1:] == texts
+
+
+@pytest.mark.parametrize("tile", [4096, 7])
+def test_top_k_of_repeated_ids(spark, monkeypatch, tile):
+    monkeypatch.setattr(topk, "TILE", tile)
+    rng = np.random.default_rng(3)
+    rows = [(i % 30, [float(x) + i / 64 for x in rng.integers(-2, 3, 4) / 4]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 8).collect())
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 20):
+        pairs = sorted((-int(np.dot(x, y)), i) for j, x in whole if j == q for i, y in whole if i != q)[:8]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(pairs, 1)]
+    assert got == want

@@ -43,7 +43,7 @@ def _pack(rows: DataFrame, by: str, into: int) -> DataFrame:
             by: pdf[by].iloc[:1], "dim": [dim], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "matrix": [matrix.tobytes()]
         })
 
-    group = F.pmod(F.xxhash64("vec_id", F.lit(by)), F.lit(into)).cast("int")
+    group = F.pmod(F.xxhash64("vec_id", "ints", F.lit(by)), F.lit(into)).cast("int")
     return rows.withColumn(by, group).groupBy(by).applyInPandas(run, f"{by} int, dim int, ids binary, matrix binary")
 
 
@@ -83,11 +83,12 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
     Components count as floor(64 * x). Queries are the rows for which ``is_query`` (over ``vec_id``) holds;
     candidates are all rows but the query's own; ties go to the smaller id. Vectors that are null or hold null
     or non-finite components, and rows without an id, take no part. Shorter vectors count as padded with zeros.
-    Rows with one id are one: the smallest vector in array order stands for it. Scores beyond 64 bits are cut to
+    Rows with one id and equal vectors are one; with other vectors each is a candidate and, if the id is a query's,
+    asks under that id. Scores beyond 64 bits are cut to
     the largest or smallest number. Other columns are ignored; no queries or no candidates give no rows.
     """
-    valid = rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), integers(F.col(f"`{embedding}`")).alias("ints"))
-    valid = valid.where("vec_id IS NOT NULL AND ints IS NOT NULL").groupBy("vec_id").agg(F.min("ints").alias("ints"))
+    given = rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("given")).distinct()
+    valid = given.select("vec_id", integers("given").alias("ints")).where("vec_id IS NOT NULL AND ints IS NOT NULL")
     valid = stored(valid, "integers")
     queries = valid.where(is_query)
     total, asked = valid.count(), queries.count()
