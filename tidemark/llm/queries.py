@@ -11,6 +11,7 @@ from tidemark.llm import (
     licenses,
     masked_lm,
     mixing,
+    pii,
     pivots,
     quality,
     sentencepiece_bpe,
@@ -222,3 +223,94 @@ def sentencepiece_query(spark, sf_dir):
 @query("op10_masked_lm")
 def masked_lm_query(spark, sf_dir):
     return masked_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def _pii_sql() -> str:
+    """Matches and the pieces between them give the places; checksums are folds over digits."""
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    patterns = {
+        "email": email, "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": pii.CARD.pattern, "phone": pii.PHONE.pattern,
+        "iban": pii.IBAN.pattern, "hyphenated": pii.HYPHENATED.pattern, "national": pii.NATIONAL.pattern,
+        "international": pii.INTERNATIONAL.pattern,
+    }
+    found = " UNION ALL ".join(
+        f"SELECT r, t, '{name}' AS p, regexp_extract_all(t, '{x}') AS m, string_split_regex(t, '{x}') AS between FROM texts"
+        for name, x in patterns.items()
+    )
+    lengths = "MAP {" + ", ".join(f"'{c}': {n}" for c, n in pii.IBAN_LENGTHS.items()) + "}"
+    digits = r"regexp_replace(x, '[^0-9]', '', 'g')"
+    luhn = (
+        "list_sum(list_transform(range(1, length(d) + 1), lambda i: "
+        "((d[-i]::INT * (2 - i % 2)) // 10) + ((d[-i]::INT * (2 - i % 2)) % 10))) % 10 = 0"
+    )
+    left = "regexp_replace(lower(substr(' ' || t, greatest(s - 40, 0) + 1, s + 1 - greatest(s - 40, 0))), '^[a-z]+', '')"
+    right = "regexp_replace(lower(substr(t || ' ', e + 1, 21)), '[a-z]+$', '')"
+    kinds = list(pii.KINDS)
+    context = "CASE k " + " ".join(f"WHEN {kinds.index(k)} THEN {list(w)}" for k, w in pii.CONTEXT.items()) + " END"
+    proposal_kind = "CASE p " + " ".join(f"WHEN '{p}' THEN {kinds.index(k)}" for p, k in pii.ADDED_KIND.items()) + " END"
+    proposal_score = "CASE p " + " ".join(f"WHEN '{p}' THEN {s}" for p, s in pii.ADDED_SCORE.items()) + " END"
+    told = f"{kinds}[k + 1] || ':' || s || ':' || e"
+    return rf"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+placed AS MATERIALIZED (
+  SELECT r, t, p, x, s, s + length(x) AS e, {digits} AS d
+  FROM (SELECT r, t, p, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'x': m[i], 's': (
+          coalesce(list_sum(list_transform(between[1:i], lambda y: length(y))), 0)
+          + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0))::BIGINT}}), recursive := true)
+        FROM found)),
+base AS MATERIALIZED (
+  SELECT r, list_position({kinds}, p) - 1 AS k, s, e FROM placed
+  WHERE p = 'email'
+     OR (p = 'ip' AND len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR ('0' || right(y, 3))::INT > 255)) = 0)
+     OR (p = 'card' AND length(d) BETWEEN 12 AND 19 AND {luhn})
+     OR (p = 'phone' AND length(d) BETWEEN 9 AND 15)),
+cut AS (
+  SELECT *, {lengths}[left(x, 2)] AS want, replace(x, ' ', '') AS compact FROM placed WHERE p = 'iban'),
+ibans AS (
+  SELECT r, t, 'iban' AS p, s, e, substr(compact, 5, want - 4) || left(compact, 4) AS turned
+  FROM (SELECT * REPLACE (s + list_min(list_filter(range(1, length(x) + 1), lambda i: length(replace(left(x, i), ' ', '')) = want)) AS e)
+        FROM cut WHERE length(compact) >= want)),
+proposed AS (
+  SELECT r, t, p, s, e FROM ibans
+  WHERE list_reduce(list_transform(string_split(turned, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END),
+                    lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97, 0) = 1
+    AND NOT regexp_matches(substr(t || ' ', e + 1, 1), '[A-Za-z0-9]') AND NOT regexp_matches(substr(' ' || t, s + 1, 1), '[A-Za-z0-9]')
+  UNION ALL SELECT r, t, 'run', s, e FROM placed WHERE p = 'hyphenated' AND length(d) BETWEEN 12 AND 19 AND {luhn}
+  UNION ALL SELECT r, t, 'ssn', s, e FROM placed WHERE p = 'hyphenated' AND regexp_full_match(x, '{pii.SSN.pattern}')
+    AND left(x, 3) NOT IN ('000', '666') AND left(x, 3) < '900' AND x[5:6] <> '00' AND right(x, 4) <> '0000'
+  UNION ALL SELECT r, t, p, s, e FROM placed WHERE p IN ('national', 'international')
+    AND NOT regexp_matches(substr(t || ' ', e + 1, 1), '[0-9]') AND NOT regexp_matches(substr(' ' || t, s + 1, 1), '[0-9]')),
+scored AS (
+  SELECT r, k, s, e, round(least(1, greatest(0, first + CASE WHEN list_has_any(words, {context}) THEN {pii.FOR} ELSE 0 END
+                                                   - CASE WHEN list_has_any(words, {list(pii.DOUBTS)}) THEN {pii.AGAINST} ELSE 0 END)), 6) AS score
+  FROM (SELECT r, s, e, {proposal_kind} AS k, ({proposal_score})::DOUBLE AS first,
+               list_concat(regexp_extract_all({left}, '[a-z]+'), regexp_extract_all({right}, '[a-z]+')) AS words FROM proposed)),
+good AS MATERIALIZED (SELECT DISTINCT r, k, s, e, score FROM scored WHERE score >= {pii.LEAST}),
+added AS (
+  SELECT r, k, s, e FROM good g
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = g.r AND b.s < g.e AND g.s < b.e)
+    AND NOT EXISTS (SELECT 1 FROM good o WHERE o.r = g.r AND o.s < g.e AND g.s < o.e AND (-o.score, o.s, o.k, o.e) < (-g.score, g.s, g.k, g.e))),
+bases AS (
+  SELECT r, string_agg({told}, ',' ORDER BY s, k, e) AS told,
+         {", ".join(f"count(*) FILTER (k = {i}) AS n{i}" for i in range(4))} FROM base GROUP BY r),
+everything AS (
+  SELECT r, string_agg({told}, ',' ORDER BY s, k, e) AS told FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n{i}, 0)::BIGINT AS n_{kinds[i]}" for i in range(4))},
+       sha256(coalesce(b.told, '')) AS base_sha256, coalesce(a.told, '') AS spans
+FROM texts LEFT JOIN bases b ON b.r = texts.r LEFT JOIN everything a ON a.r = texts.r
+"""
+
+
+@query("op13_pii", _pii_sql())
+def pii_query(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+
+    def number(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select("doc_id", *map(number, pii.BASE_SCORE), F.sha2(told(base), 256).alias("base_sha256"), told("pii").alias("spans"))
