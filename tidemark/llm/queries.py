@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    centroids,
     html_main,
     jaccard_join,
     licenses,
@@ -17,8 +20,10 @@ from tidemark.llm import (
     sentencepiece_bpe,
     topk,
     url_filter,
+    vector_codes,
 )
 from tidemark.llm.common import stored, table
+from tidemark.llm.vectors import WIDEST, long_sum
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -225,6 +230,108 @@ def masked_lm_query(spark, sf_dir):
     return masked_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def _floors_sql(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: floor(greatest(least({scale} * x::DOUBLE, {WIDEST}), -{WIDEST})))"
+
+
+USABLE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+LONG_SQL = "9223372036854775807"
+
+
+def _clusters_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """The plain algorithm, every vector against every centroid in every round."""
+    away = "list_dot_product(v.v, v.v) - 2 * list_dot_product(v.v, c.v) + list_dot_product(c.v, c.v)"
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min_by(cluster, (d, cluster)) AS cluster, min(d) AS d
+  FROM (SELECT v.r, v.vec_id, v.v, c.cluster, {away} AS d FROM vectors v CROSS JOIN c{n} c) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS MATERIALIZED (
+  SELECT cluster, list(x::DOUBLE ORDER BY place) AS v
+  FROM (SELECT cluster, place, (total - ((total % n) + n) % n) // n AS x
+        FROM (SELECT cluster, place, sum(x::BIGINT)::BIGINT AS total, count(*) AS n
+              FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{n}) GROUP BY cluster, place))
+  GROUP BY cluster),
+c{n + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN m{n} m ON m.cluster = c.cluster)""")
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, {_floors_sql(64)} AS v FROM embeddings WHERE {USABLE_SQL} AND len(embedding) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v
+  FROM (SELECT sha256('1:' || vec_id) AS h, v FROM vectors ORDER BY h, v LIMIT {clusters})),
+{", ".join(steps)},
+inertias AS (SELECT cluster, sum(d::BIGINT) AS total FROM a{rounds} GROUP BY cluster),
+told AS (SELECT cluster, sha256(array_to_string(list_transform(v, lambda x: x::BIGINT), ',')) AS h FROM c{rounds})
+SELECT a.vec_id, a.cluster::INTEGER AS cluster, a.d::BIGINT AS distance, least(i.total, {LONG_SQL})::BIGINT AS cluster_inertia,
+       (SELECT least(sum(total), {LONG_SQL}) FROM inertias)::BIGINT AS inertia, h AS centroid_sha256
+FROM a{rounds} a JOIN inertias i ON i.cluster = a.cluster JOIN told ON told.cluster = a.cluster
+"""
+
+
+@query("op11_centroid_clusters", _clusters_sql())
+def centroid_clusters_query(spark, sf_dir):
+    found, final = centroids.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    found = stored(found, "clusters")
+    sums = {r["cluster"]: int(r["total"]) for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("total")).collect()}
+    longest = (1 << 63) - 1
+    told = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in final.tolist()]
+    rows = [(c, min(n, longest), min(sum(sums.values()), longest), told[c]) for c, n in sums.items()]
+    # At most one row for each of the 16 clusters.
+    totals = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(totals), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The plain algorithm, every part against every entry in every round."""
+    steps = []
+    away = "x.n2 - 2 * list_dot_product(x.v, c.v) + list_dot_product(c.v, c.v)"
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, part, any_value(v) AS v, min_by(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT x.r, x.part, x.v, c.entry, {away} AS d FROM pieces x JOIN c{n} c ON c.part = x.part) GROUP BY r, part)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS MATERIALIZED (
+  SELECT part, entry, list(x::DOUBLE ORDER BY place) AS v
+  FROM (SELECT part, entry, place, (total - ((total % n) + n) % n) // n AS x
+        FROM (SELECT part, entry, place, sum(x::BIGINT)::BIGINT AS total, count(*) AS n
+              FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{n}) GROUP BY part, entry, place))
+  GROUP BY part, entry),
+c{n + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{n} c LEFT JOIN m{n} m ON m.part = c.part AND m.entry = c.entry)""")
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, {_floors_sql(1024)} AS v FROM embeddings WHERE {USABLE_SQL}),
+sized AS (SELECT greatest(1, (max(len(v)) + {parts - 1}) // {parts}) AS size FROM vectors),
+pieces AS MATERIALIZED (
+  SELECT *, list_dot_product(v, v) AS n2
+  FROM (SELECT r, vec_id, full_v, part, full_v[part * size + 1:(part + 1) * size] AS v
+        FROM (SELECT r, vec_id, size, list_transform(list_resize(v, {parts} * size, 0), lambda x: x::DOUBLE) AS full_v, unnest(range({parts})) AS part
+              FROM vectors, sized))),
+c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST, full_v) - 1 AS entry, v
+  FROM pieces QUALIFY entry < {entries}),
+{", ".join(steps)},
+coded AS (
+  SELECT r, string_agg(right('0' || lower(to_hex(entry)), 2), '' ORDER BY part) AS code, least(sum(d), {LONG_SQL})::BIGINT AS error
+  FROM a{rounds} GROUP BY r),
+books AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS h FROM c{rounds}),
+labels AS (SELECT label, least(sum(error), {LONG_SQL})::BIGINT AS total FROM vectors v JOIN coded ON coded.r = v.r GROUP BY label)
+SELECT v.vec_id, code, error, total AS label_error, (SELECT h FROM books) AS codebooks_sha256
+FROM vectors v JOIN coded ON coded.r = v.r JOIN labels l ON l.label IS NOT DISTINCT FROM v.label
+"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def vector_codes_query(spark, sf_dir):
+    coded, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    coded = stored(coded, "codes")
+    totals = coded.groupBy("label").agg(long_sum("error").alias("label_error")).withColumnRenamed("label", "of")
+    joined = coded.join(totals, F.col("label").eqNullSafe(F.col("of")))
+    return joined.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 def _pii_sql() -> str:
     """Matches and the pieces between them give the places; checksums are folds over digits."""
     email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
