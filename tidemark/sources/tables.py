@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions.numeric import present
+from tidemark.sources import ranges
 
 # Separators tried in this order, and file endings that are refused.
 SEPARATORS = [";", ",", "\t", "|"]
@@ -31,6 +33,10 @@ def _separator(lines: list[str]) -> str:
         raise ValueError("no separator found: the file has one column or none") from error
 
 
+# Numbers as other tools write them; the plain cast would also take marks such as 1d, and is slow on words.
+NUMBER = r"^[+-]?(?:(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+
+
 def load_delimited(
     spark: SparkSession,
     path: str,
@@ -41,16 +47,30 @@ def load_delimited(
 ) -> DataFrame:
     """Delimited text with a header line, as spreadsheets and other tools write it.
 
-    Fields may be quoted, with doubled quotes and line breaks inside; the usual words for a missing value give
-    NULL; blanks around values are dropped. The separator comes from the header. One pass over the text finds the
-    column types (whole numbers, numbers, truth values, text) and whether all of it is UTF-8; otherwise it is read
-    as Latin-1. Name ``encoding`` and ``schema`` to leave that pass out, and turn ``multi_line`` off for large
-    files without quoted line breaks, so that they can be split.
+    Fields may be quoted, with doubled quotes and line breaks inside (kept as ``\\n``); the usual words for a
+    missing value give NULL; blanks around values are dropped; blank lines are skipped. The separator comes from
+    the header. One pass over the text finds the column types (whole numbers, numbers, truth values, text) and
+    whether all of it is UTF-8; otherwise it is read as Latin-1. Name ``encoding`` and ``schema`` to leave that
+    pass out.
+
+    Files are read by many tasks even if records span several lines: a first pass over the lines with quotes finds
+    out which ranges of bytes start inside a field. Turn ``multi_line`` off to leave it out where no field holds
+    line breaks. With it on, encodings other than UTF-8, Latin-1 and ASCII are read a file a task.
     """
-    sep = sep or _separator([r[0] for r in spark.read.text(path).limit(20).collect()])
-    reader = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=multi_line)
+    first = [bytes(r[0]) for r in spark.read.text(path).select(F.col("value").cast("binary")).limit(20).collect()]
+    sep = sep or _separator([line.decode("latin-1") for line in first])
+    reader = spark.read.options(header=True, sep=sep, quote='"', escape='"')
     # Latin-1 keeps every byte as one character, so the bytes can be looked at again.
-    raw = reader.option("encoding", encoding or "ISO-8859-1").csv(path)
+    reader = reader.option("encoding", encoding or "ISO-8859-1")
+    records = None
+    if not _in_ranges(encoding):
+        raw = reader.option("multiLine", multi_line).csv(path)
+    else:
+        records = ranges.records_of(spark, path, sep) if multi_line else None
+        raw = reader.csv(path)
+    if records is not None:
+        encoded = encoding or "ISO-8859-1"
+        raw = _parsed(records, _header(spark, path, sep, encoded), sep, encoded)
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
 
@@ -61,21 +81,25 @@ def load_delimited(
     def utf8(c: Column) -> Column:
         return F.encode(c, "ISO-8859-1").cast("string")
 
+    def wide(c: Column) -> Column:
+        return F.octet_length(c) != F.length(c)
+
     found = None
     if schema is None or encoding is None:
         measures = []
         for i, c in enumerate(raw.columns):
             v = value(F.col(f"`{c}`"))
             measures += [
-                F.count(v).alias(f"n{i}"), F.count(v.try_cast("bigint")).alias(f"bigint{i}"), F.count(v.try_cast("double")).alias(f"double{i}"),
+                F.count(v).alias(f"n{i}"), F.count(_number(v, "bigint")).alias(f"bigint{i}"), F.count(_number(v, "double")).alias(f"double{i}"),
                 F.count_if(F.lower(v).isin("true", "false")).alias(f"boolean{i}"),
-                F.count_if(~F.is_valid_utf8(utf8(F.col(f"`{c}`")))).alias(f"bad{i}"),
+                F.count_if(F.when(wide(F.col(f"`{c}`")), ~F.is_valid_utf8(utf8(F.col(f"`{c}`"))))).alias(f"bad{i}"),
             ]
         found = raw.agg(*measures).first()
     recode = encoding is None and not any(found[f"bad{i}"] for i in range(len(raw.columns)))
     columns = []
     for i, c in enumerate(raw.columns):
-        text = value(utf8(F.col(f"`{c}`")) if recode else F.col(f"`{c}`"))
+        text = F.col(f"`{c}`")
+        text = value(F.when(wide(text), utf8(text)).otherwise(text) if recode else text)
         if schema is not None:
             kind, name = schema.fields[i].dataType.simpleString(), schema.fields[i].name
         else:
@@ -85,6 +109,42 @@ def load_delimited(
     return raw.select(*columns)
 
 
+def _number(v: Column, kind: str) -> Column:
+    return F.when(v.rlike(NUMBER), v.try_cast(kind))
+
+
+def _in_ranges(encoding: str | None) -> bool:
+    try:
+        return encoding is None or codecs.lookup(encoding).name in ("utf-8", "iso8859-1", "ascii")
+    except LookupError:
+        return False
+
+
+def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
+    """Column names of the first record, which may have line breaks itself."""
+    header, inside = [], False
+    for r in spark.read.text(path).select(F.col("value").cast("binary")).limit(10_000).collect():
+        line = bytes(r[0])
+        if header or line.strip():
+            inside = ranges.ends_inside(line, inside, sep.encode())
+            header.append(line.decode(encoding))
+            if not inside:
+                break
+    if inside:
+        raise ValueError("the header does not end within 10,000 lines")
+    mark = "\ufeff".encode().decode(encoding)
+    names = next(csv.reader(["\n".join(header).removeprefix(mark)], delimiter=sep))
+    lower = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if lower.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def _parsed(records: DataFrame, names: list[str], sep: str, encoding: str) -> DataFrame:
+    """Every field of whole records as text."""
+    text = F.decode("record", encoding)
+    fields = ", ".join(f"c{i} string" for i in range(len(names)))
+    return records.select(F.from_csv(text, fields, {"sep": sep, "quote": '"', "escape": '"'}).alias("r")).select("r.*").toDF(*names)
+
+
 def _recoded(name: str) -> str:
     try:
         return name.encode("latin-1").decode("utf-8")
