@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
 from tidemark.catalog.registry import oracle, query, rounded
+from tidemark.functions.validation import EMAIL_PATTERN, PHONE_PATTERN
 from tidemark.operators import alerts
 from tidemark.operators.reports import general_report
 from tidemark.session import scratch_path
@@ -19,8 +20,8 @@ REQUESTS = """SELECT c_name AS name, email, CASE WHEN contact_id % 3 = 0 THEN ''
 RULES = f"""SELECT name, email, CASE WHEN phone = '' THEN 'N/A' ELSE phone END AS phone, coalesce(category, 'Globale') AS category,
     coalesce(up, 10) AS up, coalesce(down, 10) AS down, reason IS NULL AS accepted, reason FROM (
     SELECT *, CASE WHEN name IS NULL OR email IS NULL THEN 'name and e-mail are required'
-      WHEN NOT regexp_full_match(email, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{{2,}}') THEN 'invalid e-mail'
-      WHEN phone <> '' AND NOT regexp_full_match(phone, '([+]212|0)[5-7][0-9]{{8}}') THEN 'invalid phone'
+      WHEN NOT regexp_full_match(email, '{EMAIL_PATTERN}') THEN 'invalid e-mail'
+      WHEN phone <> '' AND NOT regexp_full_match(phone, '{PHONE_PATTERN}') THEN 'invalid phone'
       WHEN up < 0 OR down < 0 THEN 'negative threshold' END AS reason FROM ({REQUESTS}))"""
 CHANGES = """SELECT *, (y - p) / nullif(p, 0) * 100 AS variation FROM (
     SELECT *, lag(y) OVER (PARTITION BY category ORDER BY ds) AS p, row_number() OVER (PARTITION BY category ORDER BY ds DESC) AS back FROM (
@@ -74,10 +75,9 @@ def history(spark, d):
     w AS (SELECT * FROM e UNION ALL SELECT 'Globale', ds, sum(y) FROM e GROUP BY 2),
     c AS (SELECT category, ds, (y - p) / nullif(p, 0) * 100 AS variation
           FROM (SELECT *, lag(y) OVER (PARTITION BY category ORDER BY ds) AS p FROM w))
-    SELECT category, ds, variation, {LABEL} AS label FROM c
-    WHERE abs(variation) > 10 AND ds + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""", "variation"))
+    SELECT category, ds, variation, {LABEL} AS label FROM c WHERE abs(variation) > 10""", "variation"))
 def stream(spark, d):
-    """Alerts of all days that the watermark has closed when the stored events are used up."""
+    """Alerts of all days, closed and open, when the stored events are used up."""
     schema = fx.table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     categories = ["Globale", "click", "view", "purchase", "signup", "error"]
