@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import as_double, pearson
+from tidemark.functions.numeric import as_double
 from tidemark.operators.aggregates import with_key
+from tidemark.plans.gram import pair_moments
 from tidemark.plans.lookups import lookup_join
 from tidemark.plans.quantiles import quantiles
 from tidemark.plans.stages import reusable
@@ -66,18 +67,18 @@ def box_stats(df: DataFrame, column: str, by: str, approx: bool = False, **kw) -
 
 
 def _pair_rows(df: DataFrame, columns: list[str], diagonal: bool = False) -> DataFrame:
-    """Correlation of every pair of columns, in one scan and one plan for any number of columns.
-
-    A row becomes one ``(i, j, x, y)`` per pair; the grouped aggregate meets them map-side, so one row per pair and
-    task is shuffled.
-    """
-    k, own = len(columns), 0 if diagonal else 1
-    values = df.select(F.array(*[as_double(c) for c in columns]).alias("v"))
-    pairs = F.expr(f"""flatten(transform(sequence(0, {k - 1}), i -> transform(
-        filter(sequence(0, {k - 1}), j -> j >= i + {own}), j -> struct(i AS i, j AS j, v[i] AS x, v[j] AS y))))""")
-    grouped = values.select(F.inline(pairs)).groupBy("i", "j").agg(pearson("x", "y").alias("correlation"))
+    """Correlation of every pair of columns over rows that have both, from one scan for any number of columns."""
+    pairs = pair_moments(df, columns)
+    r = F.try_divide(F.col("cxy"), F.sqrt("cxx") * F.sqrt("cyy"))
+    # Pairs without a common row have no moments but a place in the result.
+    every = df.sparkSession.range(len(columns)).selectExpr("CAST(id AS INT) AS i", f"explode(sequence(CAST(id AS INT), {len(columns) - 1})) AS j")
+    if not diagonal:
+        every = every.where("i < j")
     names = F.array(*[F.lit(c) for c in columns])
-    return grouped.select(F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), "correlation")
+    return every.join(pairs, ["i", "j"], "left").select(
+        F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"),
+        F.when(r.isNull() | F.isnan(r), r).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("correlation"),
+    )
 
 
 def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
