@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tidemark.fixtures import ORDERS_SPEC
 from tidemark.operators.aggregates import pct_change
 from tidemark.operators.cleaning import time_index
+from tidemark.operators.filters import last_rows
 from tidemark.operators.windows import moving_average_rows
 from tidemark.plans.lookups import lookup_join
+from tidemark.plans.ordered import row_index
 from tidemark.plans.quantiles import quantiles
 from tidemark.spec import SalesSpec
 
@@ -113,3 +115,29 @@ def test_no_single_partition_before_aggregation(spark, sf_dir):
         for line in lines:
             if "SinglePartition" in line:
                 assert "o_totalprice" not in line
+
+
+@pytest.mark.parametrize("cut", CUTS)
+@pytest.mark.parametrize("n", [101, 900, 5000])
+def test_last_rows_of_hot_and_nameless_groups(skewed, cut, n):
+    df, pdf = skewed
+    df = df.withColumn("cat", F.when(F.col("cat") != "c1", F.col("cat")))
+    out = last_rows(df, SPEC, n, ["cat"], rows_per_bucket=cut)
+    got = out.toPandas()
+    pdf = pdf.assign(cat=pdf["cat"].where(pdf["cat"] != "c1"))
+    want = pdf.sort_values(["d", "i"]).groupby("cat", dropna=False).tail(n)
+    assert sorted(got["i"]) == sorted(want["i"]) and list(got.columns) == list(df.columns)
+    if cut < 1000:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "_bucket" in plan[plan.index("Window") :].splitlines()[0]
+
+
+@pytest.mark.parametrize("cut", CUTS)
+def test_ordered_plans_with_nameless_keys(skewed, cut):
+    """Missing keys are one key, also over several buckets."""
+    df, pdf = skewed
+    df = df.withColumn("cat", F.when(F.col("cat") != "hot", F.col("cat")))
+    out = row_index(df, ["cat"], ["d", "i"], rows_per_bucket=cut).toPandas().sort_values("i")
+    pdf = pdf.assign(cat=pdf["cat"].where(pdf["cat"] != "hot").fillna("")).sort_values(["d", "i"])
+    pdf["idx"] = pdf.groupby("cat").cumcount()
+    assert list(out["idx"]) == list(pdf.sort_values("i")["idx"])

@@ -73,6 +73,15 @@ def last(spark, d):
     return _rows(filters.last_rows(fx.sales(spark, d), fx.SPEC, 30, ["product"]))
 
 
+@query("last_rows_many", oracle(f"""
+    SELECT {KEYS} FROM (SELECT *, nullif(promo, 'Non') AS g FROM sales) QUALIFY row_number() OVER (PARTITION BY g ORDER BY
+      sale_date DESC, order_id DESC, line_no DESC, part_id DESC, supp_id DESC) <= 20000""", "amount"))
+def last_many(spark, d):
+    """Many rows of two large groups, one of them without a name, over buckets much smaller than either."""
+    rows = fx.sales(spark, d).withColumn("g", F.nullif("promo", F.lit("Non")))
+    return _rows(filters.last_rows(rows, fx.SPEC, 20_000, ["g"], rows_per_bucket=3_000))
+
+
 @query("latest_value", oracle(f"""
     SELECT product, arg_max(CAST(amount AS DOUBLE), ROW({ORDER})) AS last_amount FROM sales GROUP BY 1""", "last_amount"))
 def latest(spark, d):

@@ -8,8 +8,12 @@ from pyspark.sql import types as T
 
 from tidemark.functions.dates import day_of
 from tidemark.functions.numeric import total
+from tidemark.plans.ordered import last_of_keys
 from tidemark.spec import SalesSpec
 
+# Rows of a group that every task may send to the one that ranks the group.
+RANKED = 100
+
 
 def in_period(df: DataFrame, column: str, start=None, end=None) -> Column:
     """Inclusive date range; the last day counts to its end.
@@ -72,14 +76,18 @@ def top_rows(df: DataFrame, column: str, n: int = 50, tie: list[str] = (), ascen
     return df.orderBy(main, *tie).limit(n)
 
 
-def last_rows(df: DataFrame, spec: SalesSpec, n: int, by: list[str] = ()) -> DataFrame:
-    """The last ``n`` rows in date order, of the table or of every group.
+def last_rows(df: DataFrame, spec: SalesSpec, n: int, by: list[str] = (), **kw) -> DataFrame:
+    """The last ``n`` rows in date order, of the table or of every group; missing group values are a group.
 
-    The grouped form ranks with ``row_number() <= n``, which Spark cuts to ``n`` rows per group before the shuffle.
+    For a small ``n`` Spark keeps ``n`` rows of every group in each task before the shuffle. For more than
+    ``RANKED`` rows the table is cut into range buckets, and only buckets that can hold such rows are ranked, each
+    by itself, so that no group has to fit one task.
     """
     newest = [F.col(c).desc() for c in spec.order]
     if not by:
         return df.orderBy(*newest).limit(n)
+    if n > RANKED:
+        return last_of_keys(df, list(by), spec.order, n, **kw)
     ranked = df.withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(*newest)))
     return ranked.where(F.col("_back") <= n).drop("_back")
 

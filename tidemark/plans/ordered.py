@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,11 +60,19 @@ class Bucketed:
         """Rows of keys that continue in another bucket (all rows when there are no keys)."""
         if not self.keys:
             return self.df
-        return self.df.join(F.broadcast(self.spanning), self.keys, "left_semi")
+        return _join_nulls(self.df, self.spanning, self.keys, "left_semi")
 
     def join_small(self, big: DataFrame, small: DataFrame) -> DataFrame:
         """Left join with a per-(bucket, spanning key) table: at most 2 x MAX_BUCKETS rows, so broadcast."""
-        return big.join(F.broadcast(small), self.group, "left")
+        return _join_nulls(big, small, self.group, "left")
+
+
+def _join_nulls(big: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Broadcast join in which missing keys are equal."""
+    renamed = small.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    joined = big.join(F.broadcast(renamed), reduce(and_, same), how)
+    return joined if how == "left_semi" else joined.drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def _bounds(keys: DataFrame, buckets: int, total: int) -> list[str]:
@@ -150,6 +160,25 @@ def previous_value(
     return out.select(*df.columns, "_filled", "_previous")
 
 
+def last_of_keys(df: DataFrame, keys: list[str], order: list[str], n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The last ``n`` rows of every key.
+
+    Counts per key and bucket tell how many rows follow a bucket: buckets that ``n`` or more rows follow are left out
+    before any shuffle, and the others are ranked each by itself.
+    """
+    b = bucketize(df, keys, order, rows_per_bucket)
+    out, room = b.df, F.lit(n)
+    if not b.single:
+        sizes = b.spanning_rows().groupBy(*b.group).agg(F.count(F.lit(1)).alias("_size"))
+        by = b.keys or [F.lit(0)]
+        later = F.sum("_size").over(Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing))
+        rooms = sizes.select(*b.group, (F.lit(n) - F.coalesce(later, F.lit(0))).alias("_room"))
+        out = b.join_small(out, rooms).where(F.coalesce("_room", F.lit(n)) > 0)
+        room = F.coalesce("_room", F.lit(n))
+    back = F.row_number().over(b.window(descending=True))
+    return out.withColumn("_back", back).where(F.col("_back") <= room).select(*df.columns)
+
+
 def _halo(b: Bucketed, rows: int) -> DataFrame:
     """Copies of the last rows before each bucket, labelled with the bucket that reads them."""
     back = F.row_number().over(b.window(descending=True))
@@ -170,7 +199,7 @@ def _halo(b: Bucketed, rows: int) -> DataFrame:
         ),
     )
     readers = sizes.withColumn("_next", following).select(*b.group, F.inline(between))
-    copies = tail.join(F.broadcast(readers.where(F.col("skip") < rows)), b.group)
+    copies = _join_nulls(tail, readers.where(F.col("skip") < rows), b.group, "inner")
     return copies.where(F.col("_back") + F.col("skip") <= rows).withColumn(BUCKET, F.col("to")).drop("_back", "to", "skip")
 
 
