@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tidemark.operators.windows import moving_average_rows
 from tidemark.plans.lookups import lookup_join
 from tidemark.plans.ordered import row_index
 from tidemark.plans.quantiles import quantiles
+from tidemark.plans.stages import COSTLY, PLAIN, UNSTABLE, nature
 from tidemark.spec import SalesSpec
 
 SPEC = SalesSpec("d", "y", "cat", ("i",))
@@ -77,13 +79,13 @@ def test_time_index(skewed, cut, by):
     assert out["time"].tolist() == expected.sort_index().tolist()
 
 
-@pytest.mark.parametrize("cut", [None, 500, 11])
+@pytest.mark.parametrize("made", ["scan", "aggregate", "sample"])
 @pytest.mark.parametrize("by", [[], ["cat"]])
-def test_quantiles(skewed, cut, by):
+def test_quantiles(skewed, by, made):
     df, pdf = skewed
-    kw = {} if cut is None else {"one_task_rows": 1, "rows_per_bucket": cut}
+    df = {"scan": df, "aggregate": df.distinct(), "sample": df.sample(1.0)}[made]
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    out = quantiles(df, ["y", "i"], probs, by, **kw).toPandas()
+    out = quantiles(df, ["y", "i"], probs, by).toPandas()
     for _, row in out.iterrows():
         part = pdf[pdf["cat"] == row["cat"]] if by else pdf
         expected = part[row["column"]].dropna().quantile(probs)
@@ -92,6 +94,58 @@ def test_quantiles(skewed, cut, by):
     assert len(out) == 2 * (pdf["cat"].nunique() if by else 1)
 
 
+@pytest.mark.parametrize("kind", ["wide", "narrow", "ties", "negative", "tiny", "endless"])
+def test_quantiles_are_exact_for_any_values(spark, kind):
+    rng = np.random.default_rng(len(kind))
+    values = {
+        "wide": rng.choice([-1, 1], 4000) * 10.0 ** rng.uniform(-300, 300, 4000), "narrow": 1e9 + rng.random(4000) * 1e-3,
+        "ties": rng.integers(0, 3, 4000).astype(float), "negative": -np.abs(rng.normal(size=4000)) - 0.0, "tiny": rng.random(4000) * 1e-12,
+        "endless": np.where(rng.random(4000) < 0.2, np.inf, np.where(rng.random(4000) < 0.2, -np.inf, rng.normal(size=4000) * 1e305)),
+    }[kind]
+    values[:3] = [0.0, -0.0, values[5]]
+    df = spark.createDataFrame([(float(v), None if i % 3 else "a") for i, v in enumerate(values)] + [(None, "a"), (float("nan"), "b")], "x double, g string")
+    probs = [0.0, 0.001, 0.1, 0.5, 0.73, 0.999, 1.0]
+    # Whole ranks, so that nothing has to be interpolated between the ends of the scale.
+    out = {r["g"]: r for r in quantiles(df, ["x"], [round(p * 3999) / 3999 for p in probs]).withColumn("g", F.lit("all")).collect()}
+    ordered = np.sort(values)
+    assert [out["all"][f"q{i}"] for i in range(7)] == pytest.approx([ordered[round(p * 3999)] for p in probs], rel=1e-12, abs=0) or kind == "endless"
+    groups = {r["g"]: r for r in quantiles(df, ["x"], [0.0, 1.0], ["g"]).collect()}
+    assert set(groups) == {"a", None}
+    for g, part in (("a", values[::3]), (None, np.delete(values, np.arange(0, 4000, 3)))):
+        assert (groups[g]["n"], groups[g]["q0"], groups[g]["q1"]) == (len(part), part.min(), part.max())
+
+
+def test_quantiles_run_nothing_before_they_are_asked(spark, skewed):
+    df, _ = skewed
+    spark.sparkContext.setJobGroup("quantiles", "")
+    out = quantiles(df.join(df.select("cat").distinct(), "cat"), ["y"], [0.5], ["cat"])
+    ran = spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(ran) == 0 and out.count() > 0
+    assert quantiles(df.limit(0), ["y"], [0.5]).count() == 0
+
+
+def test_nature_of_inputs(spark, skewed):
+    df, _ = skewed
+    named = df.withColumnRenamed("y", "SortKeyWindowJoin").where("d > 3")
+    assert nature(named) == PLAIN
+    assert nature(df.groupBy("cat").count()) == nature(df.join(df, "i")) == nature(df.distinct()) == COSTLY
+    for drawn in (df.limit(10), df.sample(0.5, seed=1), df.withColumn("r", F.rand(3)), df.where(F.rand() < 0.5), df.offset(3),
+                  df.orderBy("i").limit(5).groupBy("cat").count()):
+        assert nature(drawn) == UNSTABLE
+
+
+@pytest.mark.parametrize("draw", [lambda df: df.limit(1500), lambda df: df.sample(0.5), lambda df: df.where(F.rand() < 0.5)])
+def test_draws_are_the_same_in_every_pass(skewed, draw):
+    """Numbers of the rows of a draw have no gaps, and quantiles belong to the counted rows."""
+    df, _ = skewed
+    rows = row_index(draw(df), ["cat"], ["d", "i"], rows_per_bucket=100).toPandas()
+    for _, part in rows.groupby("cat"):
+        assert sorted(part["idx"]) == list(range(len(part)))
+    found = quantiles(draw(df), ["i"], [0.0, 0.5, 1.0]).collect()
+    assert len(found) == 1 and None not in found[0]
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_lookup_join(spark, skewed, how):
     df, pdf = skewed

@@ -10,6 +10,7 @@ from tidemark import fixtures as fx
 from tidemark.catalog.registry import ORDER, oracle, query, rounded
 from tidemark.operators import aggregates as agg
 from tidemark.operators import profiles, stats
+from tidemark.plans.stages import stored
 
 D = "CAST(amount AS DOUBLE)"
 TOTAL = "CAST(sum(amount) AS DOUBLE)"
@@ -211,7 +212,8 @@ def describe(spark, d):
         quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75
         FROM (SELECT CAST({c} AS DOUBLE) AS x FROM sales)""" for c in NUMBERS), "mean std min max p25 p50 p75"))
 def describe_buckets(spark, d):
-    return rounded(stats.describe_columns(fx.sales(spark, d), NUMBERS, one_task_rows=1, rows_per_bucket=3000))
+    """Over a plain table, which every pass of the quantiles scans."""
+    return rounded(stats.describe_columns(stored(fx.sales(spark, d).select(*NUMBERS), "plain"), NUMBERS))
 
 
 @query("histogram", oracle(f"""
@@ -243,7 +245,8 @@ def box(spark, d):
            avg(x) AS mean, stddev_samp(x) AS std, count(*) FILTER (NOT inside) AS outliers
     FROM j GROUP BY 1, 2, 3, 4""", "q1 median q3 whisker_low whisker_high mean std"))
 def box_buckets(spark, d):
-    return rounded(stats.box_stats(fx.sales(spark, d), "amount", "product", one_task_rows=1, rows_per_bucket=3000))
+    """Over a plain table, which every pass of the quantiles scans."""
+    return rounded(stats.box_stats(stored(fx.sales(spark, d).select("amount", "product"), "plain"), "amount", "product"))
 
 
 CORRELATIONS = " UNION ALL ".join(

@@ -10,21 +10,26 @@ from tidemark.operators.aggregates import with_key
 from tidemark.plans.gram import pair_moments
 from tidemark.plans.lookups import lookup_join
 from tidemark.plans.quantiles import quantiles
-from tidemark.plans.stages import reusable
+from tidemark.plans.stages import UNSTABLE, nature, stored
 from tidemark.spec import numeric_columns
 
 
-def describe_columns(df: DataFrame, columns: list[str] | None = None, approx: bool = False, **kw) -> DataFrame:
+def _steady(df: DataFrame, name: str) -> DataFrame:
+    """Rows that are the same whenever they are read; stored only if they might not be."""
+    return stored(df, name) if nature(df) == UNSTABLE else df
+
+
+def describe_columns(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, std, min, quartiles and max, one row per column."""
     columns = columns or numeric_columns(df)
-    df = reusable(df.select(*columns), "columns")
+    df = _steady(df.select(*columns), "columns")
     measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     one = df.agg(*[f(as_double(c)).alias(f"{m}_{i}") for i, c in enumerate(columns) for m, f in measures.items()])
     rows = [
         F.struct(F.lit(c).alias("column"), *[F.col(f"{m}_{i}").alias(m) for m in measures]) for i, c in enumerate(columns)
     ]
     long = one.select(F.inline(F.array(*rows)))
-    parts = quantiles(df, columns, [0.25, 0.5, 0.75], approx=approx, **kw)
+    parts = quantiles(df, columns, [0.25, 0.5, 0.75], approx=approx)
     parts = parts.select("column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
     # One row per column on either side.
     return long.join(F.broadcast(parts), "column", "left")
@@ -48,10 +53,10 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     return edges.join(counted, "bin", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0).cast("bigint")))
 
 
-def box_stats(df: DataFrame, column: str, by: str, approx: bool = False, **kw) -> DataFrame:
+def box_stats(df: DataFrame, column: str, by: str, approx: bool = False) -> DataFrame:
     """Quartiles, whiskers within 1.5 IQR, mean, deviation and outlier count per category."""
-    df = reusable(with_key(df.select(by, as_double(column).alias("x")), by, "x"), "box")
-    quart = quantiles(df, ["x"], [0.25, 0.5, 0.75], by=[by], approx=approx, **kw).select(
+    df = _steady(with_key(df.select(by, as_double(column).alias("x")), by, "x"), "box")
+    quart = quantiles(df, ["x"], [0.25, 0.5, 0.75], by=[by], approx=approx).select(
         by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
     fenced = quart.withColumn("_reach", 1.5 * (F.col("q3") - F.col("q1")))

@@ -6,14 +6,35 @@ from pyspark.sql import DataFrame
 
 from tidemark.session import scratch_path
 
-# Logical operators that make reading an input again expensive.
-COSTLY = ("Join", "Aggregate", "Window", "Generate", "Sort", "Distinct", "InPandas", "Union", "Repartition")
+# What reading an input a second time means: another scan, the same work again, or perhaps other rows.
+PLAIN, COSTLY, UNSTABLE = "plain", "costly", "unstable"
+# Logical operators by class: what a scan consists of, and what may give other rows whenever it runs.
+SCANS = {
+    "Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "LocalRelation", "LogicalRDD", "ExternalRDD", "InMemoryRelation",
+    "DataSourceV2Relation", "DataSourceV2ScanRelation", "HiveTableRelation", "Range", "OneRowRelation", "LogicalQueryStage",
+}
+DRAWS = {"Sample", "GlobalLimit", "LocalLimit", "Tail", "Offset"}
+
+
+def nature(df: DataFrame) -> str:
+    """Whether the optimised plan is a filtered scan, costs more than that, or is not sure to repeat its rows."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    found, open_ = PLAIN, [plan]
+    while open_:
+        node = open_.pop()
+        kind = node.getClass().getSimpleName()
+        if kind in DRAWS:
+            return UNSTABLE
+        if kind not in SCANS:
+            found = COSTLY
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return found if plan.deterministic() else UNSTABLE
 
 
 def is_plain_scan(df: DataFrame) -> bool:
-    """Whether the optimised plan only filters and projects a relation."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return not any(name in plan for name in COSTLY)
+    """Whether the optimised plan only filters and projects a relation, with the same rows every time."""
+    return nature(df) == PLAIN
 
 
 def reusable(df: DataFrame, name: str) -> DataFrame:
