@@ -158,6 +158,20 @@ def test_one_hot_drops_the_first_and_refuses_many(spark):
         cleaning.one_hot(df, ["c"], max_values=1)
 
 
+def test_sparse_dummies_of_many_values(spark):
+    """As many values as one likes, numbered in order; NULL and the first value have no place."""
+    df = spark.range(100_000).selectExpr("id AS k", "(id * 7) % 100000 AS a", "IF(id % 3 = 0, NULL, CAST(id % 3 AS STRING)) AS b")
+    out = cleaning.one_hot_sparse(df, ["a", "b"], rows_per_bucket=9000)
+    assert out.columns == ["k", "a_index", "b_index", "features"]
+    got = {r["k"]: (r["a_index"], r["b_index"], r["features"]["size"], r["features"]["positions"]) for r in out.where("k < 5").collect()}
+    assert got == {0: (0, None, 100_000, []), 1: (7, 0, 100_000, [6]), 2: (14, 1, 100_000, [13, 99_999]), 3: (21, None, 100_000, [20]),
+                   4: (28, 0, 100_000, [27])}
+    assert out.count() == 100_000 and out.agg(F.count_distinct("a_index")).first()[0] == 100_000
+    all_ = cleaning.one_hot_sparse(df.where("k < 2"), ["b"], drop_first=False).orderBy("k").collect()
+    assert [r["features"]["positions"] for r in all_] == [[], [0]]
+    assert cleaning.one_hot_sparse(df.limit(0), ["a", "b"]).count() == 0
+
+
 def test_contact_formats(spark):
     df = spark.createDataFrame([("a.b@c.ma", "+212612345678"), ("a@b", "0412345678"), (None, "0712345678")], "e string, p string")
     assert values(df.select(valid_email("e").alias("e"), valid_phone("p").alias("p")), "e", "p") == [

@@ -266,6 +266,24 @@ def dummies(spark, d):
     return out.groupBy("product").agg(*[F.count_if(c).alias(c) for c in names])
 
 
+@query("one_hot_sparse", oracle("""
+    WITH p AS (SELECT DISTINCT part_id AS v, dense_rank() OVER (ORDER BY part_id) - 1 AS i FROM sales),
+    w AS (SELECT DISTINCT weather AS v, dense_rank() OVER (ORDER BY weather) - 1 AS i FROM sales),
+    n AS (SELECT (SELECT count(*) FROM p) - 1 AS parts, (SELECT count(*) FROM p) + (SELECT count(*) FROM w) - 2 AS size)
+    SELECT product, p.i AS part_id_index, w.i AS weather_index, CAST(size AS BIGINT) AS size,
+           CASE WHEN p.i > 0 THEN CAST(p.i - 1 AS BIGINT) END AS part_place, CASE WHEN w.i > 0 THEN CAST(parts + w.i - 1 AS BIGINT) END AS weather_place,
+           count(*) AS n
+    FROM sales JOIN p ON p.v = part_id JOIN w ON w.v = weather CROSS JOIN n GROUP BY ALL"""))
+def sparse_dummies(spark, d):
+    """Parts and weather as one sparse vector: sizes and places."""
+    out = cleaning.one_hot_sparse(fx.sales(spark, d).select("product", "part_id", "weather"), ["part_id", "weather"], rows_per_bucket=500)
+    at, parts = F.col("features.positions"), F.col("part_id_index") > 0
+    return out.groupBy(
+        "product", "part_id_index", "weather_index", F.col("features.size").alias("size"),
+        F.when(parts, at[0]).alias("part_place"), F.when(F.col("weather_index") > 0, F.element_at(at, -1)).alias("weather_place"),
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("valid_email", oracle(r"""
     SELECT contact_id, email, regexp_full_match(email, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') AS ok FROM contacts"""))
 def emails(spark, d):

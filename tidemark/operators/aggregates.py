@@ -9,7 +9,7 @@ from tidemark.functions.dates import day_of, week_label
 from tidemark.functions.numeric import as_double, change, grade, mean, pearson, percent_of, total
 from tidemark.plans.ordered import ROWS_PER_BUCKET, previous_value
 from tidemark.plans.quantiles import quantiles
-from tidemark.plans.stages import reusable
+from tidemark.plans.stages import steady, whole_sum
 from tidemark.spec import PROMO_NO, PROMO_YES, SalesSpec
 
 # Thresholds and labels of the verdicts.
@@ -37,7 +37,7 @@ def with_key(df: DataFrame, *columns: str) -> DataFrame:
 def kpi_summary(df: DataFrame, spec: SalesSpec, approx: bool = False) -> DataFrame:
     """Total, mean, distinct categories, entries, median and standard deviation, as one row."""
     y = spec.target_col
-    df = reusable(df.select(y, *([spec.cat_col] if spec.cat_col else [])), "kpi")
+    df = steady(df.select(y, *([spec.cat_col] if spec.cat_col else [])), "kpi")
     distinct = F.lit(None).cast("bigint")
     if spec.cat_col:
         distinct = F.approx_count_distinct(spec.cat_col) if approx else F.count_distinct(F.col(spec.cat_col))
@@ -109,8 +109,8 @@ def category_performance(df: DataFrame, spec: SalesSpec, **kw) -> DataFrame:
 
 def share_of_total(grouped: DataFrame, column: str = "total", into: str = "share") -> DataFrame:
     """Add the share in percent of the column's sum, read as a scalar so that the groups stay distributed."""
-    grouped = reusable(grouped, "groups")
-    return grouped.withColumn(into, percent_of(F.col(column), grouped.agg(F.sum(column)).scalar()))
+    grouped = steady(grouped, "groups")
+    return grouped.withColumn(into, percent_of(F.col(column), whole_sum(grouped, column)))
 
 
 def region_kpis(df: DataFrame, spec: SalesSpec) -> DataFrame:
@@ -195,7 +195,7 @@ def stock_correlation(df: DataFrame, spec: SalesSpec) -> DataFrame:
 def _category_totals(df: DataFrame, spec: SalesSpec) -> DataFrame:
     y = spec.target_col
     grouped = with_key(df, spec.cat_col).groupBy(spec.cat_col).agg(total(y).alias("total"), mean(y).alias("mean"))
-    return reusable(grouped, "groups")
+    return steady(grouped, "groups")
 
 
 def _ranked(df: DataFrame, order, k: int, into: str = "rank") -> DataFrame:
@@ -217,8 +217,8 @@ def category_insights(df: DataFrame, spec: SalesSpec, k: int | None = 3) -> Data
     grouped = df.groupBy(spec.cat_col).agg(
         total(y).alias("total"), mean(y).alias("mean"), F.stddev_samp(as_double(y)).alias("std")
     )
-    grouped = reusable(grouped, "groups")
-    whole = grouped.agg(F.sum("total")).scalar()
+    grouped = steady(grouped, "groups")
+    whole = whole_sum(grouped, "total")
     grouped = with_key(grouped, spec.cat_col).withColumns({c: F.round(c, 2) for c in ("total", "mean", "std")})
     cv = F.round(percent_of(F.col("std"), F.col("mean")), 2)
     stable = F.when(F.col("cv") < STABILITY[0][0], STABILITY[0][1]).when(F.col("cv") < STABILITY[1][0], STABILITY[1][1])

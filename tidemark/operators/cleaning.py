@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import parse_dates
+from tidemark.plans.lookups import lookup_join
 from tidemark.plans.ordered import ROWS_PER_BUCKET, row_index
 from tidemark.spec import SalesSpec
 
@@ -43,13 +44,35 @@ def one_hot(df: DataFrame, columns: list[str], drop_first: bool = True, max_valu
     for column in columns:
         rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_values + 1).collect()
         if len(rows) > max_values:
-            raise ValueError(f"{column!r} has more than {max_values} values; index it instead of one-hot encoding")
+            raise ValueError(f"{column!r} has more than {max_values} values; use one_hot_sparse")
         values = sorted(r[0] for r in rows)[1 if drop_first else 0 :]
         dummies = {f"{column}_{v}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)) for v in values}
         out = out.withColumns(dummies).drop(column) if dummies else out.drop(column)
     return out
 
 
+def one_hot_sparse(
+    df: DataFrame, columns: list[str], drop_first: bool = True, into: str = "features", rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """The dummies of any number of values as one sparse vector in place of the columns.
+
+    ``into`` is ``(size, positions)``: the length of the vector, and where it is 1, ascending. Places follow the
+    order of ``columns`` and the sorted values of each; with ``drop_first`` a column's smallest value has none. NULL
+    has no place. ``<column>_index`` is the place of the value among the column's values from 0, dropped one
+    included. Values are numbered over range buckets and looked up by a join, so none of them reach the driver.
+    """
+    out, size, places, taken = df, F.lit(0).cast("bigint"), [], int(drop_first)
+    for column in columns:
+        index = f"{column}_index"
+        values = row_index(df.select(column).where(F.col(column).isNotNull()).distinct(), [], [column], index, rows_per_bucket=rows_per_bucket)
+        out = lookup_join(out, values, [column], "left")
+        many = F.coalesce(values.agg(F.max(index)).scalar() + 1 - taken, F.lit(0))
+        places.append(F.when(F.col(index) >= taken, size + F.col(index) - taken))
+        size = size + many
+    vector = F.struct(size.alias("size"), F.array_compact(F.array(*places)).alias("positions"))
+    return out.withColumn(into, vector).drop(*columns)
+
+
 def time_index(
     df: DataFrame, spec: SalesSpec, by: list[str] = (), into: str = "time", rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:

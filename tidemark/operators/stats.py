@@ -10,19 +10,14 @@ from tidemark.operators.aggregates import with_key
 from tidemark.plans.gram import pair_moments
 from tidemark.plans.lookups import lookup_join
 from tidemark.plans.quantiles import quantiles
-from tidemark.plans.stages import UNSTABLE, nature, stored
+from tidemark.plans.stages import steady
 from tidemark.spec import numeric_columns
 
 
-def _steady(df: DataFrame, name: str) -> DataFrame:
-    """Rows that are the same whenever they are read; stored only if they might not be."""
-    return stored(df, name) if nature(df) == UNSTABLE else df
-
-
 def describe_columns(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, std, min, quartiles and max, one row per column."""
     columns = columns or numeric_columns(df)
-    df = _steady(df.select(*columns), "columns")
+    df = steady(df.select(*columns), "columns")
     measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     one = df.agg(*[f(as_double(c)).alias(f"{m}_{i}") for i, c in enumerate(columns) for m, f in measures.items()])
     rows = [
@@ -55,7 +50,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 def box_stats(df: DataFrame, column: str, by: str, approx: bool = False) -> DataFrame:
     """Quartiles, whiskers within 1.5 IQR, mean, deviation and outlier count per category."""
-    df = _steady(with_key(df.select(by, as_double(column).alias("x")), by, "x"), "box")
+    df = steady(with_key(df.select(by, as_double(column).alias("x")), by, "x"), "box")
     quart = quantiles(df, ["x"], [0.25, 0.5, 0.75], by=[by], approx=approx).select(
         by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
 
@@ -45,6 +46,20 @@ def reusable(df: DataFrame, name: str) -> DataFrame:
     return df if is_plain_scan(df) else stored(df, name)
 
 
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """Rows that are the same whenever they are read: stored only if they might not be, else nothing runs."""
+    return stored(df, name) if nature(df) == UNSTABLE else df
+
+
+def whole_sum(grouped: DataFrame, column: str) -> Column:
+    """The sum of a column over all groups, as a scalar.
+
+    It reads all columns, so that Spark finds the shuffle of ``grouped`` in the plan and reuses it.
+    """
+    others = [F.max(c).alias(f"_{i}") for i, c in enumerate(grouped.columns)]
+    return grouped.agg(F.struct(F.sum(column).alias("sum"), *others).alias("all")).scalar()["sum"]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
