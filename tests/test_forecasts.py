@@ -1,6 +1,8 @@
 """Recursions against plain loops, recovery of known parameters, properties of every forecast."""
 
 import datetime as dt
+from functools import partial
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -61,8 +63,8 @@ def test_fixed_smoothing_and_vector_recursion_equal_the_loop(two):
         expected, sse = smoothing_loop(y, 0.2, 0.1, 0.3, 10)
         assert out[key]["yhat"].to_numpy() == pytest.approx(np.maximum(expected, 0))
         assert out[key]["sse"].iloc[0] == pytest.approx(sse)
-        grid = [np.array([0.5, v]) for v in (0.2, 0.1, 0.3)]
-        assert fleet.smoothing_errors(y, *grid)[1] == pytest.approx(sse)
+        grid = [np.array([[0.5], [v]]) for v in (0.2, 0.1, 0.3)]
+        assert fleet.smoothing_errors(7, *fleet.side_by_side([y]), *grid)[1, 0] == pytest.approx(sse)
 
 
 def test_fixed_arima_and_vector_recursion_equal_the_loop(two):
@@ -72,8 +74,57 @@ def test_fixed_arima_and_vector_recursion_equal_the_loop(two):
         expected, sse = arima_loop(y, 0.4, -0.6, 10)
         assert out[key]["yhat"].to_numpy() == pytest.approx(np.maximum(expected, 0))
         assert out[key]["sse"].iloc[0] == pytest.approx(sse)
-        sums = fleet.squared_innovations(np.diff(y), [(1, np.array([0.1, 0.4]))], [(1, np.array([0.2, -0.6]))])
-        assert sums[1] == pytest.approx(sse)
+        sums = fleet.arma_errors(0, *fleet.side_by_side([y]), np.array([[0.1], [0.4]]), np.array([[0.2], [-0.6]]))
+        assert sums[1, 0] == pytest.approx(sse)
+
+
+def test_series_side_by_side_have_the_errors_of_each_alone():
+    rng = np.random.default_rng(2)
+    ys = [50 + np.cumsum(rng.normal(0, 1, n)) for n in (90, 30, 41)]
+    y, n = fleet.side_by_side(ys)
+    weights = rng.random((3, 5, 3))
+    for errors, k in ((partial(fleet.smoothing_errors, 7), 3), (partial(fleet.arma_errors, 0), 2), (partial(fleet.seasonal_errors, 0), 4)):
+        parameters = [*weights, weights[0] - 0.5][:k]
+        together = errors(y, n, *parameters)
+        for i, one in enumerate(ys):
+            alone = errors(*fleet.side_by_side([one]), *[p[:, i : i + 1] for p in parameters])
+            assert together[:, i] == pytest.approx(alone[:, 0])
+
+
+def test_the_descent_goes_below_every_grid_point():
+    rng = np.random.default_rng(4)
+    t = np.arange(200)
+    ys = [100 + 0.3 * t + 10 * np.sin(2 * np.pi * t / 7) + np.cumsum(rng.normal(0, s, 200)) for s in (0.5, 2.0, 6.0)]
+    for errors, search in ((partial(fleet.smoothing_errors, 7), fleet.SMOOTHING_SEARCH), (partial(fleet.arma_errors, 0), fleet.ARMA_SEARCH)):
+        y, n = fleet.side_by_side(ys)
+        found = fleet.fitted(ys, errors, search)
+        least = errors(y, n, *found.T[:, None])[0]
+        grid = errors(y, n, *np.repeat(np.array(search.grid, float).T[:, :, None], 3, axis=2)).min(0)
+        assert (least <= grid * (1 + 1e-12)).all() and (least < grid * (1 - 1e-6)).any()
+        # Another small step to any side does not help any more.
+        for side in product((-1e-3, 0, 1e-3), repeat=found.shape[1]):
+            moved = np.clip(found + np.array(side), search.low, search.high)
+            assert (errors(y, n, *moved.T[:, None])[0] >= least * (1 - 1e-3)).all()
+
+
+def test_smoothing_of_short_series(spark):
+    """Seasons of half the length below two weeks, and a plain trend for very short ones."""
+    ys = {"n13": np.tile([1.0, 2, 3, 4, 5, 9], 3)[:13], "n4": np.array([1.0, 5, 1, 5]), "n3": np.array([1.0, 2, 3]), "n2": np.array([4.0, 5])}
+    ahead = collected(fleet.forecast_fleet(frame(spark, **ys), "holt_winters", 6))
+    assert set(ahead) == set(ys)
+    assert ahead["n13"]["yhat"].to_numpy() == pytest.approx([2, 3, 4, 5, 9, 1], abs=1e-6)
+    assert ahead["n4"]["yhat"].to_numpy() == pytest.approx([1, 5, 1, 5, 1, 5], abs=1e-6)
+    assert ahead["n3"]["yhat"].to_numpy() == pytest.approx([4, 5, 6, 7, 8, 9]) and ahead["n2"]["yhat"].to_numpy() == pytest.approx([6, 7, 8, 9, 10, 11])
+    scores = selection.backtest(frame(spark, a=50 + np.arange(15.0)), ["holt_winters"]).first()
+    assert np.isfinite(scores["mae"])
+
+
+def test_a_long_positional_series_gets_its_forecast(spark):
+    rng = np.random.default_rng(6)
+    y = 1000 + np.cumsum(rng.normal(0, 1, 100_000))
+    grid = fleet.Search([(0.0, 0.0), (0.5, 0.5)])
+    out = fleet.forecast_fleet(frame(spark, a=y), "arima", 3, grid).orderBy("ds").toPandas()
+    assert out["yhat"].to_numpy() == pytest.approx([y[-1]] * 3)
 
 
 def ahead_of(spark, y, model, days):
@@ -246,11 +297,11 @@ def test_seasonal_search_is_refined_up_to_its_reach():
         w[t] = e[t] + 0.9 * w[t - 1] - 0.95 * e[t - 7]
     w = w[100:]
 
-    def errors(y, phi, theta, sphi, stheta):
+    def errors(phi, theta, sphi, stheta):
         ar = [(1, phi), (7, sphi), (8, -phi * sphi)]
-        return fleet.squared_innovations(y, ar, [(1, theta), (7, stheta), (8, theta * stheta)])
+        return fleet.squared_innovations(w[:, None], len(w), ar, [(1, theta), (7, stheta), (8, theta * stheta)])
 
-    phi, theta, sphi, stheta = fleet.best_candidate(w, fleet.SEASONAL, errors, fleet.FINER, fleet.REACH)
+    phi, theta, sphi, stheta = fleet.best_candidates(errors, 1, fleet.SEASONAL_SEARCH)[0]
     assert phi == pytest.approx(0.9, abs=0.11) and stheta == pytest.approx(-0.95, abs=0.11)
     assert theta == pytest.approx(0, abs=0.11) and sphi == pytest.approx(0, abs=0.11)
 

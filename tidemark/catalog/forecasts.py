@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import product
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
@@ -174,7 +177,39 @@ def _grid(names, values):
     return f"g({names}) AS (VALUES {rows})"
 
 
-@query("forecast_holt_winters", oracle(S + ", " + _grid("ga, gb, gc", fleet.SMOOTHING) + """,
+# Fixed candidates of the rows whose whole search is repeated in SQL.
+FEW_WEIGHTS = fleet.Search(list(product((0.02, 0.1, 0.25, 0.5, 0.8), (0.0, 0.01, 0.05, 0.2), (0.02, 0.1, 0.25, 0.5))))
+ARMA_GRID = fleet.Search(fleet.ARMA)
+
+
+def _coming(model, flags):
+    """SQL of a forecast's properties: every series goes on for H days without a gap, and all flags hold."""
+    names = ", ".join(f"true AS {f}" for f in flags)
+    named = f"'{model}' AS model, " if model else ""
+    return oracle(S + f"SELECT series_key, {named}CAST(last_ds + CAST(step + 1 AS INTEGER) AS DATE) AS ds, {names} FROM line CROSS JOIN h")
+
+
+def _bounded(ahead, *keep):
+    """Whether each day's forecast lies within its band and none of them is negative or missing."""
+    inside = (F.col("lo") >= 0) & (F.col("lo") <= F.col("yhat")) & (F.col("yhat") <= F.col("hi"))
+    return ahead.withColumn("bounded", F.coalesce(inside, F.lit(False))).select("series_key", *keep, "ds", "bounded")
+
+
+def _searched(daily, model, grid):
+    """The model's own search against a grid: its squared error is not above the least of the grid."""
+    least = fleet.paths(daily, model, H, search=grid).select("series_key", F.col("sse").alias("least"))
+    own = fleet.paths(daily, model, H).select("series_key", "sse").join(least, "series_key")
+    flags = own.select("series_key", F.coalesce(F.col("sse") <= F.col("least") * (1 + 1e-9), F.lit(False)).alias("no_worse"))
+    return _bounded(fleet.forecast_fleet(daily, model, H), "model").join(flags, "series_key")
+
+
+@query("forecast_holt_winters", _coming("holt_winters", ["bounded", "no_worse"]))
+def holt_winters(spark, d):
+    """The continuous search is never worse than the grid whose errors ``forecast_holt_winters_grid`` repeats in SQL."""
+    return _searched(_series(spark, d), "holt_winters", FEW_WEIGHTS)
+
+
+@query("forecast_holt_winters_grid", oracle(S + ", " + _grid("ga, gb, gc", FEW_WEIGHTS.grid) + """,
     st AS (SELECT series_key, avg(y) FILTER (i < 7) AS one, avg(y) FILTER (i >= 7 AND i < 14) AS two FROM s GROUP BY 1),
     run AS (
       SELECT series_key, ga, gb, gc, CAST(7 AS BIGINT) AS i, one AS level, (two - one) / 7 AS trend,
@@ -193,8 +228,8 @@ def _grid(names, values):
            greatest(level + trend * (step + 1) + season[(step % 7) + 1], 0) AS yhat, 1.96 * sqrt(sse / m - pow(err / m, 2)) AS reach
           FROM fin CROSS JOIN h)
     SELECT series_key, model, ds, yhat, greatest(yhat - reach, 0) AS lo, yhat + reach AS hi FROM o""", BOUNDS, 2))
-def holt_winters(spark, d):
-    return rounded(fleet.forecast_fleet(_series(spark, d), "holt_winters", H), 2)
+def holt_winters_grid(spark, d):
+    return rounded(fleet.forecast_fleet(_series(spark, d), "holt_winters", H, FEW_WEIGHTS), 2)
 
 
 # The season array is rotated: its first entry belongs to the current day.
@@ -217,17 +252,23 @@ def holt_winters_fixed(spark, d):
     return rounded(fixed.holt_winters_fixed(_series(spark, d), 0.2, 0.1, 0.1, H), sse=-3)
 
 
-@query("forecast_random_forest")
+@query("forecast_random_forest", _coming('random_forest', ["bounded"]))
 def random_forest(spark, d):
-    return rounded(trees.forecast_random_forest(_series(spark, d), H))
+    return _bounded(trees.forecast_random_forest(_series(spark, d), H), "model")
 
 
-@query("forecast_boosted_trees")
+@query("forecast_boosted_trees", _coming('boosted_trees', ["bounded"]))
 def boosted_trees(spark, d):
-    return rounded(trees.forecast_boosted_trees(_series(spark, d), H))
+    return _bounded(trees.forecast_boosted_trees(_series(spark, d), H), "model")
 
 
-@query("forecast_arima", oracle(S + ", " + _grid("p, q", fleet.ARMA) + """,
+@query("forecast_arima", _coming("arima", ["bounded", "no_worse"]))
+def arima(spark, d):
+    """The continuous search is never worse than the grid whose errors ``forecast_arima_grid`` repeats in SQL."""
+    return _searched(_series(spark, d), "arima", ARMA_GRID)
+
+
+@query("forecast_arima_grid", oracle(S + ", " + _grid("p, q", ARMA_GRID.grid) + """,
     run AS (
       SELECT series_key, p, q, CAST(1 AS BIGINT) AS i, y, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS sse
       FROM s CROSS JOIN g WHERE s.i = 0
@@ -242,13 +283,13 @@ def boosted_trees(spark, d):
     o AS (SELECT series_key, 'arima' AS model, CAST(last_ds + CAST(step + 1 AS INTEGER) AS DATE) AS ds,
            greatest(y + (p * w + q * e) * (1 - pow(p, step + 1)) / (1 - p), 0) AS yhat, 1.96 * std AS reach FROM fin CROSS JOIN h)
     SELECT series_key, model, ds, yhat, greatest(yhat - reach, 0) AS lo, yhat + reach AS hi FROM o""", BOUNDS, 2))
-def arima(spark, d):
-    return rounded(fleet.forecast_fleet(_series(spark, d), "arima", H), 2)
+def arima_grid(spark, d):
+    return rounded(fleet.forecast_fleet(_series(spark, d), "arima", H, ARMA_GRID), 2)
 
 
-@query("forecast_arima_510")
+@query("forecast_arima_510", _coming('arima_510', ["bounded"]))
 def arima_510(spark, d):
-    return rounded(fleet.forecast_fleet(_series(spark, d), "arima_510", H))
+    return _bounded(fleet.forecast_fleet(_series(spark, d), "arima_510", H), "model")
 
 
 @query("forecast_arima_fixed", oracle(S + """,
@@ -265,12 +306,12 @@ def arima_fixed(spark, d):
     return rounded(fixed.arima_fixed(_series(spark, d), 0.3, -0.8, H), sse=-3)
 
 
-@query("forecast_sarima")
+@query("forecast_sarima", _coming('sarima', ["bounded"]))
 def sarima(spark, d):
-    return rounded(fleet.forecast_fleet(_series(spark, d), "sarima", H))
+    return _bounded(fleet.forecast_fleet(_series(spark, d), "sarima", H), "model")
 
 
-@query("forecast_decomposable")
+@query("forecast_decomposable", _coming('decomposable', ["bounded"]))
 def decomposable(spark, d):
     """With the share of promoted and holiday sales per day as drivers."""
     sales = fx.sales(spark, d)
@@ -279,7 +320,7 @@ def decomposable(spark, d):
         F.avg((F.col("holiday") == "Yes").cast("double")).alias("holiday"),
     )
     daily = _series(spark, d).join(flags, ["series_key", "ds"], "left").na.fill(0.0, ["promo", "holiday"])
-    return rounded(fleet.forecast_fleet(daily, "decomposable", H))
+    return _bounded(fleet.forecast_fleet(daily, "decomposable", H), "model")
 
 
 @query("backtest", oracle(S + "SELECT * FROM score", "mae rmse"))
@@ -287,14 +328,35 @@ def backtest(spark, d):
     return rounded(selection.backtest(_series(spark, d), SIMPLE))
 
 
-@query("backtest_fleet")
+def _tested(models):
+    """SQL of a back-test's properties: a sound score of every model for every series."""
+    names = ", ".join(f"('{m}')" for m in models)
+    return oracle(S + f"SELECT series_key, model, true AS sound FROM line CROSS JOIN (VALUES {names}) m(model)")
+
+
+def _sound(daily, scores):
+    """Finite scores, MAE not above RMSE, and RMSE within ten times that of the training part's mean."""
+    place = daily.select("series_key", "y", F.percent_rank().over(Window.partitionBy("series_key").orderBy("ds")).alias("p"))
+    level = place.groupBy("series_key").agg(F.avg(F.when(F.col("p") < 0.8, F.col("y"))).alias("level"))
+    rest = place.where("p >= 0.8").join(level, "series_key").groupBy("series_key").agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("level"), F.lit(2.0)))).alias("plain"))
+    good = (F.col("mae") >= 0) & (F.col("mae") <= F.col("rmse") * (1 + 1e-9)) & (F.col("rmse") <= 10 * F.col("plain"))
+    return scores.join(rest, "series_key").select("series_key", "model", F.coalesce(good, F.lit(False)).alias("sound"))
+
+
+RECURSIVE = ["holt_winters", "arima", "sarima", "decomposable"]
+TREES = ["random_forest", "boosted_trees"]
+
+
+@query("backtest_fleet", _tested(RECURSIVE))
 def backtest_fleet(spark, d):
-    return rounded(selection.backtest(_series(spark, d), ["holt_winters", "arima", "sarima", "decomposable"]))
+    daily = _series(spark, d)
+    return _sound(daily, selection.backtest(daily, RECURSIVE))
 
 
-@query("backtest_trees")
+@query("backtest_trees", _tested(TREES))
 def backtest_trees(spark, d):
-    return rounded(selection.backtest(_series(spark, d), ["random_forest", "boosted_trees"]))
+    daily = _series(spark, d)
+    return _sound(daily, selection.backtest(daily, TREES))
 
 
 @query("forecast_auto", oracle(S + "SELECT f.* FROM f JOIN best USING (series_key, model)", BOUNDS))
@@ -302,13 +364,18 @@ def auto(spark, d):
     return rounded(selection.forecast_auto(_series(spark, d), H, SIMPLE)[0])
 
 
-@query("forecast_auto_fleet")
+@query("forecast_auto_fleet", _coming("", ["bounded", "least"]))
 def auto_fleet(spark, d):
     """Choice among closed-form, recursive and tree models, with the scores of the chosen one."""
     daily = _series(spark, d)
     models = [*selection.DEFAULT_CANDIDATES, "smart_ma", "holt_winters"]
-    ahead, choice, _ = selection.forecast_auto(daily, H, models)
-    return rounded(ahead.join(choice.select("series_key", "mae", "rmse"), "series_key"))
+    ahead, choice, scores = selection.forecast_auto(daily, H, models)
+    # Every series has one forecast, by the model with the least error among all of them.
+    best = scores.groupBy("series_key").agg(F.min("mae").alias("best"), F.count(F.lit(1)).alias("n"))
+    least = (F.col("mae") == F.col("best")) & (F.col("n") == len(models)) & F.col("chosen").isin(models)
+    kept = choice.select("series_key", "mae", F.col("model").alias("chosen")).join(best, "series_key").select("series_key", "chosen", least.alias("least"))
+    out = _bounded(ahead, "model").join(kept, "series_key")
+    return out.select("series_key", "ds", "bounded", (F.col("least") & (F.col("model") == F.col("chosen"))).alias("least"))
 
 
 @query("forecast_summary", oracle(S + """
@@ -355,25 +422,36 @@ def express(spark, d):
     return rounded(scoring.express_forecast(fx.sales(spark, d), fx.SPEC))
 
 
-@query("forecast_calendar_forest")
+@query("forecast_calendar_forest", oracle("""
+    SELECT product AS series_key, CAST(max(sale_date) + CAST(step AS INTEGER) AS DATE) AS ds, true AS bounded
+    FROM sales CROSS JOIN (SELECT unnest(generate_series(1, 30)) AS step) GROUP BY product, step"""))
 def calendar_forest(spark, d):
     daily = series.prepare_series(fx.sales(spark, d), fx.SPEC, ["product"], fill="zero")
     # Three calendar features and the series are told apart within about a dozen splits; the library default is MLlib's
     # limit of 30, which did not finish here in 110 s on a busy machine.
-    return rounded(trees.forecast_calendar_forest(daily, H, depth=12))
+    ahead = trees.forecast_calendar_forest(daily, H, depth=12)
+    return _bounded(ahead.withColumns({"lo": F.lit(0.0), "hi": F.lit(1e300)}))  # the model has no band
 
 
-@query("driver_regression")
+@query("driver_regression", oracle("""
+    SELECT u.measure, u.value FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM sales
+      WHERE amount IS NOT NULL AND unit_price IS NOT NULL AND promo IS NOT NULL AND stock IS NOT NULL AND marketing IS NOT NULL AND holiday IS NOT NULL),
+      LATERAL (VALUES ('rows', n), ('importances', 1.0), ('drivers', 5.0), ('parts', 2.0), ('training part better than the mean', 1.0),
+        ('test share near a fifth', 1.0)) u(measure, value)""", "value"))
 def drivers(spark, d):
     _, importances, scores = trees.driver_regression(
         fx.sales(spark, d), "amount", "unit_price", "promo", "stock", "marketing", "holiday", fx.SPEC.order,
         depth=8)  # the library default is MLlib's limit; trees that deep did not finish in 170 s at sf0.01
-    part = F.when(F.col("test"), "test").otherwise("train")
-    measures = [F.struct(F.concat(part, F.lit(f"_{m}")).alias("measure"), F.col(m).cast("double").alias("value"))
-                for m in ("n", "mae", "rmse", "r2")]
-    out = scores.select(F.inline(F.array(*measures)))
-    return rounded(out.unionByName(importances.select(
-        F.concat(F.lit("importance_"), "driver").alias("measure"), F.col("importance").alias("value"))))
+    share = F.sum(F.when(F.col("test"), F.col("n"))) / F.sum("n")
+    told = scores.agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("parts"), F.count_if(~F.col("test") & (F.col("r2") > 0) & (F.col("mae") <= F.col("rmse"))).alias("good"),
+        share.between(0.15, 0.25).alias("share"),
+    )
+    measures = {"rows": "rows", "parts": "parts", "training part better than the mean": "good", "test share near a fifth": "share"}
+    one = told.select(F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(c).cast("double").alias("value")) for m, c in measures.items()])))
+    weights = importances.agg(F.sum("importance").alias("importances"), F.count(F.lit(1)).cast("double").alias("drivers"))
+    return rounded(one.unionByName(weights.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("importances", "drivers")])))))
 
 
 @query("history_and_forecast", oracle(S + """

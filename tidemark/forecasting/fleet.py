@@ -1,9 +1,9 @@
 """Recursive models of every series in one job, as Spark SQL folds over each series' ordered values.
 
-The candidate parameters of a model are a fixed grid. A small vectorised helper gives the squared error of all
-candidates at once; Spark keeps the best, folds the values with it into the last state and continues from there. The
-least-squares models add up their normal equations in Spark; only the small linear system of a series is solved
-in Python.
+A small vectorised helper gives the squared error of many candidate parameters for many series at once. It starts
+from a grid and descends from the best candidate in ever smaller steps; Spark folds the values with the parameters found
+into the last state and continues from there. The least-squares models add up their normal equations in Spark;
+only the small linear system of a series is solved in Python.
 
 A model's forecast of a series is an array, the *path*: a forecast turns it into days, a back-test compares it
 with the days that were left out.
@@ -11,7 +11,9 @@ with the days that were left out.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import deque
+from dataclasses import dataclass
+from functools import partial, reduce
 from itertools import product
 
 import numpy as np
@@ -22,17 +24,17 @@ from pyspark.sql import functions as F
 from tidemark.forecasting.series import BAND, MIN_POINTS, check_horizon
 
 SEASON = 7
-# A calendar of days stays far below this; only a positional series over raw rows exceeds it. Such series get no
-# recursive forecast and are listed by ``too_long``; all others go on.
-MAX_POINTS = 20_000
-# Candidate parameters.
-SMOOTHING = list(product((0.02, 0.1, 0.25, 0.5, 0.8), (0.0, 0.01, 0.05, 0.2), (0.02, 0.1, 0.25, 0.5)))
+# A calendar of days stays far below this; only a positional series over raw rows exceeds it, and a recursion visits its
+# rows one after the other. Such series get no recursive forecast and are listed by ``too_long``; all others go on.
+MAX_POINTS = 1_000_000
+# Candidates to start from.
+WEIGHTS = (0.01, 0.03, 0.08, 0.15, 0.3, 0.45, 0.6, 0.8, 0.95)
+SMOOTHING = list(product(WEIGHTS, (0.0, *WEIGHTS[:-1]), WEIGHTS))
 ARMA = [(round(0.1 * p, 1), round(0.1 * q, 1)) for p in range(-9, 10) for q in range(-9, 10)]
 # The smallest coefficients first: they win where too few points tell candidates apart.
 SEASONAL = sorted(product((-0.8, -0.4, 0.0, 0.4, 0.8), repeat=4), key=lambda g: sum(map(abs, g)))
-# Around the best candidate of SEASONAL, then around the best of these: steps to all sides, up to REACH.
-FINER = [[tuple(step * v for v in g) for g in product((-1, 0, 1), repeat=4)] for step in (0.2, 0.1)]
-REACH = 0.99
+SIDE_BY_SIDE = 40_000  # candidates times series that are worked out together
+ROUNDS = 200  # steps of a descent at most
 LAGS = 5
 
 
@@ -52,99 +54,162 @@ def ordered_values(series: DataFrame) -> DataFrame:
     )
 
 
-def _deviation(ys: Column) -> Column:
-    mean = F.aggregate(ys, F.lit(0.0), lambda a, v: a + v) / F.size(ys)
-    return F.sqrt(F.aggregate(ys, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(ys))
+def _deviation(ys: str) -> Column:
+    """Population deviation, in one walk along the values."""
+    return F.expr(f"""aggregate({ys}, named_struct('k', 0D, 'mean', 0D, 'm2', 0D), (s, v) -> transform(array(s.mean + (v - s.mean) / (s.k + 1)),
+        new -> named_struct('k', s.k + 1, 'mean', new, 'm2', s.m2 + (v - s.mean) * (v - new)))[0], s -> sqrt(s.m2 / nullif(s.k, 0D)))""")
 
 
 def _values(series: DataFrame, horizon: int, train: float | None) -> DataFrame:
     """``(series_key, last_ds, ys, h, std, actual)``; with ``train`` the values of the first part only."""
     rows = ordered_values(series)
     if train is None:
-        return rows.withColumns({"h": F.lit(horizon), "actual": F.array().cast("array<double>"), "std": _deviation(F.col("ys"))})
+        return rows.withColumns({"h": F.lit(horizon), "actual": F.array().cast("array<double>"), "std": _deviation("ys")})
     n = F.size("ys")
     split = F.floor(n * F.lit(train)).cast("int")
     parts = rows.withColumns({"h": n - split, "actual": F.slice("ys", split + 1, n - split), "ys": F.slice("ys", 1, split)})
-    return parts.where((F.size("ys") > 0) & (F.col("h") > 0)).withColumn("std", _deviation(F.col("ys")))
+    return parts.where((F.size("ys") > 0) & (F.col("h") > 0)).withColumn("std", _deviation("ys"))
+
+
+@dataclass(frozen=True)
+class Search:
+    """Where the candidates of a model start, and how far and fine a descent may go; ``step`` 0 keeps to the grid."""
+
+    grid: list[tuple]
+    step: float = 0.0
+    until: float = 1e-3
+    low: float = -0.99
+    high: float = 0.99
+
+
+def side_by_side(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Series as columns, shorter ones filled up with zeros, and their lengths."""
+    n = np.array([len(y) for y in series])
+    out = np.zeros((n.max(initial=0), len(series)))
+    for column, y in enumerate(series):
+        out[: len(y), column] = y
+    return out, n
+
+
+def _least(errors, tried: np.ndarray) -> np.ndarray:
+    """Which of the candidates (first axis) is best for every series (second axis), the first of equals."""
+    return np.argmin(np.nan_to_num(errors(*np.moveaxis(tried, 2, 0)), nan=np.inf), axis=0)
+
+
+def best_candidates(errors, many: int, search: Search) -> np.ndarray:
+    """Parameters with the least squared error for each of ``many`` series: the best of the grid, then steps to all
+    sides of it for as long as they help, halved when they do not. Never worse than the grid."""
+    grid = np.array(search.grid, float)
+    everyone = np.arange(many)
+    best = grid[_least(errors, np.broadcast_to(grid[:, None], (len(grid), many, grid.shape[1])))]
+    sides = np.array(sorted(product((-1, 0, 1), repeat=grid.shape[1]), key=lambda m: sum(map(abs, m))), float)
+    size = np.full(many, search.step)
+    for _ in range(ROUNDS):
+        if not (size > search.until).any():
+            break
+        tried = np.clip(best + sides[:, None] * size[:, None], search.low, search.high)
+        tried[0] = best
+        pick = _least(errors, tried)
+        best = tried[pick, everyone]
+        size = np.where(pick > 0, size, size / 2)
+    return best
 
 
-def best_candidate(y, grid: list[tuple], errors, finer: list = (), reach: float = 1.0) -> np.ndarray:
-    """The candidate of ``grid`` with the least squared error, the first of equals; then the best of each grid of steps
-    around it, the middle before others that are not better."""
-    tried = np.array(grid, float)
-    best = tried[np.argmin(errors(y, *tried.T))]
-    for steps in finer:
-        tried = np.clip(np.round(np.concatenate([best[None], best + np.array(steps, float)]), 9), -reach, reach)
-        best = tried[np.argmin(errors(y, *tried.T))]
-    return best
+def fitted(series: list[np.ndarray], errors, search: Search) -> np.ndarray:
+    """Parameters of every series; ``errors(y, n, *parameters)`` takes series side by side."""
+    out = np.zeros((len(series), len(search.grid[0])))
+    order = np.argsort([len(y) for y in series], kind="stable")
+    width = max(1, SIDE_BY_SIDE // len(search.grid))
+    for at in range(0, len(order), width):
+        some = order[at : at + width]
+        y, n = side_by_side([series[i] for i in some])
+        out[some] = best_candidates(partial(errors, y, n), len(some), search)
+    return out
 
 
-def _best(
-    rows: DataFrame, names: list[str], grid: list[tuple], errors, fold: str, path: str, std: str = "std", finer: list = (), reach: float = 1.0,
-) -> DataFrame:
-    """``path`` and ``std`` of the candidate ``p`` with the least squared error, from the last state ``s`` that its fold
-    leads to."""
+def _best(rows: DataFrame, names: list[str], search: Search, errors, fold: str, path: str, std: str = "std", by: str = "0") -> DataFrame:
+    """``path``, ``std`` and ``sse`` of the candidate ``p`` with the least squared error, from the last state ``s`` that its
+    fold leads to. ``errors(y, n, *parameters, group)`` sees series of one value of ``by`` at a time."""
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
-    def best(series: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best_candidate(np.asarray(y, float), grid, errors, finer, reach) for y in series], columns=names)
-
-    chosen = rows.withColumn("p", F.explode(F.array(best(F.col("ys")))))
+    def best(series: pd.Series, group: pd.Series) -> pd.DataFrame:
+        found = np.zeros((len(series), len(names)))
+        for value in group.unique():
+            own = np.flatnonzero(group == value)
+            found[own] = fitted([np.asarray(series.iloc[i], float) for i in own], partial(errors, int(value)), search)
+        return pd.DataFrame(found, columns=names)
+
+    chosen = rows.withColumn("p", F.explode(F.array(best(F.col("ys"), F.expr(by)))))
     # The state gets its name inside a lambda: it is folded once, whatever uses it.
-    result = F.expr(f"inline(transform(array({fold}), s -> struct({path} AS path, {std} AS std)))")
+    result = F.expr(f"inline(transform(array({fold}), s -> struct({path} AS path, {std} AS std, s.sse AS sse)))")
     return chosen.select("series_key", "last_ds", "actual", result)
 
 
-def squared_innovations(w, ar: list[tuple], ma: list[tuple]):
-    """For vectors of coefficients given as (lag, values): sum of squared innovations of ``w`` after the longest lag."""
+def squared_innovations(w, n, ar: list[tuple], ma: list[tuple]):
+    """Sum of squared innovations after the longest lag, for coefficients given as (lag, values); ``w`` has the series as
+    columns of ``n`` values each."""
     longest = max(lag for lag, _ in ar + ma)
-    e = np.zeros((len(w), len(ar[0][1])))
+    total, recent = np.zeros(ar[0][1].shape), deque(maxlen=longest)
     for t in range(len(w)):
-        e[t] = w[t] - sum(c * w[t - k] for k, c in ar if t >= k) - sum(c * e[t - k] for k, c in ma if t >= k)
-    return (e[longest:] ** 2).sum(0)
+        e = w[t] - sum(c * w[t - k] for k, c in ar if t >= k) - sum(c * recent[-k] for k, c in ma if t >= k)
+        recent.append(e)
+        if t >= longest:
+            total += np.where(t < n, e * e, 0.0)
+    return total
 
 
 # ---- exponential smoothing: additive trend, additive season --------------------------------------
 
 
-def smoothing_fold(alpha: str, beta: str, gamma: str) -> str:
-    """State after ``ys``. The season array is rotated: its head belongs to the current day."""
-    one = f"aggregate(slice(ys, 1, {SEASON}), 0D, (a, v) -> a + v) / {SEASON}"
-    two = f"aggregate(slice(ys, {SEASON + 1}, {SEASON}), 0D, (a, v) -> a + v) / {SEASON}"
-    start = f"""named_struct('level', {one}, 'trend', ({two} - {one}) / {SEASON},
-        'season', transform(slice(ys, 1, {SEASON}), v -> v - {one}), 'sse', 0D, 'err', 0D)"""
+def smoothing_fold(alpha: str, beta: str, gamma: str, m: str = str(SEASON)) -> str:
+    """State after ``ys`` with seasons of ``m`` days. The season array is rotated: its head belongs to the current day.
+
+    A season of one day is none: its value stays zero.
+    """
+    one = f"aggregate(slice(ys, 1, {m}), 0D, (a, v) -> a + v) / {m}"
+    two = f"aggregate(slice(ys, {m} + 1, {m}), 0D, (a, v) -> a + v) / {m}"
+    start = f"""named_struct('level', {one}, 'trend', ({two} - {one}) / {m},
+        'season', transform(slice(ys, 1, {m}), v -> v - {one}), 'sse', 0D, 'err', 0D)"""
     # The new level is needed three times in the next state, so a one-element transform names it.
     step = f"""transform(array(v - s.level - s.trend - s.season[0]), e ->
         transform(array(s.level + s.trend + {alpha} * e), l -> named_struct('level', l,
           'trend', s.trend + {beta} * (l - s.level - s.trend),
-          'season', concat(slice(s.season, 2, {SEASON - 1}), array(s.season[0] + {gamma} * (v - l - s.season[0]))),
+          'season', concat(slice(s.season, 2, {m} - 1), array(s.season[0] + if({m} = 1, 0D, {gamma}) * (v - l - s.season[0]))),
           'sse', s.sse + e * e, 'err', s.err + e))[0])[0]"""
-    return f"aggregate(slice(ys, {SEASON + 1}, size(ys)), {start}, (s, v) -> {step})"
+    return f"aggregate(slice(ys, {m} + 1, size(ys)), {start}, (s, v) -> {step})"
 
 
-SMOOTHING_PATH = f"transform(sequence(0, h - 1), k -> s.level + s.trend * (k + 1) + s.season[k % {SEASON}])"
+SMOOTHING_PATH = "transform(sequence(0, h - 1), k -> s.level + s.trend * (k + 1) + s.season[k % size(s.season)])"
+SMOOTHING_SEARCH = Search(SMOOTHING, step=0.1, low=0.0, high=0.9999)
+ARMA_SEARCH = Search(ARMA, step=0.05)
+SEASONAL_SEARCH = Search(SEASONAL, step=0.2, until=0.03)
 
 
-def smoothing_errors(y, alpha, beta, gamma):
-    """Squared error of vectors of weights; as :func:`smoothing_fold`."""
-    one, two = y[:SEASON].mean(), y[SEASON : 2 * SEASON].mean()
-    level, trend = np.full(len(alpha), one), np.full(len(alpha), (two - one) / SEASON)
-    season, sse = np.tile((y[:SEASON] - one)[:, None], len(alpha)), np.zeros(len(alpha))
-    for t in range(SEASON, len(y)):
-        now = season[t % SEASON]
+def smoothing_errors(season: int, y, n, alpha, beta, gamma):
+    """Squared error of arrays of weights for series side by side; as :func:`smoothing_fold`."""
+    one, two = y[:season].mean(0), y[season : 2 * season].mean(0)
+    level, trend = np.broadcast_to(one, alpha.shape), np.broadcast_to((two - one) / season, alpha.shape)
+    seasons, sse = [np.broadcast_to(v - one, alpha.shape) for v in y[:season]], np.zeros(alpha.shape)
+    for t in range(season, len(y)):
+        now = seasons[t % season]
         e = y[t] - level - trend - now
         new = level + trend + alpha * e
         trend = trend + beta * (new - level - trend)
-        season[t % SEASON] = now + gamma * (y[t] - new - now)
-        level, sse = new, sse + e * e
+        if season > 1:
+            seasons[t % season] = now + gamma * (y[t] - new - now)
+        level = new
+        sse += np.where(t < n, e * e, 0.0)
     return sse
 
 
-def _holt_winters(values: DataFrame) -> DataFrame:
-    rows = values.where(F.size("ys") >= 2 * SEASON).withColumn("m", F.size("ys") - SEASON)
-    fold = smoothing_fold("p.alpha", "p.beta", "p.gamma")
+def _holt_winters(values: DataFrame, search: Search = SMOOTHING_SEARCH) -> DataFrame:
+    """Seasons of a week; of half the length for series of less than two weeks, and none for less than four days."""
+    n = F.size("ys")
+    season = F.when(n >= 2 * SEASON, SEASON).when(n >= 4, F.floor(n / 2)).otherwise(1).cast("int")
+    rows = values.where(n >= 2).withColumn("season", season).withColumn("m", n - season)
+    fold = smoothing_fold("p.alpha", "p.beta", "p.gamma", "season")
     spread = "sqrt(greatest(s.sse / m - s.err / m * (s.err / m), 0D))"
-    return _best(rows, ["alpha", "beta", "gamma"], SMOOTHING, smoothing_errors, fold, SMOOTHING_PATH, spread)
+    return _best(rows, ["alpha", "beta", "gamma"], search, smoothing_errors, fold, SMOOTHING_PATH, spread, "season")
 
 
 # ---- ARIMA by conditional sum of squares ---------------------------------------------------------
@@ -163,12 +228,13 @@ def arma_path(phi: str, theta: str) -> str:
     return f"transform(sequence(1, h), k -> s.y + ({phi} * s.w + {theta} * s.e) * (1 - pow({phi}, k)) / (1 - {phi}))"
 
 
-def _arima(values: DataFrame) -> DataFrame:
-    def errors(y, phi, theta):
-        return squared_innovations(np.diff(y), [(1, phi)], [(1, theta)])
+def arma_errors(_, y, n, phi, theta):
+    return squared_innovations(np.diff(y, axis=0), n - 1, [(1, phi)], [(1, theta)])
+
 
+def _arima(values: DataFrame, search: Search = ARMA_SEARCH) -> DataFrame:
     rows = values.where(F.size("ys") >= 3)
-    return _best(rows, ["phi", "theta"], ARMA, errors, arma_fold("p.phi", "p.theta"), arma_path("p.phi", "p.theta"))
+    return _best(rows, ["phi", "theta"], search, arma_errors, arma_fold("p.phi", "p.theta"), arma_path("p.phi", "p.theta"))
 
 
 def _arima_510(values: DataFrame) -> DataFrame:
@@ -191,12 +257,12 @@ def _arima_510(values: DataFrame) -> DataFrame:
             out.append(np.linalg.lstsq(full[1:, 1:], full[0, 1:], rcond=None)[0])
         return pd.Series(out)
 
-    fitted = rows.withColumn("phi", solve(F.array(*[F.expr(x) for x in sums])))
+    solved = rows.withColumn("phi", solve(F.array(*[F.expr(x) for x in sums])))
     ahead = " + ".join(f"phi[{k}] * s.last[{LAGS - 1 - k}]" for k in range(LAGS))
     path = f"""aggregate(sequence(1, h), named_struct('y', ys[size(ys) - 1], 'last', slice(w, -{LAGS}, {LAGS}), 'out', cast(array() AS array<double>)),
         (s, k) -> transform(array({ahead}), d -> named_struct('y', s.y + d, 'last', concat(slice(s.last, 2, {LAGS - 1}), array(d)),
           'out', concat(s.out, array(s.y + d))))[0], s -> s.out)"""
-    return fitted.select("series_key", "last_ds", "actual", "std", F.expr(path).alias("path"))
+    return solved.select("series_key", "last_ds", "actual", "std", F.expr(path).alias("path"))
 
 
 # Order (1,1,1)(1,1,1,7): the last eight differences and innovations, the newest last.
@@ -204,7 +270,14 @@ _AR = "p.phi * s.w[7] + p.sphi * s.w[1] - p.phi * p.sphi * s.w[0]"
 _MA = "p.theta * s.e[7] + p.stheta * s.e[1] + p.theta * p.stheta * s.e[0]"
 
 
-def _sarima(values: DataFrame) -> DataFrame:
+def seasonal_errors(_, y, n, phi, theta, sphi, stheta):
+    d = np.diff(y, axis=0)
+    ar = [(1, phi), (SEASON, sphi), (SEASON + 1, -phi * sphi)]
+    ma = [(1, theta), (SEASON, stheta), (SEASON + 1, theta * stheta)]
+    return squared_innovations(d[SEASON:] - d[:-SEASON], n - SEASON - 1, ar, ma)
+
+
+def _sarima(values: DataFrame, search: Search = SEASONAL_SEARCH) -> DataFrame:
     """Order (1,1,1)(1,1,1,7); without a season where no two seasonal differences are left."""
     short = (F.size("ys") < 2 * SEASON + 2) & (F.size("ys") + F.size("actual") >= MIN_POINTS)
     rows = values.where(F.size("ys") >= 2 * SEASON + 2).withColumn(
@@ -215,12 +288,6 @@ def _sarima(values: DataFrame) -> DataFrame:
         transform(array(v - ({_AR}) - ({_MA})), e -> named_struct('w', concat(slice(s.w, 2, {SEASON}), array(v)),
           'e', concat(slice(s.e, 2, {SEASON}), array(e)), 'n', s.n + 1, 'sse', s.sse + if(s.n <= {SEASON}, 0D, e * e)))[0])"""
 
-    def errors(y, phi, theta, sphi, stheta):
-        d = np.diff(y)
-        ar = [(1, phi), (SEASON, sphi), (SEASON + 1, -phi * sphi)]
-        ma = [(1, theta), (SEASON, stheta), (SEASON + 1, theta * stheta)]
-        return squared_innovations(d[SEASON:] - d[:-SEASON], ar, ma)
-
     # Undo both differences: today's step is the forecast plus the step of a week ago.
     path = f"""aggregate(sequence(1, h), named_struct('w', s.w, 'e', s.e, 'y', ys[size(ys) - 1],
           'd', transform(sequence(size(ys) - {SEASON}, size(ys) - 1), t -> ys[t] - ys[t - 1]), 'out', cast(array() AS array<double>)),
@@ -228,7 +295,7 @@ def _sarima(values: DataFrame) -> DataFrame:
           'e', concat(slice(s.e, 2, {SEASON}), array(0D)), 'y', s.y + s.d[0] + v, 'd', concat(slice(s.d, 2, {SEASON - 1}), array(s.d[0] + v)),
           'out', concat(s.out, array(s.y + s.d[0] + v))))[0], s -> s.out)"""
     names = ["phi", "theta", "sphi", "stheta"]
-    return _best(rows, names, SEASONAL, errors, fold, path, finer=FINER, reach=REACH).unionByName(_arima(values.where(short)))
+    return _best(rows, names, search, seasonal_errors, fold, path).unionByName(_arima(values.where(short)))
 
 
 FOLDS = {"holt_winters": _holt_winters, "arima": _arima, "arima_510": _arima_510, "sarima": _sarima}
@@ -310,20 +377,21 @@ def _decomposable(series: DataFrame, horizon: int, train: float | None) -> DataF
 FITS = [*FOLDS, "decomposable"]
 
 
-def paths(series: DataFrame, model: str, horizon: int, train: float | None = None) -> DataFrame:
-    """``(series_key, last_ds, std, path)`` and with ``train`` the left-out values ``actual``.
+def paths(series: DataFrame, model: str, horizon: int, train: float | None = None, search: Search | None = None) -> DataFrame:
+    """``(series_key, last_ds, std, path)``, with ``train`` the left-out values ``actual``, and for models with a search
+    the squared error ``sse``.
 
     Series that are too short or too long for a model are not in the result.
     """
     if model == "decomposable":
         return _decomposable(series, horizon, train)
-    return FOLDS[model](_values(series, horizon, train))
+    return FOLDS[model](_values(series, horizon, train), *([search] if search else []))
 
 
-def forecast_fleet(series: DataFrame, model: str, horizon: int = 30) -> DataFrame:
-    """Fit ``model`` to every series and forecast ``horizon`` days."""
+def forecast_fleet(series: DataFrame, model: str, horizon: int = 30, search: Search | None = None) -> DataFrame:
+    """Fit ``model`` to every series and forecast ``horizon`` days; ``search`` replaces the model's own search."""
     check_horizon(horizon)
-    found = paths(series, model, horizon)
+    found = paths(series, model, horizon, search=search)
     days = found.select("series_key", "last_ds", "std", F.posexplode("path").alias("_k", "_v"))
     yhat, reach = F.greatest("_v", F.lit(0.0)), BAND * F.col("std")
     return days.select(
