@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import widened
 
 SPACE = "▁"
-CACHED_WORDS = 150_000
+CACHED_WORDS = 300_000
 CACHED_PAIRS = 250_000
 LONGEST_CACHED = 64
 
@@ -302,7 +303,7 @@ def _pack(ids: list[int]) -> bytes:
 
 
 class _Words(dict):
-    """Ids of words with a prefix; keeps short words, and starts anew when full."""
+    """Ids of words with a prefix; keeps short words, and drops the older half when full."""
 
     def __init__(self, encoder: MergeEncoder, prefix: str):
         super().__init__()
@@ -318,7 +319,8 @@ class _Words(dict):
             ids = self.encoder.word_ids(first)
         if len(word) <= LONGEST_CACHED:
             if len(self) >= CACHED_WORDS:
-                self.clear()
+                for old in list(islice(self, CACHED_WORDS // 2)):
+                    del self[old]
             self[word] = ids
         return ids
 
@@ -348,21 +350,17 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
     fields = widened(inner.drop("_text"), **{ids: "array<int>", decoded: "string"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The worker process lives on, and its later tasks find the words of this one.
         encoder = encoder_for(shared.value)
-        try:
-            for batch in batches:
-                for start in range(0, batch.num_rows, 500):
-                    rest = batch.slice(start, 500)
-                    found = [encoder.encode(t) for t in rest.column(len(kept)).to_pylist()]
-                    sizes = np.cumsum([0, *map(len, found)])
-                    values = pa.array(np.concatenate(found), pa.int32())
-                    lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
-                    back = pa.array([encoder.decode(x) for x in found], pa.string())
-                    columns = [rest.column(i) for i in range(len(kept))]
-                    yield pa.RecordBatch.from_arrays([*columns, lists, back], names=[*kept, ids, decoded])
-        finally:
-            # The worker process lives on; its later tasks may need the memory.
-            encoder.opening.clear()
-            encoder.inner.clear()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                rest = batch.slice(start, 500)
+                found = [encoder.encode(t) for t in rest.column(len(kept)).to_pylist()]
+                sizes = np.cumsum([0, *map(len, found)])
+                values = pa.array(np.concatenate(found), pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
+                back = pa.array([encoder.decode(x) for x in found], pa.string())
+                columns = [rest.column(i) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*columns, lists, back], names=[*kept, ids, decoded])
 
     return inner.mapInArrow(run, fields)
