@@ -261,6 +261,12 @@ def test_mix(spark):
     assert [r["position"] for r in order] == sorted(r["position"] for r in order)
     assert all(0 <= r["position"] <= 1 for r in order) and sum(r["words"] for r in order) == sum(r["taken"] for r in got)
     assert mixing.plan_mix(sized.limit(0), ["doc_id"]).count() == 0
+    places = {r.doc_id: (r.position, r.place) for r in mixing.first_places(mixing.plan_mix(sized, ["doc_id"]), "doc_id").collect()}
+    copies = sorted((c.position, c.copy, r.doc_id is None, r.doc_id or 0, c.words) for r in got for c in r.copies)
+    for doc in {c[3] if not c[2] else None for c in copies}:
+        first = next(k for k, c in enumerate(copies) if (None if c[2] else c[3]) == doc)
+        assert places.pop(doc) == (copies[first][0], first)
+    assert not places
 
 
 def test_schedule_is_inverted(spark):

@@ -131,3 +131,19 @@ def training_order(plan: DataFrame) -> DataFrame:
     """One row per copy with ``copy``, ``words`` and ``position``, range-sorted by position."""
     rest = [c for c in plan.columns if c not in ("copies", "copy", "words", "position")]
     return plan.select(*rest, F.inline("copies")).orderBy("position")
+
+
+def first_places(plan: DataFrame, key: str) -> DataFrame:
+    """``(key, position, place)`` for every key the mix takes: when its first copy is trained on, and how many copies come
+    before it in the training order.
+
+    Copies with the same position stand in the order of the pass, the key and the words. Places come from range
+    buckets over the positions, so no task sees the whole order. Rows that share a key have the place of their
+    earliest copy; a missing key is a key.
+    """
+    order = row_index(
+        plan.select(F.col(f"`{key}`").alias("_key"), F.inline("copies")).withColumn("_none", F.col("_key").isNull()),
+        [], ["position", "copy", "_none", "_key", "words"], "place",
+    )
+    first = order.groupBy("_key").agg(F.min("position").alias("position"), F.min("place").alias("place"))
+    return first.withColumnRenamed("_key", key)

@@ -189,6 +189,7 @@ WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 sources AS (
   SELECT source, sum(size)::DOUBLE AS s, 2.0::DOUBLE * sum(size)::DOUBLE AS cap,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place,
          [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
   FROM sized GROUP BY source),
 ordered AS (
@@ -201,17 +202,36 @@ level AS (
 placed AS (
   SELECT d.doc_id, d.size, o.s, least(o.cap, (SELECT l FROM level) * o.weight) AS target,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.size
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS x
-  FROM sized d JOIN ordered o ON d.source IS NOT DISTINCT FROM o.source)
-SELECT doc_id, size, s::BIGINT AS source_size, target,
-       (greatest(least(round(target) - x, size), 0) + greatest(least(round(target) - s - x, size), 0))::BIGINT AS taken
-FROM placed
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS x, o.place
+  FROM sized d JOIN ordered o ON d.source IS NOT DISTINCT FROM o.source),
+copies AS (
+  SELECT doc_id, copy, place % 3 AS schedule, ((x + s * copy) / target)::DOUBLE AS u,
+         greatest(least(round(target) - s * copy - x, size), 0) AS words
+  FROM placed, (VALUES (0), (1)) AS passes(copy) WHERE greatest(least(round(target) - s * copy - x, size), 0) > 0),
+timed AS (
+  SELECT doc_id, copy, words,
+         CASE WHEN u > 1 THEN 1
+              WHEN schedule = 0 THEN least(2 * u / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * u)), 1)
+              WHEN schedule = 1 THEN u
+              WHEN u <= 0.625::DOUBLE THEN least(2 * u / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE - 2 * u, 0))), 0.5::DOUBLE)
+              ELSE least(0.5::DOUBLE + 2 * (u - 0.625::DOUBLE) / (1 + sqrt(greatest(1 - 2 * (u - 0.625::DOUBLE), 0))), 1)
+         END::DOUBLE AS position
+  FROM copies),
+ranked AS (SELECT *, row_number() OVER (ORDER BY position, copy, doc_id NULLS LAST, words) - 1 AS place FROM timed),
+firsts AS (SELECT doc_id, min(position) AS position, min(place) AS place FROM ranked GROUP BY doc_id)
+SELECT p.doc_id, size, s::BIGINT AS source_size, target,
+       (greatest(least(round(target) - x, size), 0) + greatest(least(round(target) - s - x, size), 0))::BIGINT AS taken,
+       round(f.position, 6) AS position, f.place
+FROM placed p LEFT JOIN firsts f ON p.doc_id IS NOT DISTINCT FROM f.doc_id
 """,
 )
 def source_mixing_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sized = stored(docs.select("doc_id", "source", mixing.word_count().alias("size")), "sizes")
-    return mixing.plan_mix(sized, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    plan = stored(mixing.plan_mix(sized, ["doc_id"]), "mix")
+    first = mixing.first_places(plan, "doc_id").withColumnRenamed("doc_id", "_id")
+    placed = plan.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return placed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"), "place")
 
 
 @query("op9_sentencepiece")
