@@ -157,6 +157,25 @@ def test_lag_regression_and_decomposable_continue_a_clear_pattern(spark):
     assert ahead_of(spark, 10 + 2.0 * t, "arima_510", 5) == pytest.approx(10 + 2.0 * np.arange(200, 205))
 
 
+def test_a_bend_is_one_change_point(spark):
+    t = np.arange(251)
+    noise = np.random.default_rng(3).normal(0, 1, len(t))
+    on, between = 80, 100  # places are every eight days
+    series = frame(
+        spark, a=200 + 1.0 * t + 2.0 * np.maximum(t - on, 0) + noise, b=200 + 3.0 * t - 2.5 * np.maximum(t - between, 0) + noise,
+        straight=100 + 2.0 * t + noise, short=np.ones(13),
+    )
+    found = fleet.change_points(series).toPandas()
+    found["day"] = (pd.to_datetime(found["ds"]) - pd.Timestamp(series.agg({"ds": "min"}).first()[0])).dt.days
+    strong = found[found["change"].abs() > 0.1]
+    a, b = strong[strong["series_key"] == "a"], strong[strong["series_key"] == "b"]
+    assert a["day"].tolist() == [on] and a["change"].iloc[0] == pytest.approx(2.0, abs=0.1)
+    # No place is nearer than four days, where two places alone would be off by five times the noise.
+    assert set(b["day"]) <= {88, 96, 104, 112} and b["change"].sum() == pytest.approx(-2.5, abs=0.15)
+    assert set(strong["series_key"]) == {"a", "b"}
+    assert (found.groupby("series_key").size() <= 6).all()
+
+
 def test_lag_regression_equals_least_squares(spark):
     rng = np.random.default_rng(7)
     y = 200 + np.cumsum(rng.normal(0, 3, 120))

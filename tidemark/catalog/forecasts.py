@@ -323,6 +323,19 @@ def decomposable(spark, d):
     return _bounded(fleet.forecast_fleet(daily, "decomposable", H), "model")
 
 
+@query("trend_change_points", oracle(S + "SELECT series_key, true AS few, true AS within FROM line"))
+def trend_change_points(spark, d):
+    """Change points of each product's trend: few, and in the first part of its days."""
+    daily = _series(spark, d)
+    days = daily.groupBy("series_key").agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
+    found = daily.select("series_key").distinct().join(fleet.change_points(daily), "series_key", "left").join(days, "series_key")
+    place = F.datediff("ds", "first") <= F.datediff("last", "first") * fleet.CHANGE_RANGE + 1
+    return found.groupBy("series_key").agg(
+        (F.count("ds") <= fleet.CHANGE_POINTS).alias("few"),
+        F.coalesce(F.min(place & (F.col("ds") > F.col("first"))), F.lit(True)).alias("within"),
+    )
+
+
 @query("backtest", oracle(S + "SELECT * FROM score", "mae rmse"))
 def backtest(spark, d):
     return rounded(selection.backtest(_series(spark, d), SIMPLE))

@@ -305,12 +305,16 @@ FOLDS = {"holt_winters": _holt_winters, "arima": _arima, "arima_510": _arima_510
 CHANGE_POINTS = 25
 CHANGE_RANGE = 0.8
 WEEKLY_ORDER, YEARLY_ORDER = 3, 10
-CHANGE_PENALTY, SEASON_PENALTY = 20.0, 0.1
+SEASON_PENALTY = 0.1
+CHANGE_SCALE = 0.05  # scale of the Laplace prior of a change of slope; the series and its time are scaled to 1
+NO_CHANGE = 1e-3  # smaller changes are none
+START, ROUNDS, NOISE = 20.0, 100, 1e-8
+# Number of change points that a series of m days can have.
+_KNOTS = f"least({CHANGE_POINTS}, greatest(1, cast(floor(m * {CHANGE_RANGE}) AS int) - 1))"
 
 
 def _design(drivers: list[str]) -> Column:
     """The row of the design matrix of a day; needs ``idx``, ``m`` (training days), ``ds`` and the drivers."""
-    knots = f"least({CHANGE_POINTS}, greatest(1, cast(floor(m * {CHANGE_RANGE}) AS int) - 1))"
     t = "idx / greatest(1, m - 1)"
     waves = []
     for period, order, on in ((7.0, WEEKLY_ORDER, "true"), (365.25, YEARLY_ORDER, "m >= 730")):
@@ -318,14 +322,38 @@ def _design(drivers: list[str]) -> Column:
             angle = f"2 * pi() * {k} * unix_date(ds) / {period}D"
             waves += [f"if({on}, sin({angle}), 0D)", f"if({on}, cos({angle}), 0D)"]
     return F.expr(f"""concat(array(1D, {t}),
-        transform(sequence(1, {CHANGE_POINTS}), j -> if(j <= {knots}, greatest({t} - {CHANGE_RANGE} * j / {knots}, 0D), 0D)),
+        transform(sequence(1, {CHANGE_POINTS}), j -> if(j <= {_KNOTS}, greatest({t} - {CHANGE_RANGE} * j / {_KNOTS}, 0D), 0D)),
         array({', '.join(waves + [f'cast(`{c}` AS double)' for c in drivers])}))""")
 
 
-def _decomposable(series: DataFrame, horizon: int, train: float | None) -> DataFrame:
-    """Ridge fit by grouped sums. Columns beside the key, day and value are drivers; for coming days, on a back-test
-    too, they repeat those of the week before."""
-    drivers = [c for c in series.columns if c not in ("series_key", "ds", "y")]
+def sparse_fit(xx: np.ndarray, xy: np.ndarray, yy: float, m: int, changes: slice) -> np.ndarray:
+    """Coefficients from the moments of ``m`` days, with few changes of slope.
+
+    Minimises the squared errors over their variance plus the absolute changes over their scale, by least squares whose
+    penalties are set anew from the last changes. As one bend then still is spread over neighbouring places, the sum of
+    log(change^2 + NO_CHANGE^2) takes the place of the absolute changes from there on. The changes that remain are fitted
+    once more without the others.
+    """
+    penalty = np.full(len(xy), SEASON_PENALTY)
+    penalty[:2], penalty[changes] = 1e-9, START
+    beta = np.linalg.solve(xx + np.diag(penalty), xy)
+    for weight in (lambda d: 1 / (CHANGE_SCALE * (np.abs(d) + 1e-6)), lambda d: 1 / (d * d + NO_CHANGE**2)):
+        for _ in range(ROUNDS):
+            noise = max((yy - 2 * beta @ xy + beta @ xx @ beta) / m, NOISE)
+            penalty[changes] = noise * weight(beta[changes])
+            last, beta = beta, np.linalg.solve(xx + np.diag(penalty), xy)
+            if np.abs(beta - last).max() < 1e-7:
+                break
+    kept = np.ones(len(xy), bool)
+    kept[changes] = np.abs(beta[changes]) >= NO_CHANGE
+    beta = np.zeros(len(xy))
+    beta[kept] = np.linalg.solve(xx[np.ix_(kept, kept)] + np.diag(penalty[kept]), xy[kept])
+    return beta
+
+
+def _decomposed(series: DataFrame, train: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The days of every series with ``idx`` and ``m``, and its fit ``f(beta, sse, err)`` with ``first, last_ds, n, m, scale``."""
+    drivers = _drivers(series)
     span = series.groupBy("series_key").agg(F.min("ds").alias("first"), F.max("ds").alias("last_ds"), F.count(F.lit(1)).alias("n"))
     m = F.col("n") if train is None else F.floor(F.col("n") * F.lit(train))
     span = span.withColumn("m", m.cast("int")).where("m >= 14")
@@ -341,20 +369,49 @@ def _decomposable(series: DataFrame, horizon: int, train: float | None) -> DataF
     system = sums.groupBy("series_key").agg(F.array_sort(F.collect_list(F.struct("i", "j", "v"))).alias("system"))
 
     @F.pandas_udf("struct<beta:array<double>,sse:double,err:double>")
-    def solve(systems: pd.Series) -> pd.DataFrame:
-        penalty = np.full(size - 1, SEASON_PENALTY)
-        penalty[:2], penalty[2 : 2 + CHANGE_POINTS] = 1e-9, CHANGE_PENALTY
+    def solve(systems: pd.Series, days: pd.Series) -> pd.DataFrame:
         out = []
-        for cells in systems:
+        for cells, m in zip(systems, days):
             full = np.zeros((size, size))
             for c in cells:
                 full[c["i"], c["j"]] = full[c["j"], c["i"]] = c["v"]
             xx, xy = full[:-1, :-1], full[:-1, -1]
-            beta = np.linalg.solve(xx + np.diag(penalty), xy)
+            beta = sparse_fit(xx, xy, full[-1, -1], m, slice(2, 2 + CHANGE_POINTS))
             out.append((beta, full[-1, -1] - 2 * beta @ xy + beta @ xx @ beta, xy[0] - xx[0] @ beta))
         return pd.DataFrame(out, columns=["beta", "sse", "err"])
 
-    fits = system.select("series_key", solve("system").alias("f")).join(span, "series_key").join(scale, "series_key")
+    whole = system.join(span, "series_key").join(scale, "series_key")
+    return rows, whole.withColumn("f", solve("system", "m")).drop("system")
+
+
+def _drivers(series: DataFrame) -> list[str]:
+    return [c for c in series.columns if c not in ("series_key", "ds", "y")]
+
+
+def change_points(series: DataFrame) -> DataFrame:
+    """``(series_key, ds, change)``: the days at which the trend of the decomposable model bends, and by how much a day.
+
+    There are at most CHANGE_POINTS places, evenly over the first CHANGE_RANGE of the days; most have no change and no
+    row. A place between two days is given as the later one. Series below 14 days have no rows.
+    """
+    _, fits = _decomposed(series)
+    places = fits.select(
+        "series_key", "first", "m", "scale", F.expr(_KNOTS).alias("_places"),
+        F.posexplode(F.slice("f.beta", 3, CHANGE_POINTS)).alias("_j", "_d"),
+    )
+    # Rounded, so that a place that is a day but for the last digit is that day.
+    at = F.ceil(F.round(CHANGE_RANGE * (F.col("_j") + 1) / F.col("_places") * (F.col("m") - 1), 6)).cast("int")
+    return places.where("_d != 0").select(
+        "series_key", F.date_add("first", at).alias("ds"), (F.col("_d") * F.col("scale") / (F.col("m") - 1)).alias("change")
+    )
+
+
+def _decomposable(series: DataFrame, horizon: int, train: float | None) -> DataFrame:
+    """Trend with few change points, seasons and drivers, fitted by grouped sums. Columns beside the key, day and value
+    are drivers; for coming days, on a back-test too, they repeat those of the week before."""
+    drivers = _drivers(series)
+    rows, fits = _decomposed(series, train)
+    past = rows.where("idx < m")
     ahead = F.lit(horizon) if train is None else (F.col("n") - F.col("m")).cast("int")
     days = fits.withColumn("_k", F.explode(F.sequence(F.lit(0), ahead - 1))).withColumns({
         "idx": F.col("m") + F.col("_k"), "ds": F.date_add("first", (F.col("m") + F.col("_k")).cast("int")),
