@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -462,3 +463,33 @@ def test_top_k_of_repeated_ids(spark, monkeypatch, tile):
         pairs = sorted((-int(np.dot(x, y)), i) for j, x in whole if j == q for i, y in whole if i != q)[:8]
         want += [(q, n, i, -s) for n, (s, i) in enumerate(pairs, 1)]
     assert got == want
+
+
+def test_unclosed_side_elements_refuse_nothing():
+    """With every block labelled as main text, only blocks of closed side elements are left out."""
+
+    def text(page):
+        blocks = html_main.blocks_of(page)
+        return html_main.main_text(blocks, np.ones(len(blocks)))
+
+    article = "<article><p>First words of it.</p><p>Some more of them.</p></article>"
+    whole = "First words of it.\nSome more of them."
+    for name in ("nav", "aside", "button", "footer", "menu", "dialog"):
+        assert text(f"<body><{name}><a>Home</a></{name}>{article}</body>") == whole
+        assert text(f"<body><div><{name}><a>Home</a></div>{article}</body>") == "Home\n" + whole
+        assert text(f"<body><{name}>{article}</body>") == whole
+        assert text(f"<body><{name}>{article}</{name}></body>") == whole  # it holds the whole page
+        assert text(f"<{name}><p>Home</p><{name}>At</{name}>{article}") == "Home\n" + whole
+    assert text(f"<dialog open><nav>Home</nav>{article}</dialog>") == whole
+    assert text("<nav>") == text("</nav>") == text("") == ""
+
+
+def test_broken_markup_takes_linear_time():
+    def seconds(page):
+        start = time.perf_counter()
+        html_main.blocks_of(page)
+        return time.perf_counter() - start
+
+    for part in ("<svg>", "<svg><canvas>x", "<div>x<p></b></i></foo>", "<nav>x", "</nav></p>x<section>"):
+        seconds(part * 2000)
+        assert seconds(part * 16_000) < 40 * max(seconds(part * 2000), 0.005)

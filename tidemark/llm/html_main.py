@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -43,7 +44,7 @@ INLINE = frozenset(
     " math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle"
     " msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
-# Elements that never hold main text, checked after labelling.
+# Elements whose blocks are refused after labelling, where an end tag closes them and they hold at most half of the page's text.
 NEVER = frozenset("nav aside footer menu dialog button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_CONTENT = frozenset(
@@ -101,6 +102,7 @@ class Block:
     path: np.ndarray  # how often each place of the path vector is filled, 2 at most
     names: frozenset  # open elements
     links: int  # characters inside links
+    refused: bool = False  # inside one of NEVER
 
 
 @dataclass
@@ -113,6 +115,10 @@ class _Reader:
     blocks: list = field(default_factory=list)
     in_link: bool = False
     link_chars: int = 0
+    begins: list = field(default_factory=list)  # of every open element the place of its tag and the number of blocks before it
+    opened: Counter = field(default_factory=Counter)  # open elements by name
+    unclosed: set = field(default_factory=set)  # places of the tags of NEVER that no end tag of theirs closed
+    closed: list = field(default_factory=list)  # ranges of blocks inside closed elements of NEVER
 
     def text(self, raw: str) -> None:
         self.parts.append(raw)
@@ -130,25 +136,60 @@ class _Reader:
             self.parts = []
         self.link_chars = 0
 
-    def push(self, name: str, attributes: str) -> None:
+    def push(self, name: str, attributes: str, at: int) -> None:
         self.open.append(_element(name, attributes if "=" in attributes else ""))
         self.names.append(name)
+        self.begins.append((at, len(self.blocks)))
+        self.opened[name] += 1
+
+    def drop(self, i: int) -> None:
+        """Close the elements from the ``i``-th on; none of them has an end tag of its own."""
+        self.unclosed.update(at for name, (at, _) in zip(self.names[i:], self.begins[i:]) if name in NEVER)
+        self.opened.subtract(self.names[i:])
+        del self.open[i:], self.names[i:], self.begins[i:]
 
     def close(self, names: frozenset, barrier: frozenset = frozenset()) -> None:
         """Close the innermost open element among ``names``, unless one of ``barrier`` stands in between."""
+        if not any(self.opened[name] for name in names):
+            return
         for i in range(len(self.names) - 1, -1, -1):
             if self.names[i] in names:
-                del self.open[i:], self.names[i:]
+                self.drop(i + 1)
+                at, first = self.begins[i]
+                self.drop(i)
+                if at in self.unclosed:  # one of NEVER, closed by its own end tag
+                    self.unclosed.remove(at)
+                    self.closed.append((first, len(self.blocks)))
                 return
             if self.names[i] in barrier:
                 return
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """Text blocks in page order; scripts, styles, comments and other content that is not shown are left out."""
+    """Text blocks in page order; scripts, styles, comments and other content that is not shown are left out.
+
+    An element of NEVER without an end tag would swallow what follows, so its tag counts for nothing. Blocks of closed
+    ones are marked, but for those of an element that holds more than half of the page's text.
+    """
     if not page:
         return []
-    reader, at = _Reader(), 0
+    reader = _read(page, frozenset())
+    if reader.unclosed:
+        reader = _read(page, frozenset(reader.unclosed))
+    ends = np.cumsum([0, *(len(b.text) for b in reader.blocks)])
+    outside = np.zeros(len(ends), np.int64)  # where refused ranges begin and end
+    for first, last in reader.closed:
+        if 2 * (ends[last] - ends[first]) <= ends[-1]:
+            outside[first] += 1
+            outside[last] -= 1
+    for block, depth in zip(reader.blocks, np.cumsum(outside)):
+        block.refused = bool(depth)
+    return reader.blocks
+
+
+def _read(page: str, ignored: frozenset) -> _Reader:
+    """Read a page without the tags at the places ``ignored``. Every tag is looked at once, so the time is linear."""
+    reader, at, endless = _Reader(), 0, set()
     while True:
         m = _TAG.search(page, at)
         if not m:
@@ -172,11 +213,16 @@ def blocks_of(page: str | None) -> list[Block]:
         attributes = m[3] if m[2] else m[6]
         if name in HIDDEN_CONTENT:
             if not ends and not attributes.endswith("/"):
-                end = re.compile(f"</{re.escape(name)}[^>]*>?", re.I).search(page, at)
+                end = None if name in endless else re.compile(f"</{re.escape(name)}[^>]*>?", re.I).search(page, at)
                 if end:
                     at = end.end()
                 elif name in RAW:
                     break
+                else:
+                    endless.add(name)  # nor does one follow any later tag
+            continue
+        if m.start() in ignored:
+            reader.flush()
             continue
         reader.flush()
         reader.in_link = False
@@ -188,9 +234,10 @@ def blocks_of(page: str | None) -> list[Block]:
         if name in CLOSES and name != "p":
             reader.close(CLOSES[name], KEEPS)
         if name not in VOID:
-            reader.push(name, attributes)
+            reader.push(name, attributes, m.start())
     reader.flush()
-    return reader.blocks
+    reader.drop(0)
+    return reader
 
 
 _P, _P_STAYS = frozenset(("p",)), frozenset(("td", "th", "li", "div", "article", "section"))
@@ -452,7 +499,7 @@ def train_labeller(pages: DataFrame, page_id: str = "page_id", page: str = "html
 
 
 def main_text(blocks: list[Block], chances: np.ndarray) -> str:
-    return "\n".join(b.text for b, p in zip(blocks, chances) if p >= 0.5 and NEVER.isdisjoint(b.names))
+    return "\n".join(b.text for b, p in zip(blocks, chances) if p >= 0.5 and not b.refused)
 
 
 def extract_main_text(pages: DataFrame, net: Labeller, page: str = "html", text: str = "text") -> DataFrame:
