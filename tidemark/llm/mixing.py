@@ -18,6 +18,7 @@ from tidemark.plans.ordered import row_index, running_total
 WEIGHTS = (5.0, 2.0, 1.0)
 # Schedules that repeat like the weights: the first sources grow towards the end, the last ones fade.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
+PLACES = 20_000  # copies in a range bucket of the training order
 BUCKET_DIGITS = 3  # hexadecimal digits of the order that make a bucket
 
 
@@ -143,7 +144,7 @@ def first_places(plan: DataFrame, key: str) -> DataFrame:
     """
     order = row_index(
         plan.select(F.col(f"`{key}`").alias("_key"), F.inline("copies")).withColumn("_none", F.col("_key").isNull()),
-        [], ["position", "copy", "_none", "_key", "words"], "place",
+        [], ["position", "copy", "_none", "_key", "words"], "place", rows_per_bucket=PLACES,
     )
     first = order.groupBy("_key").agg(F.min("position").alias("position"), F.min("place").alias("place"))
     return first.withColumnRenamed("_key", key)
