@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import calendar_columns
+from tidemark.functions.dates import calendar_columns, day_of
 from tidemark.functions.numeric import as_double
 from tidemark.operators.aggregates import daily_totals, with_key
 from tidemark.operators.cleaning import coerce_numeric, prepare
@@ -65,16 +65,25 @@ def all_series(
 ) -> DataFrame:
     """Every series, long enough or not."""
     by = list(by)
-    rows = prepare(coerce_numeric(df, spec.target_col) if _is_text(df, spec.target_col) else df, spec)
-    rows = _keyed(rows.where(as_double(spec.target_col).isNotNull()), by)
+    rows = _keyed(_usable(df, spec), by)
     if mode == "positional":
         # Row number instead of date: each row of the series is taken as one day.
         indexed = row_index(rows, ["series_key"], spec.order, "_idx", rows_per_bucket=rows_per_bucket)
         ds = F.date_add(F.lit(POSITIONAL_START).cast("date"), F.col("_idx").cast("int"))
         return indexed.select("series_key", ds.alias("ds"), as_double(spec.target_col).alias("y"))
+    _check_calendar(mode, fill)
+    return _filled_days(rows, spec, by, fill)
+
+
+def _usable(df: DataFrame, spec: SalesSpec) -> DataFrame:
+    """Rows with a date and a value."""
+    rows = prepare(coerce_numeric(df, spec.target_col) if _is_text(df, spec.target_col) else df, spec)
+    return rows.where(as_double(spec.target_col).isNotNull())
+
+
+def _check_calendar(mode: str, fill: str) -> None:
     if mode != "calendar" or fill not in ("ffill", "zero"):
         raise ValueError(f"unknown mode {mode!r} or fill {fill!r}")
-    return _filled_days(rows, spec, by, fill)
 
 
 def _is_text(df: DataFrame, column: str) -> bool:
@@ -93,8 +102,25 @@ def prepare_series(df: DataFrame, spec: SalesSpec, by: list[str] = (), min_point
     return counted.where(F.col("_n") >= min_points).drop("_n")
 
 
-def rejected_series(df: DataFrame, spec: SalesSpec, by: list[str] = (), min_points: int = MIN_POINTS, **kw) -> DataFrame:
-    sizes = all_series(df, spec, by, **kw).groupBy("series_key").agg(F.count(F.lit(1)).alias("n"))
+def rejected_series(
+    df: DataFrame, spec: SalesSpec, by: list[str] = (), min_points: int = MIN_POINTS, mode: str = "calendar", fill: str = "ffill", **kw
+) -> DataFrame:
+    """``(series_key, n, reason)`` of the series with fewer than ``min_points`` points.
+
+    A calendar has all days from the first to the last, so its length needs no day of it; keys are put together
+    once per series.
+    """
+    by = list(by)
+    if mode == "positional":
+        sizes = _keyed(_usable(df, spec), by).groupBy("series_key").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        _check_calendar(mode, fill)
+        parts = [F.col(c).cast("string").alias(f"_by{i}") for i, c in enumerate(by)]
+        days = with_key(_usable(df, spec), *by).select(*parts, day_of(spec.date_col).alias("_day"))
+        names = [f"_by{i}" for i in range(len(by))]
+        spans = days.groupBy(*names).agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"))
+        n = (F.datediff("_last", "_first") + 1).cast("bigint")
+        sizes = _keyed(spans, names).select("series_key", n.alias("n"))
     return sizes.where(F.col("n") < min_points).withColumn("reason", F.lit(f"fewer than {min_points} points"))
 
 
