@@ -6,7 +6,10 @@ cluster, and the series enters as its level, spread and slope over the training
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+import math
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,7 @@ from tidemark.forecasting.simple import FORECAST, RECENT, last_days
 from tidemark.functions.dates import calendar_columns
 from tidemark.functions.numeric import as_double
 from tidemark.operators.cleaning import binary_flag, drop_incomplete
+from tidemark.plans.lookups import lookup_join
 from tidemark.plans.stages import reusable
 from tidemark.spec import PROMO_YES
 
@@ -32,6 +36,8 @@ STATS_MB = 1024
 # Training rows are dealt to this many tasks by a hash of their keys, so that bagging draws the same rows on any
 # cluster; raise it with the number of rows.
 TASKS = 8
+# Random parts of the rows with equal bins, which bagging draws as wholes.
+BLOCKS = 8
 # MLlib's limit: trees grow until a leaf cannot be split.
 FULL_DEPTH = 30
 # The series enters as what is known of it, which works alike for one series and for millions.
@@ -65,9 +71,9 @@ def _describe_series(past: DataFrame) -> DataFrame:
     )
 
 
-def _spread(ready: DataFrame, keys: list[str], tasks: int = TASKS) -> DataFrame:
+def _spread(ready: DataFrame, keys: list[str], tasks: int = TASKS, kept=("y", "features")) -> DataFrame:
     """Training rows kept for the many passes of MLlib, dealt by a hash of ``keys`` and sorted within tasks."""
-    dealt = ready.repartition(tasks, *keys).sortWithinPartitions(*keys).select("y", "features")
+    dealt = ready.repartition(tasks, *keys).sortWithinPartitions(*keys).select(*kept)
     return dealt.persist()
 
 
@@ -159,37 +165,65 @@ def forecast_calendar_forest(series: DataFrame, horizon: int = 30, trees: int =
     return out.select("series_key", F.lit("calendar_forest").alias("model"), "ds", F.col("prediction").alias("yhat"))
 
 
+def _cuts(values: list[float]) -> list[float]:
+    """Borders of at most BINS bins from evenly spaced quantiles: between any two values where these are few, else at
+    the quantiles themselves."""
+    known = sorted(set(values))
+    if len(known) <= BINS:
+        return [(a + b) / 2 for a, b in zip(known, known[1:])]
+    places = {values[round(k * (len(values) - 1) / BINS)] for k in range(1, BINS)}
+    return sorted(places - {known[0]})
+
+
+def _binned(past: DataFrame, drivers: list[str]) -> Bucketizer:
+    """Drivers as numbers of their bins, as MLlib divides them itself before it grows a tree."""
+    shares = [k / BINS**2 for k in range(BINS**2 + 1)]
+    cuts = [_cuts(values or [0.0]) or [0.0] for values in past.approxQuantile(drivers, shares, 1 / BINS**2)]
+    return Bucketizer(
+        splitsArray=[[-math.inf, *c, math.inf] for c in cuts], inputCols=drivers, outputCols=[f"_bin{i}" for i in range(len(drivers))],
+    )
+
+
 def driver_regression(
     df: DataFrame, target: str, price: str, promo: str, stock: str, marketing: str, holiday: str,
     row_key: list[str], trees: int = 100, depth: int = FULL_DEPTH, test: float = 0.2,
 ):
     """Sales explained by price, promotion, stock, marketing budget and holiday.
 
-    Returns ``(model, importances, scores)``. The random split hashes ``row_key`` with the seed, so it does
-    not depend on how the table is partitioned.
+    Returns ``(model, importances, scores)``; the model takes the five drivers as numbers. The random split hashes
+    ``row_key`` with the seed, so it does not depend on how the table is partitioned.
+
+    A tree tells rows apart by the bins of their drivers only, and a split by the sums of weights and targets on its
+    sides. So rows with equal bins train as one row with their mean and number, in up to BLOCKS random parts that the
+    bagging draws: what a tree is grown on is bounded by the bins and not by the rows.
     """
     drivers = [price, promo, stock, marketing, holiday]
     rows = drop_incomplete(df.select(target, *drivers, *[c for c in row_key if c not in drivers]))
     rows = binary_flag(binary_flag(rows, promo, PROMO_YES), holiday, "Yes")
     draw = F.pmod(F.xxhash64(F.lit(SEED), *row_key), F.lit(1_000_000)) / 1_000_000
-    keys = [f"_key{i}" for i in range(len(row_key))]
-    ready = _assemble(drivers).transform(
-        rows.select(
-            as_double(target).alias("y"), *[as_double(c).alias(c) for c in drivers], (draw < test).alias("test"),
-            *[F.col(c).alias(k) for c, k in zip(row_key, keys)],
-        )
-    ).select("y", "features", "test", *keys)
-    past = _spread(ready.where(~F.col("test")), keys)
+    block = F.pmod(F.xxhash64(F.lit(SEED + 1), *row_key), F.lit(BLOCKS)).cast("int")
+    ready = reusable(rows.select(
+        as_double(target).alias("y"), *[as_double(c).alias(c) for c in drivers], (draw < test).alias("test"), block.alias("_block"),
+    ).dropna("any", subset=drivers), "drivers")
+    binned = _binned(ready.where(~F.col("test")), drivers)
+    bins = binned.getOutputCols()
+    assemble = VectorAssembler(inputCols=bins, outputCol="features")
+    placed = binned.transform(ready).drop(*drivers)
+    groups = placed.where(~F.col("test")).groupBy(*bins, "_block").agg(F.avg("y").alias("y"), F.count("y").cast("double").alias("weight"))
+    learnt = _spread(assemble.transform(groups), [*bins, "_block"], kept=("y", "weight", "features"))
     try:
-        model = forest(trees, depth).fit(past)
+        grown = forest(trees, depth, weightCol="weight").fit(learnt)
     finally:
-        past.unpersist()
+        learnt.unpersist()
+    model = PipelineModel([binned, assemble, grown])
     spark = df.sparkSession
     importances = spark.createDataFrame(
-        [(d, float(v)) for d, v in zip(drivers, model.featureImportances.toArray())], "driver string, importance double"
+        [(d, float(v)) for d, v in zip(drivers, grown.featureImportances.toArray())], "driver string, importance double"
     )
     error = F.col("y") - F.col("prediction")
-    scores = model.transform(ready).groupBy("test").agg(
+    # Rows with equal bins have one prediction, so it is worked out once for each of these.
+    told = grown.transform(assemble.transform(placed.select(*bins).distinct())).select(*bins, "prediction")
+    scores = lookup_join(placed.select("y", "test", *bins), told, bins).groupBy("test").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
         (1 - F.try_divide(F.sum(error * error), F.var_pop("y") * F.count(F.lit(1)))).alias("r2"),
     )
