@@ -9,8 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.forecasting import fixed, fleet, selection, trees
+from tidemark.forecasting import fixed, fleet, selection, series, trees
 from tidemark.forecasting.series import build_features, future_features
+from tidemark.spec import SalesSpec
 
 
 def frame(spark, **series):
@@ -354,3 +355,54 @@ def test_registered_choice_is_over_all_models(spark, sf_dir, monkeypatch, row, f
     with pytest.raises(Stop) as stop:
         entry_points.queries()[row](spark, sf_dir)
     assert set(stop.value.args[0]) == models
+
+
+def test_driver_regression_trains_on_a_bounded_number_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 6000
+    pdf = pd.DataFrame({"k": range(n), "price": rng.choice([1.0, 2.0, 5.0], n), "stock": rng.choice([10.0, 20.0], n), "ads": 1.0})
+    pdf["promo"], pdf["holiday"] = np.where(rng.random(n) < 0.5, "Oui", "Non"), "No"
+    pdf["y"] = 10 * pdf["price"] + pdf["stock"] + rng.normal(0, 1, n)
+    sizes, spread = [], trees._spread
+
+    def counted(ready, *args, **kw):
+        sizes.append(ready.count())
+        return spread(ready, *args, **kw)
+
+    monkeypatch.setattr(trees, "_spread", counted)
+    df = spark.createDataFrame(pdf)
+    model, _, scores = trees.driver_regression(df, "y", "price", "promo", "stock", "ads", "holiday", ["k"], trees=20, depth=5)
+    assert sizes[0] <= 3 * 2 * 2 * trees.BLOCKS
+    told = {r["test"]: r for r in scores.collect()}
+    assert told[False]["n"] + told[True]["n"] == n and told[True]["r2"] > 0.95
+    new = spark.createDataFrame([(5.0, 1.0, 20.0, 1.0, 0.0), (1.0, 0.0, 10.0, 1.0, 0.0)], "price double, promo double, stock double, ads double, holiday double")
+    assert [r["prediction"] for r in model.transform(new).collect()] == pytest.approx([70, 20], abs=1)
+
+
+def test_bins_part_few_values_and_spread_many():
+    assert trees._cuts([1.0] * 50 + [2.0, 4.0]) == [1.5, 3.0]
+    assert trees._cuts([3.0] * 9) == []
+    many = trees._cuts([float(v) for v in range(4097)])
+    assert len(many) == trees.BINS - 1 and many[0] == 64
+
+
+def test_rejected_series_unfolds_no_days(spark):
+    rows = [("a|b", "x", "2000-01-01", 1.0), ("a|b", "x", "2000-01-05", 2.0), ("a", "b|x", "2000-01-03", 1.0), ("c", "x", "1990-01-01", 1.0),
+            ("c", "x", "2020-01-01", 1.0), ("d", "x", "2000-01-01", None), (None, "x", "2000-01-01", 1.0)]
+    df = spark.createDataFrame(rows, "p string, q string, d string, y double").withColumn("d", F.to_date("d"))
+    spec = SalesSpec("d", "y", "p")
+    found = series.rejected_series(df, spec, ["p", "q"])
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["series_key"], r["n"]) for r in found.collect()) == [("a\\|b|x", 5), ("a|b\\|x", 1)]
+
+
+@pytest.mark.parametrize("name", ["forecast_holt_winters", "forecast_arima"])
+def test_searched_forecasts_give_the_grid_beside_the_search(spark, sf_dir, name):
+    import __spark_entry__ as entry_points
+
+    out = {(r["series_key"], r["ds"]): r for r in entry_points.queries()[name](spark, sf_dir).collect()}
+    grid = entry_points.queries()[f"{name}_grid"](spark, sf_dir).collect()
+    assert len(out) == len(grid)
+    for r in grid:
+        mine = out[r["series_key"], r["ds"]]
+        assert [mine[c] for c in ("yhat", "lo", "hi")] == [r[c] for c in ("yhat", "lo", "hi")] and mine["bounded"] and mine["no_worse"]

@@ -11,6 +11,7 @@ from tidemark import fixtures as fx
 from tidemark.catalog.registry import oracle, query, rounded
 from tidemark.forecasting import fixed, fleet, scoring, selection, series, simple, trees
 from tidemark.operators.reports import forecast_report
+from tidemark.plans.stages import reusable
 
 H = 30
 SIMPLE = ["naive", "linear", "smart_ma"]
@@ -195,21 +196,23 @@ def _bounded(ahead, *keep):
     return ahead.withColumn("bounded", F.coalesce(inside, F.lit(False))).select("series_key", *keep, "ds", "bounded")
 
 
+def _searching(sql):
+    """SQL of :func:`_searched`: the forecast of the whole grid, and that both flags hold on every day."""
+    return oracle(f"SELECT *, true AS bounded, true AS no_worse FROM ({sql})", BOUNDS, 2)
+
+
 def _searched(daily, model, grid):
-    """The model's own search against a grid: its squared error is not above the least of the grid."""
+    """The forecast of the grid's best candidate, beside the model's own search: whether each day of that one's forecast is
+    bounded, and whether its squared error is not above the least of the grid."""
+    daily = reusable(daily, "series")
     least = fleet.paths(daily, model, H, search=grid).select("series_key", F.col("sse").alias("least"))
     own = fleet.paths(daily, model, H).select("series_key", "sse").join(least, "series_key")
     flags = own.select("series_key", F.coalesce(F.col("sse") <= F.col("least") * (1 + 1e-9), F.lit(False)).alias("no_worse"))
-    return _bounded(fleet.forecast_fleet(daily, model, H), "model").join(flags, "series_key")
-
-
-@query("forecast_holt_winters", _coming("holt_winters", ["bounded", "no_worse"]))
-def holt_winters(spark, d):
-    """The continuous search is never worse than the grid whose errors ``forecast_holt_winters_grid`` repeats in SQL."""
-    return _searched(_series(spark, d), "holt_winters", FEW_WEIGHTS)
+    sound = _bounded(fleet.forecast_fleet(daily, model, H), "model").join(flags, "series_key")
+    return fleet.forecast_fleet(daily, model, H, grid).join(sound, ["series_key", "model", "ds"])
 
 
-@query("forecast_holt_winters_grid", oracle(S + ", " + _grid("ga, gb, gc", FEW_WEIGHTS.grid) + """,
+HOLT_WINTERS = S + ", " + _grid("ga, gb, gc", FEW_WEIGHTS.grid) + """,
     st AS (SELECT series_key, avg(y) FILTER (i < 7) AS one, avg(y) FILTER (i >= 7 AND i < 14) AS two FROM s GROUP BY 1),
     run AS (
       SELECT series_key, ga, gb, gc, CAST(7 AS BIGINT) AS i, one AS level, (two - one) / 7 AS trend,
@@ -227,7 +230,16 @@ def holt_winters(spark, d):
     o AS (SELECT series_key, 'holt_winters' AS model, CAST(last_ds + CAST(step + 1 AS INTEGER) AS DATE) AS ds,
            greatest(level + trend * (step + 1) + season[(step % 7) + 1], 0) AS yhat, 1.96 * sqrt(sse / m - pow(err / m, 2)) AS reach
           FROM fin CROSS JOIN h)
-    SELECT series_key, model, ds, yhat, greatest(yhat - reach, 0) AS lo, yhat + reach AS hi FROM o""", BOUNDS, 2))
+    SELECT series_key, model, ds, yhat, greatest(yhat - reach, 0) AS lo, yhat + reach AS hi FROM o"""
+
+
+@query("forecast_holt_winters", _searching(HOLT_WINTERS))
+def holt_winters(spark, d):
+    """The grid's forecast, which SQL repeats, and whether the continuous search is sound and never worse than it."""
+    return rounded(_searched(_series(spark, d), "holt_winters", FEW_WEIGHTS), 2)
+
+
+@query("forecast_holt_winters_grid", oracle(HOLT_WINTERS, BOUNDS, 2))
 def holt_winters_grid(spark, d):
     return rounded(fleet.forecast_fleet(_series(spark, d), "holt_winters", H, FEW_WEIGHTS), 2)
 
@@ -262,13 +274,7 @@ def boosted_trees(spark, d):
     return _bounded(trees.forecast_boosted_trees(_series(spark, d), H), "model")
 
 
-@query("forecast_arima", _coming("arima", ["bounded", "no_worse"]))
-def arima(spark, d):
-    """The continuous search is never worse than the grid whose errors ``forecast_arima_grid`` repeats in SQL."""
-    return _searched(_series(spark, d), "arima", ARMA_GRID)
-
-
-@query("forecast_arima_grid", oracle(S + ", " + _grid("p, q", ARMA_GRID.grid) + """,
+ARIMA = S + ", " + _grid("p, q", ARMA_GRID.grid) + """,
     run AS (
       SELECT series_key, p, q, CAST(1 AS BIGINT) AS i, y, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS sse
       FROM s CROSS JOIN g WHERE s.i = 0
@@ -282,7 +288,16 @@ def arima(spark, d):
             QUALIFY row_number() OVER (PARTITION BY run.series_key ORDER BY sse, p, q) = 1),
     o AS (SELECT series_key, 'arima' AS model, CAST(last_ds + CAST(step + 1 AS INTEGER) AS DATE) AS ds,
            greatest(y + (p * w + q * e) * (1 - pow(p, step + 1)) / (1 - p), 0) AS yhat, 1.96 * std AS reach FROM fin CROSS JOIN h)
-    SELECT series_key, model, ds, yhat, greatest(yhat - reach, 0) AS lo, yhat + reach AS hi FROM o""", BOUNDS, 2))
+    SELECT series_key, model, ds, yhat, greatest(yhat - reach, 0) AS lo, yhat + reach AS hi FROM o"""
+
+
+@query("forecast_arima", _searching(ARIMA))
+def arima(spark, d):
+    """The grid's forecast, which SQL repeats, and whether the continuous search is sound and never worse than it."""
+    return rounded(_searched(_series(spark, d), "arima", ARMA_GRID), 2)
+
+
+@query("forecast_arima_grid", oracle(ARIMA, BOUNDS, 2))
 def arima_grid(spark, d):
     return rounded(fleet.forecast_fleet(_series(spark, d), "arima", H, ARMA_GRID), 2)
 
