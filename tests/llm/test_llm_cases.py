@@ -93,6 +93,29 @@ def test_jaccard_groups(spark, monkeypatch, frequent, block, percent, words):
     assert got == jaccard_groups(rows, percent, words)
 
 
+def test_jaccard_open_groups_are_compared_in_few_copies(spark, monkeypatch):
+    """Lists of one family with some members that link with nothing: every open pair meets, in few copies."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    size, family, lists = 300, 220, 6
+    rows = [(k, d, d, 19, 1) for k in range(lists) for d in range(size) if k == 0 or d % 50 != k]
+    members = spark.createDataFrame(rows, "list long, member long, doc long, blocks int, least int")
+    dealt = []
+
+    def compared(some):
+        dealt.append(some.toPandas())
+        kin = some.where(F.col("doc") < family).groupBy("list", "i", "j", "block").agg(F.collect_set("doc").alias("docs"))
+        return kin.select(F.array_min("docs").alias("a"), F.explode("docs").alias("b")).where("a != b")
+
+    jaccard_join._settled(members, "list", compared).collect()
+    across = dealt[-1]
+    assert len(dealt) == 3 and len(across) < 2 * size * lists  # 32,000 rows when every list was dealt to all blocks
+    met = set()
+    for (_, i, j), group in across.groupby(["list", "i", "j"]):
+        left, right = (group.loc[group["block"] == b, "doc"] for b in (i, j))
+        met |= {(min(x, y), max(x, y)) for x in left for y in right if x != y}
+    assert met >= {(x, y) for y in range(family, size) for x in range(y)}
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
