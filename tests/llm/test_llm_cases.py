@@ -116,6 +116,22 @@ def test_jaccard_open_groups_are_compared_in_few_copies(spark, monkeypatch):
     assert met >= {(x, y) for y in range(family, size) for x in range(y)}
 
 
+def test_idle_encoder_is_dropped(monkeypatch):
+    monkeypatch.setattr(sentencepiece_bpe, "IDLE", 0.2)
+    with open(MODEL, "rb") as f:
+        model = f.read()
+    with sentencepiece_bpe.lent_encoder(model) as first:
+        assert len(first.encode("a word"))
+    with sentencepiece_bpe.lent_encoder(model) as second:
+        time.sleep(0.5)
+        assert second is first and sentencepiece_bpe._ENCODERS
+    for _ in range(50):
+        time.sleep(0.1)
+        if not sentencepiece_bpe._ENCODERS:
+            break
+    assert not sentencepiece_bpe._ENCODERS
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

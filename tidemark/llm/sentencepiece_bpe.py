@@ -13,8 +13,11 @@ words that are encoded on their own; a bounded cache keeps the recent ones.
 
 from __future__ import annotations
 
+import gc
 import re
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import ahocorasick
@@ -24,12 +27,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import widened
+from tidemark.llm.common import give_back, widened
 
 SPACE = "▁"
 CACHED_WORDS = 300_000
 CACHED_PAIRS = 250_000
 LONGEST_CACHED = 64
+IDLE = 10.0  # seconds without a task after which a worker drops its encoder
 
 
 class MergeEncoder:
@@ -328,6 +332,9 @@ class _Words(dict):
 _ENCODERS: dict[bytes, MergeEncoder] = {}
 
 
+_waiting: threading.Timer | None = None
+
+
 def encoder_for(model: bytes) -> MergeEncoder:
     """One encoder per worker process and model."""
     if model not in _ENCODERS:
@@ -335,6 +342,27 @@ def encoder_for(model: bytes) -> MergeEncoder:
     return _ENCODERS[model]
 
 
+def _forget() -> None:
+    _ENCODERS.clear()
+    gc.collect()
+    give_back()
+
+
+@contextmanager
+def lent_encoder(model: bytes) -> Iterator[MergeEncoder]:
+    """The worker's encoder for one task. It stays for the tasks that follow and goes when none comes for ``IDLE``
+    seconds, since the worker process lives on and its memory is wanted by other work then."""
+    global _waiting
+    if _waiting:
+        _waiting.cancel()
+    try:
+        yield encoder_for(model)
+    finally:
+        _waiting = threading.Timer(IDLE, _forget)
+        _waiting.daemon = True
+        _waiting.start()
+
+
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``ids`` (array of int) and ``decoded`` (the text those ids stand for) to every row.
 
@@ -351,16 +379,16 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The worker process lives on, and its later tasks find the words of this one.
-        encoder = encoder_for(shared.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                rest = batch.slice(start, 500)
-                found = [encoder.encode(t) for t in rest.column(len(kept)).to_pylist()]
-                sizes = np.cumsum([0, *map(len, found)])
-                values = pa.array(np.concatenate(found), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
-                back = pa.array([encoder.decode(x) for x in found], pa.string())
-                columns = [rest.column(i) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, lists, back], names=[*kept, ids, decoded])
+        with lent_encoder(shared.value) as encoder:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    rest = batch.slice(start, 500)
+                    found = [encoder.encode(t) for t in rest.column(len(kept)).to_pylist()]
+                    sizes = np.cumsum([0, *map(len, found)])
+                    values = pa.array(np.concatenate(found), pa.int32())
+                    lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
+                    back = pa.array([encoder.decode(x) for x in found], pa.string())
+                    columns = [rest.column(i) for i in range(len(kept))]
+                    yield pa.RecordBatch.from_arrays([*columns, lists, back], names=[*kept, ids, decoded])
 
     return inner.mapInArrow(run, fields)
