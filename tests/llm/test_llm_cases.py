@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import os
 import random
 import time
 
@@ -116,6 +117,70 @@ def test_jaccard_open_groups_are_compared_in_few_copies(spark, monkeypatch):
     assert met >= {(x, y) for y in range(family, size) for x in range(y)}
 
 
+def test_jaccard_groups_in_parts(spark, monkeypatch):
+    """Signatures and members dealt out part after part give the same groups; so do more documents than are broadcast."""
+    dealt, settled, sift = [], jaccard_join._settled, jaccard_join.perhaps_matching
+
+    def counted(members, by, compared, most):
+        def noted(some):
+            dealt.append((by, some.count()))
+            return compared(some)
+
+        return settled(members, by, noted, -(-members.count() // 2))
+
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "_settled", counted)
+    monkeypatch.setattr(jaccard_join, "perhaps_matching", lambda big, keys, key: sift(big, keys, key, 2))
+    rows = [*noisy_copies(), (None, "a b"), (903, "a b"), (904, "A  b"), (905, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_groups(docs, 80, 5).collect()), key=str)
+    assert got == jaccard_groups(rows, 80, 5)
+    assert sum(by == "list" for by, _ in dealt) > 3
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from tidemark.llm import common
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def files():
+        return {f for top in folders for _, _, names in os.walk(str(top)) for f in names if f.startswith("shuffle_")}
+
+    setting, before = spark.conf.get(common.CLEANUP), files()
+    kept = common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert sorted(tuple(r) for r in kept.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
+    assert spark.conf.get(common.CLEANUP) == setting
+
+
+def test_matching_more_keys_than_are_broadcast(spark):
+    """Only rows whose key may be among the keys are dealt out; null keys match nothing."""
+    from tidemark.llm import common
+
+    rows = [(i % 2000 if i % 11 else None, f"text {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = spark.createDataFrame([(k,) for k in [*range(0, 2000, 10), -5, 1 << 60]], "doc_id long")
+    among = sorted((r for r in rows if r[0] is not None and r[0] % 10 == 0), key=str)
+    for most in (10, 1000):
+        semi = common.matching(docs, keys, "doc_id", "left_semi", most)
+        anti = common.matching(docs, keys, "doc_id", "left_anti", most)
+        assert semi.columns == anti.columns == docs.columns
+        assert sorted(map(tuple, semi.collect()), key=str) == among
+        assert sorted([*map(tuple, anti.collect()), *among], key=str) == sorted(rows, key=str)
+        perhaps = common.perhaps_matching(docs, keys, "doc_id", most)
+        found = sorted(map(tuple, perhaps.collect()), key=str)
+        assert set(among) <= set(found) and len(found) < len(among) + 0.15 * len(rows)
+        assert "SortMergeJoin" not in perhaps._jdf.queryExecution().toString()
+    none = keys.where("doc_id < -9")
+    assert common.matching(docs, none, "doc_id", "left_semi", -1).count() == 0
+    assert common.matching(docs, none, "doc_id", "left_anti", -1).count() == len(rows)
+
+
 def test_idle_encoder_is_dropped(monkeypatch):
     monkeypatch.setattr(sentencepiece_bpe, "IDLE", 0.2)
     with open(MODEL, "rb") as f:
