@@ -4,6 +4,7 @@ import os
 import random
 import time
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -181,6 +182,22 @@ def test_matching_more_keys_than_are_broadcast(spark):
     assert common.matching(docs, none, "doc_id", "left_anti", -1).count() == len(rows)
 
 
+def test_pipeline_keeps_one_table_between_stages(spark, tmp_path, monkeypatch):
+    """A stage's table goes when the next one is written; the last stage's input stays for its result."""
+    spark.createDataFrame([(i, "a b") for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    step = ("less", lambda spark, docs, sf_dir: docs.where(F.col("doc_id") < docs.count() - 1))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [step] * 4)
+    written, write = [], corpus_pipeline.stored
+
+    def noted(df, name):
+        written.append(write(df, name))
+        return written[-1]
+
+    monkeypatch.setattr(corpus_pipeline, "stored", noted)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == list(range(5))
+    assert [os.path.exists(df.stored_at.removeprefix("file://")) for df in written] == [False, False, True]
+
+
 def test_idle_encoder_is_dropped(monkeypatch):
     monkeypatch.setattr(sentencepiece_bpe, "IDLE", 0.2)
     with open(MODEL, "rb") as f:
